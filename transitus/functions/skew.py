@@ -80,12 +80,22 @@ def running_sums(
     order_by: Sequence[str],
     block: Column,
     sums: dict[str, Column],
-    min_rows: int = HOT_ROWS,
+    min_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Add, per key, the sum of each measure over the rows strictly before this one (0 at the first)."""
-    measured = with_blocks(df, keys, block, min_rows)
-    for name, measure in sums.items():
-        measured = measured.withColumn(f"_m_{name}", measure)
+    """Add, per key, the sum of each measure over the rows strictly before this one (0 at the first).
+
+    With `min_rows=None` all keys are cut into blocks; that saves the search for hot keys where `df` is costly
+    to read twice.
+    """
+    if min_rows is None:
+        measured = df.withColumn("_block", block)
+    else:
+        measured = with_blocks(df, keys, block, min_rows)
+    return _block_sums(measured, keys, order_by, sums)
+
+
+def _block_sums(blocked: DataFrame, keys: Sequence[str], order_by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    measured = blocked.withColumns({f"_m_{name}": measure for name, measure in sums.items()})
     inner = Window.partitionBy(*keys, "_block").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -94,13 +104,12 @@ def running_sums(
         .agg(*[F.sum(f"_m_{name}").alias(f"_t_{name}") for name in sums])
         .select(*keys, "_block", *[F.sum(f"_t_{name}").over(outer).alias(f"_o_{name}") for name in sums])
     )
-    out = measured
-    for name in sums:
-        out = out.withColumn(name, F.sum(f"_m_{name}").over(inner))
-    out = out.join(offsets, [*keys, "_block"], "left")
-    for name in sums:
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_o_{name}"), F.lit(0)))
-    return out.drop("_block", *[f"_m_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+    return (
+        measured.withColumns({name: F.sum(f"_m_{name}").over(inner) for name in sums})
+        .join(offsets, [*keys, "_block"], "left")
+        .withColumns({n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in sums})
+        .drop("_block", *[f"_m_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+    )
 
 
 def dense_ids(df: DataFrame, at: str, tie: str, name: str, min_rows: int = HOT_ROWS) -> DataFrame:
@@ -114,18 +123,18 @@ def dense_ids(df: DataFrame, at: str, tie: str, name: str, min_rows: int = HOT_R
     piece = F.floor(F.col(tie) / 1_000_000) if numeric else F.substring(F.col(tie), 1, 4)
     dated = df.withColumn("_day", F.to_date(at))
     by_day = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
+    per_day = (
         dated.groupBy("_day")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_day", F.coalesce(F.sum("_n").over(by_day), F.lit(0)).alias("_shift"))
+        .select("_day", F.coalesce(F.sum("_n").over(by_day), F.lit(0)).alias("_shift"), (F.col("_n") >= min_rows).alias("_hot"))
     )
-    numbered = running_sums(
-        dated, ["_day"], [at, tie], F.struct(F.col(at), piece), {"_before": F.lit(1)}, min_rows
+    blocked = dated.join(F.broadcast(per_day), "_day").withColumn(
+        "_block", F.when(F.col("_hot"), F.struct(F.col(at), piece))
     )
     return (
-        numbered.join(F.broadcast(shifts), "_day")
+        _block_sums(blocked, ["_day"], [at, tie], {"_before": F.lit(1)})
         .withColumn(name, (F.col("_before") + F.col("_shift") + 1).cast("bigint"))
-        .drop("_day", "_before", "_shift")
+        .drop("_day", "_before", "_shift", "_hot")
     )
 
 
@@ -181,69 +190,64 @@ def interval_join(
 
 def overlap_counts(
     stays: DataFrame,
-    facts: DataFrame,
+    facts: dict[str, DataFrame],
     key: str,
     stay_id: str,
     lo: str,
     hi: str,
     start: str,
     stop: str,
-    name: str,
-    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """(`stay_id`, `name`): how many facts of the key meet [lo, hi]; no pairs are formed.
+    """Per stay, how many facts of its key meet [lo, hi], one column for each named fact table.
 
     With start <= stop and lo <= hi the count is (facts started by hi) - (facts stopped before lo). Both are
-    running counts over one ordered pass per key on points, where equal points are merged before the shuffle.
-    A fact whose stop lies before its start is counted through the join instead. A stay without a usable
-    interval counts 0. `stay_id` must be unique.
+    running counts over one ordered pass per key, in which equal instants are merged before the shuffle and a
+    key is cut into months; no (stay, fact) pairs are formed. A fact whose stop lies before its start, an error
+    in the data, is counted by a join instead. Stays without a usable interval or any fact are left out.
+    `stay_id` must be unique.
     """
-    usable = F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi))
-    wanted = stays.filter(usable).select(stay_id, key, lo, hi)
-    facts = facts.select(key, start, stop)
-    inverted = F.coalesce(F.col(stop) < F.col(start), F.lit(False))
-    straight = facts.filter(~inverted & F.col(start).isNotNull())
-
-    def points(df: DataFrame, at: str, rank: int, opened: int, closed: int) -> DataFrame:
-        return df.filter(F.col(at).isNotNull()).select(
-            key, F.col(at).alias("_at"), F.lit(rank).alias("_rank"),
-            F.lit(opened).alias("_open"), F.lit(closed).alias("_close"),
-        )
-
-    # at one instant: a lower bound first, then starts and stops, then an upper bound
-    line = (
-        points(wanted, lo, 0, 0, 0)
-        .unionAll(points(straight, start, 1, 1, 0))
-        .unionAll(points(straight, stop, 1, 0, 1))
-        .unionAll(points(wanted, hi, 2, 0, 0))
-        .groupBy(key, "_at", "_rank")
-        .agg(F.sum("_open").alias("_open"), F.sum("_close").alias("_close"))
-    )
-    marks = running_sums(
-        line, [key], ["_at", "_rank"], F.to_date("_at"),
-        {"_opened": F.col("_open"), "_closed": F.col("_close")}, min_rows,
-    ).filter(F.col("_rank") != 1)
+    names = list(facts)
+    wanted = stays.filter(F.col(lo) <= F.col(hi)).select(stay_id, key, lo, hi)
     sides = wanted.select(
-        stay_id, key, F.explode(F.array(
+        stay_id, key,
+        F.inline(F.array(
             F.struct(F.col(lo).alias("_at"), F.lit(0).alias("_rank")),
             F.struct(F.col(hi).alias("_at"), F.lit(2).alias("_rank")),
-        )).alias("_side"),
-    ).select(stay_id, key, "_side._at", "_side._rank")
-    counted = (
-        sides.join(marks, [key, "_at", "_rank"])
-        .select(
-            stay_id,
-            F.when(F.col("_rank") == 2, F.col("_opened")).otherwise(-F.col("_closed")).alias("_n"),
+        )),
+    )
+    zero = {f"_{side}_{n}": F.lit(0).cast("bigint") for n in names for side in ("open", "close")}
+    inverted = F.coalesce(F.col(stop) < F.col(start), F.lit(False))
+    # at one instant: a lower bound first, then starts and stops, then an upper bound
+    line = sides.drop(stay_id).withColumns(zero)
+    odd = None
+    for n, table in facts.items():
+        table = table.select(key, start, stop)
+        turns = table.filter(~inverted & F.col(start).isNotNull()).select(
+            key,
+            F.inline(F.array(
+                F.struct(F.col(start).alias("_at"), F.lit(1).alias("_rank"), F.lit(1).alias("_o"), F.lit(0).alias("_c")),
+                F.struct(F.col(stop).alias("_at"), F.lit(1).alias("_rank"), F.lit(0).alias("_o"), F.lit(1).alias("_c")),
+            )),
+        ).filter(F.col("_at").isNotNull())
+        line = line.unionByName(
+            turns.withColumns({**zero, f"_open_{n}": F.col("_o").cast("bigint"), f"_close_{n}": F.col("_c").cast("bigint")})
+            .drop("_o", "_c")
         )
+        wrong = table.filter(inverted).select(key, start, stop, F.lit(n).alias("_kind"))
+        odd = wrong if odd is None else odd.unionByName(wrong)
+    line = line.groupBy(key, "_at", "_rank").agg(*[F.sum(c).alias(c) for c in zero])
+    marks = running_sums(
+        line, [key], ["_at", "_rank"], F.trunc("_at", "month"), {f"_sum{c}": F.col(c) for c in zero}, None
+    ).filter(F.col("_rank") != 1)
+    counted = sides.join(marks, [key, "_at", "_rank"]).select(
+        stay_id,
+        *[F.when(F.col("_rank") == 2, F.col(f"_sum_open_{n}")).otherwise(-F.col(f"_sum_close_{n}")).alias(n) for n in names],
     )
-    odd = interval_join(wanted, facts.filter(inverted), key, lo, hi, start, stop, min_rows).select(
-        stay_id, F.lit(1).cast("bigint").alias("_n")
+    repaired = wanted.join(odd, key).filter((F.col(start) <= F.col(hi)) & (F.col(stop) >= F.col(lo))).select(
+        stay_id, *[F.when(F.col("_kind") == n, 1).otherwise(0).cast("bigint").alias(n) for n in names]
     )
-    unusable = stays.filter(F.coalesce(~usable, F.lit(True))).select(stay_id, F.lit(0).cast("bigint").alias("_n"))
     return (
-        counted.unionByName(odd).unionByName(unusable)
-        .groupBy(stay_id)
-        .agg(F.sum("_n").cast("bigint").alias(name))
+        counted.unionByName(repaired).groupBy(stay_id).agg(*[F.sum(n).cast("bigint").alias(n) for n in names])
     )
 
 

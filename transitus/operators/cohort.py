@@ -91,7 +91,7 @@ def care_transitions(
         bounds = stays.select(
             "encounter_id", "patient_id", first.alias("_lo"), F.date_add(F.to_date("stop_at"), window_days).alias("_hi")
         )
-        found = overlap_counts(bounds, again, "patient_id", "encounter_id", "_lo", "_hi", "_s", "_e", "_hits", min_rows)
+        found = overlap_counts(bounds, {"_hits": again}, "patient_id", "encounter_id", "_lo", "_hi", "_s", "_e")
         stays = stays.join(found, "encounter_id", "left").withColumn(
             "readmitted", F.coalesce(F.col("_hits") > 0, F.lit(False))
         )
@@ -136,46 +136,22 @@ def active_facts(transitions: DataFrame, facts: DataFrame, min_rows: int = HOT_R
     ).drop("admission_date", "discharge_date")
 
 
-def active_counts(transitions: DataFrame, facts: DataFrame, name: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """(transition_id, `name`): number of facts held during the stay, 0 if none; no pairs are formed."""
-    return overlap_counts(
-        transitions, facts, "patient_id", "transition_id", "admission_date", "discharge_date",
-        "start_at", "stop_at", name, min_rows,
+def active_counts(transitions: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
+    """Transitions with one count column per fact table: facts held during the stay, 0 if none."""
+    counts = overlap_counts(
+        transitions, facts, "patient_id", "transition_id", "admission_date", "discharge_date", "start_at", "stop_at"
+    )
+    return transitions.join(counts, "transition_id", "left").withColumns(
+        {n: F.coalesce(n, F.lit(0).cast("bigint")) for n in facts}
     )
 
 
 def profile_counts(
-    transitions: DataFrame, conditions: DataFrame, medications: DataFrame, allergies: DataFrame,
-    min_rows: int = HOT_ROWS,
+    transitions: DataFrame, conditions: DataFrame, medications: DataFrame, allergies: DataFrame
 ) -> DataFrame:
-    """Transitions with the number of active conditions, medications and allergies."""
-    out = transitions
-    for name, facts in (("n_conditions", conditions), ("n_medications", medications), ("n_allergies", allergies)):
-        out = out.join(active_counts(transitions, facts, name, min_rows), "transition_id", "left")
-    return out
-
-
-def _pages(stays: DataFrame, facts: DataFrame, fields: dict[str, str], count: str, name: str, size: int, min_rows: int):
-    """(transition_id, part, `name`): sorted struct arrays of about `size` entries.
-
-    Equal facts are merged with their number in `copies`. Stays with at most `size` facts have one part; the
-    rest are dealt over parts by the hash of the fact.
-    """
-    keys = ["patient_id", "start_at", "stop_at", *fields]
-    merged = facts.groupBy(*keys).agg(n_rows().alias("copies"))
-    parts = F.greatest(F.ceil(F.col(count) / F.lit(size)), F.lit(1))
-    paired = interval_join(
-        stays.select("transition_id", "patient_id", "admission_date", "discharge_date", parts.alias("_parts")),
-        merged, "patient_id", "admission_date", "discharge_date", "start_at", "stop_at", min_rows,
-    )
-    item = F.struct(
-        *[F.col(c).alias(alias) for c, alias in fields.items()],
-        F.date_format("start_at", "yyyy-MM-dd").alias("started"), "copies",
-    )
-    return (
-        paired.withColumn("part", F.pmod(F.xxhash64(*keys), F.col("_parts")).cast("int"))
-        .groupBy("transition_id", "part")
-        .agg(F.array_sort(F.collect_list(item)).alias(name))
+    """Transitions with the number of active conditions, medications and allergies, in one pass."""
+    return active_counts(
+        transitions, {"n_conditions": conditions, "n_medications": medications, "n_allergies": allergies}
     )
 
 
@@ -191,25 +167,50 @@ def transition_profiles(
     """Clinical state per transition as arrays of structs; arrays are empty, never null.
 
     A transition has one row (part 0) unless it holds more than `part_size` facts of one sort: then its facts
-    are dealt over several parts, so no row grows without bound and none is left out. The counts are those of
-    the whole transition on every part. `limit` keeps the first transitions by id, for trial runs.
+    are dealt over several parts by their hash, so no row grows without bound and none is left out. Equal facts
+    are merged with their number in `copies`. The counts are those of the whole transition on every part.
+    `limit` keeps the first transitions by id, for trial runs.
     """
     if limit is not None:
         transitions = transitions.orderBy("transition_id").limit(limit)
-    stays = profile_counts(transitions, conditions, medications, allergies, min_rows)
     largest = F.greatest("n_conditions", "n_medications", "n_allergies")
-    rows = stays.withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(largest / F.lit(part_size)), F.lit(1)).cast("int") - 1))
+    stays = profile_counts(transitions, conditions, medications, allergies).withColumn(
+        "_parts", F.greatest(F.ceil(largest / F.lit(part_size)), F.lit(1)).cast("int")
+    )
+    kinds = {
+        "active_conditions": (conditions, CONDITION_FIELDS),
+        "active_medications": (medications, MEDICATION_FIELDS),
+        "allergies": (allergies, ALLERGY_FIELDS),
+    }
+    fields = list(dict.fromkeys(c for _, names in kinds.values() for c in names))
+    facts = None
+    for kind, (table, names) in kinds.items():
+        one = table.select(
+            "patient_id", "start_at", "stop_at", F.lit(kind).alias("_kind"),
+            *[(F.col(c) if c in names else F.lit(None).cast("string")).alias(c) for c in fields],
+        )
+        facts = one if facts is None else facts.unionByName(one)
+    keys = ["patient_id", "start_at", "stop_at", "_kind", *fields]
+    held = interval_join(
+        stays.select("transition_id", "patient_id", "admission_date", "discharge_date", "_parts"),
+        facts.groupBy(*keys).agg(n_rows().alias("copies")),
+        "patient_id", "admission_date", "discharge_date", "start_at", "stop_at", min_rows,
+    )
+    started = F.date_format("start_at", "yyyy-MM-dd").alias("started")
+    arrays = {}
+    for kind, (_, names) in kinds.items():
+        item = F.struct(*[F.col(c).alias(alias) for c, alias in names.items()], started, "copies")
+        arrays[kind] = F.array_sort(F.collect_list(F.when(F.col("_kind") == kind, item)))
+    pages = (
+        held.withColumn("part", F.pmod(F.xxhash64(*keys[1:]), F.col("_parts")).cast("int"))
+        .groupBy("transition_id", "part")
+        .agg(*[a.alias(kind) for kind, a in arrays.items()])
+    )
+    return (
+        stays.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        .join(pages, ["transition_id", "part"], "left")
+        .withColumns({k: F.coalesce(k, F.array().cast(pages.schema[k].dataType)) for k in kinds})
     )
-    for facts, fields, count, name in (
-        (conditions, CONDITION_FIELDS, "n_conditions", "active_conditions"),
-        (medications, MEDICATION_FIELDS, "n_medications", "active_medications"),
-        (allergies, ALLERGY_FIELDS, "n_allergies", "allergies"),
-    ):
-        pages = _pages(stays, facts, fields, count, name, part_size, min_rows)
-        rows = rows.join(pages, ["transition_id", "part"], "left")
-        rows = rows.withColumn(name, F.coalesce(name, F.array().cast(pages.schema[name].dataType)))
-    return rows
 
 
 def recent_observations(

@@ -74,13 +74,11 @@ def transition_profile_counts(t):
     )
 
 
-@query("transition_profiles", "prof cond med alg", """
+@query("transition_profiles", "prof actcond actmed", """
     SELECT p.transition_id, 0 AS part, p.n_conditions AS conditions, p.n_medications AS medications, p.n_allergies AS allergies,
-           (SELECT min(c.code) FROM cond c WHERE c.patient_id = p.patient_id AND c.start_at <= p.discharge_date
-             AND (c.stop_at IS NULL OR c.stop_at >= p.admission_date)) AS first_code,
-           (SELECT max(m.reason) FROM med m WHERE m.patient_id = p.patient_id AND m.start_at <= p.discharge_date
-             AND (m.stop_at IS NULL OR m.stop_at >= p.admission_date)) AS last_reason
-    FROM prof p""")
+           c.first_code, m.last_reason
+    FROM prof p LEFT JOIN (SELECT transition_id, min(code) AS first_code FROM actcond GROUP BY 1) c USING (transition_id)
+    LEFT JOIN (SELECT transition_id, max(reason) AS last_reason FROM actmed GROUP BY 1) m USING (transition_id)""")
 def transition_profiles(t):
     def held(name):
         return F.aggregate(name, F.lit(0).cast("bigint"), lambda n, x: n + x["copies"])

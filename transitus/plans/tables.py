@@ -6,9 +6,9 @@ from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from transitus.operators import cohort
+from transitus.operators import cohort, narrative
+from transitus.session import stage
 from transitus.sources.binding import FOCUS, READMIT, SETTINGS, Binding
 
 AS_OF = date(2024, 6, 30)
@@ -25,8 +25,22 @@ class Tables(Binding):
 
     @cached_property
     def transitions(self) -> DataFrame:
-        return cohort.care_transitions(self.sequence, FOCUS, READMIT)
+        # read by several branches of most queries
+        return stage(cohort.care_transitions(self.sequence, FOCUS, READMIT), "transitions")
 
     @cached_property
     def profile_counts(self) -> DataFrame:
         return cohort.profile_counts(self.transitions, self.conditions, self.medications, self.allergies)
+
+    @cached_property
+    def held_medications(self) -> DataFrame:
+        return cohort.active_facts(self.transitions, self.medications)
+
+    @cached_property
+    def held_conditions(self) -> DataFrame:
+        return cohort.active_facts(self.transitions, self.conditions)
+
+    @cached_property
+    def prompt_variables(self) -> DataFrame:
+        profiles = cohort.transition_profiles(self.transitions, self.conditions, self.medications, self.allergies)
+        return narrative.prompt_variables(narrative.risk_tier(profiles), self.cohort)

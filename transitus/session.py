@@ -1,7 +1,10 @@
-"""Session settings and reliable checkpoints."""
+"""Session settings and reliable written stages."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that may be changed on a running session. Partition counts stay with the caller.
@@ -25,6 +28,7 @@ def local_session(cpus: str = "8", name: str = "transitus", conf: dict | None =
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
@@ -34,15 +38,21 @@ def local_session(cpus: str = "8", name: str = "transitus", conf: dict | None =
     return tune(builder.getOrCreate())
 
 
-def checkpoint(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Cut the lineage through the shared folder named in `spark.checkpoint.dir`.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in `spark.checkpoint.dir`; a temporary one only in local mode with none set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="transitus-")
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a step that later steps read several times, and read it back.
 
-    `fallback_dir` is used only where the session names no folder, as in tests.
+    The table in the shared folder cuts the lineage and survives lost executors; readers get column pruning.
     """
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or fallback_dir
-    if context.getCheckpointDir() is None:
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

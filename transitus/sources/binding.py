@@ -224,7 +224,7 @@ class Binding:
             self.documents.join(self.table("labels"), "doc_id", "left")
             .select(
                 k.alias("transition_id"),
-                (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (k % 40000).cast("int")))
+                (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (k % 40000).cast("int")))
                 .alias("generated_at"),
                 tier.alias("risk_tier"),
                 F.col("text").alias("clinical_handoff"),
