@@ -5,9 +5,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from transitus.functions.columns import lookup
 from transitus.operators import cohort, guardrails, medrec, narrative
 from transitus.plans.registry import query
+from transitus.plans.tables import DOUBT, NEEDED, RISKY, TERMS
 
 K = "transition_id"
 
@@ -190,9 +190,6 @@ def validate_profiles(t):
     return checked.withColumn("warnings", F.array_join("warnings", ","))
 
 
-# Words of the invented languages; each language "lists" one of them.
-TERMS = ["the", "der", "les", "los", "of the", "the of and"]
-LISTED = {"en": "the", "de": "der", "fr": "les", "es": "los"}
 WORDS = "list_filter(regexp_split_to_array(lower(clinical_handoff), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 HALL = f"""
   tok AS (SELECT transition_id, {WORDS} AS w FROM nar),
@@ -204,18 +201,11 @@ HALL = f"""
       AND g.term <> CASE d.lang WHEN 'en' THEN 'the' WHEN 'de' THEN 'der' WHEN 'fr' THEN 'les' ELSE 'los' END)"""
 
 
-def listed_terms(t):
-    return t.documents.select(F.col("doc_id").alias(K), lookup(F.col("lang"), LISTED).alias("term"))
-
-
 @query("term_hallucination", "nar", f"WITH {HALL} SELECT transition_id, term FROM wrong")
 def term_hallucination(t):
-    return guardrails.term_hallucination(t.narratives, listed_terms(t), TERMS, "clinical_handoff")
+    return guardrails.term_hallucination(t.narratives, t.listed_terms, TERMS, "clinical_handoff")
 
 
-RISKY = [*guardrails.DANGEROUS, "%from%of the%"]
-NEEDED = ["%the%", "%and%"]
-DOUBT = [*guardrails.UNCERTAIN, "that it", "que la"]
 UNSURE = r"(?i)(^|[^\p{L}\p{N}])(not sure|might|that it|que la)($|[^\p{L}\p{N}])"
 NWORDS = "len(list_filter(regexp_split_to_array(clinical_handoff, '\\s+'), lambda x: x <> ''))"
 RISKY_SQL = ("clinical_handoff ILIKE '%stop taking%' OR clinical_handoff ILIKE '%discontinue%immediately%' OR "
@@ -257,5 +247,5 @@ QUALITY = f"""{HALL},
 def quality_checks(t):
     allergies = cohort.active_counts(t.transitions, {"n_allergies": t.allergies})
     return guardrails.quality_checks(
-        t.narratives, listed_terms(t), TERMS, allergies=allergies, dangerous=RISKY, required=NEEDED, uncertain=DOUBT
+        t.narratives, t.listed_terms, TERMS, allergies=allergies, dangerous=RISKY, required=NEEDED, uncertain=DOUBT
     ).select(K, "n_unlisted", "action", "verdict")

@@ -159,6 +159,8 @@ def with_(names: str, body: str) -> str:
     if not order:
         return body
     head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
+    if body.lstrip().upper().startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {head},\n{body.lstrip()[14:]}"
     if body.lstrip().upper().startswith("WITH "):
         return f"WITH {head},\n{body.lstrip()[5:]}"
     return f"WITH {head}\n{body}"
