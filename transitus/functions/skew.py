@@ -287,3 +287,26 @@ def exact_quantiles(
     return found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_q") == n, F.col(value))).alias(n) for n in quantiles]
     )
+
+
+def salted_join(
+    big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread_by: Sequence[str], salts: int = 64
+) -> DataFrame:
+    """Inner join in which the rows of hot keys of `big` are dealt over `salts` tasks.
+
+    `hot` is a list of bounded size, such as `hot_keys` gives or a filter on known counts; `small` has few rows
+    per key and is repeated `salts` times for hot keys only.
+    """
+    dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = big.join(hot, key, "left").withColumn("_salt", dealt.cast("int")).drop("_hot")
+    right = small.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def heaviest(counts: DataFrame, key: str, count: str, min_rows: int = HOT_ROWS) -> DataFrame:
+    """`hot_keys` from a table that already holds the counts."""
+    return F.broadcast(
+        counts.filter(F.col(count) >= min_rows).orderBy(F.desc(count), key).limit(MAX_HOT_KEYS)
+        .select(key, F.lit(True).alias("_hot"))
+    )

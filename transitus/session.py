@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Day windows and casts of zone-free timestamps must not depend on where the session runs.
+    "spark.sql.session.timeZone": "UTC",
     # Split a skewed join even where the split costs one more shuffle above it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
@@ -30,7 +32,6 @@ def local_session(cpus: str = "8", name: str = "transitus", conf: dict | None =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
     )
     for key, value in (conf or {}).items():
