@@ -10,8 +10,9 @@ from transitus.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("4", "tests", {"spark.sql.shuffle.partitions": "4"})
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    session = local_session("4", "tests", {"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": folder})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
