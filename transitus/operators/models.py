@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from transitus.functions.columns import mean, n_rows, ratio
+from transitus.functions.columns import n_rows, ratio
 from transitus.functions.skew import exact_quantiles
 
 FEATURES = ["n_conditions", "n_medications", "length_of_stay", "prior_readmissions"]
@@ -41,19 +41,25 @@ def score_readmission(model: PipelineModel, stays: DataFrame, since: date, featu
 def forecast_los_cost(stays: DataFrame, by: list[str]) -> DataFrame:
     """Monthly length of stay and cost per series, with two forecasts made from earlier months only.
 
-    `recent_*` is the mean of the last three calendar months with data, `seasonal_*` the value twelve months
+    `recent_*` is the mean over all stays of the last three calendar months, `seasonal_*` the value twelve months
     before. The last row of each series lies one month ahead and has no actual value.
     """
     monthly = stays.groupBy(*by, F.to_date(F.trunc("admission_date", "month")).alias("month")).agg(
-        n_rows().alias("stays"), mean("length_of_stay").alias("los"), mean("total_cost").alias("cost")
+        n_rows().alias("stays"), F.sum("length_of_stay").alias("_days"), F.count("length_of_stay").alias("_closed"),
+        F.sum("total_cost").alias("_cost"),
     )
     span = monthly.groupBy(*by).agg(F.min("month").alias("_a"), F.add_months(F.max("month"), 1).alias("_b"))
     grid = span.select(*by, F.explode(F.sequence("_a", "_b", F.expr("interval 1 month"))).alias("month"))
+    # one row per series and month
     past = Window.partitionBy(*by).orderBy("month").rowsBetween(-3, -1)
     year = Window.partitionBy(*by).orderBy("month").rowsBetween(-12, -12)
-    return grid.join(monthly, [*by, "month"], "left").select(
+    rows = grid.join(monthly, [*by, "month"], "left").withColumns(
+        {"los": ratio(F.col("_days"), F.col("_closed")), "cost": ratio(F.col("_cost"), F.col("stays"))}
+    )
+    return rows.select(
         *by, "month", F.coalesce("stays", F.lit(0)).cast("bigint").alias("stays"), "los", "cost",
-        F.avg("los").over(past).alias("recent_los"), F.avg("cost").over(past).alias("recent_cost"),
+        ratio(F.sum("_days").over(past), F.sum("_closed").over(past)).alias("recent_los"),
+        ratio(F.sum("_cost").over(past), F.sum("stays").over(past)).alias("recent_cost"),
         F.max("los").over(year).alias("seasonal_los"), F.max("cost").over(year).alias("seasonal_cost"),
     )
 

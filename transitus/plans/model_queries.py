@@ -22,20 +22,18 @@ def readmission_model(t):
 
 @query("forecast_los_cost", "trans", """
     WITH m AS (SELECT organization_id, date_trunc('month', admission_date)::DATE AS month, count(*)::BIGINT AS stays,
-                 sum(length_of_stay)::DOUBLE / nullif(count(length_of_stay), 0)::DOUBLE AS los, sum(total_cost)::DOUBLE / count(*)::DOUBLE AS cost FROM trans GROUP BY ALL),
+                 sum(length_of_stay) AS d, count(length_of_stay) AS c, sum(total_cost) AS t FROM trans GROUP BY ALL),
     s AS (SELECT organization_id, min(month) AS a, max(month) AS b FROM m GROUP BY 1),
     g AS (SELECT organization_id, unnest(generate_series(a::TIMESTAMP, b + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS month FROM s),
-    j AS (SELECT g.organization_id, g.month, stays, los, cost FROM g LEFT JOIN m ON m.organization_id = g.organization_id AND m.month = g.month)
-    SELECT organization_id, strftime(month, '%Y-%m') AS month, coalesce(stays, 0)::BIGINT AS stays, round(los, 6) AS los, round(cost, 4) AS cost,
-           round(avg(los) OVER p, 6) AS recent_los, round(avg(cost) OVER p, 4) AS recent_cost, round(max(los) OVER y, 6) AS seasonal_los, round(max(cost) OVER y, 4) AS seasonal_cost
+    j AS (SELECT g.organization_id, g.month, stays, d, c, t, d::DOUBLE / nullif(c, 0)::DOUBLE AS los, t::DOUBLE / stays::DOUBLE AS cost
+          FROM g LEFT JOIN m ON m.organization_id = g.organization_id AND m.month = g.month)
+    SELECT organization_id, strftime(month, '%Y-%m') AS month, coalesce(stays, 0)::BIGINT AS stays, los, cost,
+           (sum(d) OVER p)::DOUBLE / nullif(sum(c) OVER p, 0)::DOUBLE AS recent_los, (sum(t) OVER p)::DOUBLE / nullif(sum(stays) OVER p, 0)::DOUBLE AS recent_cost,
+           max(los) OVER y AS seasonal_los, max(cost) OVER y AS seasonal_cost
     FROM j WINDOW p AS (PARTITION BY organization_id ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
                   y AS (PARTITION BY organization_id ORDER BY month ROWS BETWEEN 12 PRECEDING AND 12 PRECEDING)""")
 def forecast_los_cost(t):
-    out = models.forecast_los_cost(t.transitions, ["organization_id"])
-    return out.select(
-        "organization_id", F.date_format("month", "yyyy-MM").alias("month"), "stays",
-        *[F.round(c, 6 if c.endswith("los") else 4).alias(c) for c in ("los", "cost", "recent_los", "recent_cost", "seasonal_los", "seasonal_cost")],
-    )
+    return models.forecast_los_cost(t.transitions, ["organization_id"]).withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
 @query("claim_anomalies", "clm encpay", """

@@ -56,6 +56,7 @@ def stream_daily_volume(t):
     return result(t, jobs.daily_volume(stays), "volume").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+CLOCK_ACTIONS = "'ASSIGNED', 'APPROVED', 'REJECTED', 'SENT', 'GENERATED'"
 CLOCK_SQL = """{name} AS (SELECT transition_id, '{kind}' AS kind, action, action_at AS started_at, action_at + {hours} * INTERVAL 1 HOUR AS due_at,
       lead(action_at) OVER (PARTITION BY transition_id ORDER BY action_at, log_id) AS nxt FROM evt LEFT JOIN nar USING (transition_id) WHERE action IN ({acts}))"""
 
@@ -64,9 +65,11 @@ CLOCK_SQL = """{name} AS (SELECT transition_id, '{kind}' AS kind, action, action
     name="esc", kind="ESCALATE", hours="CASE risk_tier WHEN 'MEDIUM' THEN 8 WHEN 'LOW' THEN 12 ELSE 4 END", acts="'ASSIGNED', 'APPROVED', 'REJECTED'") + ", " + CLOCK_SQL.format(
     name="exp", kind="EXPIRE", hours="72", acts="'APPROVED', 'SENT', 'REJECTED', 'GENERATED'") + f"""
     SELECT transition_id, kind, {sts('started_at')}, {sts('due_at')} FROM (SELECT * FROM esc WHERE action = 'ASSIGNED' UNION ALL SELECT * FROM exp WHERE action = 'APPROVED')
-    WHERE (nxt IS NULL OR nxt > due_at) AND (nxt IS NOT NULL OR due_at <= {MARK})""")
+    JOIN (SELECT transition_id, max(action_at) AS seen FROM evt WHERE action IN ({CLOCK_ACTIONS}) GROUP BY 1) USING (transition_id)
+    WHERE (nxt IS NULL OR nxt > due_at) AND (due_at < seen OR due_at <=
+      (SELECT date_trunc('millisecond', max(action_at)) - INTERVAL 1 DAY FROM evt WHERE action IN ({CLOCK_ACTIONS})))""")
 def stream_review_clocks(t):
-    """The last clock of a document runs out only if the watermark passes its due time."""
+    """The last clock of a document runs out only if the watermark, or a later event of it, passes its due time."""
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
     out = result(t, jobs.review_clocks(event_stream(t), t.narratives), "clocks")
     return out.select("transition_id", "kind", ts("started_at"), ts("due_at"))
