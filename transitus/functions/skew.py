@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+# A key with more intervals than this on the probing side is hot in an interval join: pairs grow with both sides.
+HOT_STAYS = 100
 MAX_HOT_KEYS = 10_000
 
 
@@ -146,15 +148,16 @@ def interval_join(
     hi: str,
     start: str,
     stop: str,
-    min_rows: int = HOT_ROWS,
+    min_rows: int = HOT_STAYS,
 ) -> DataFrame:
     """Inner join on `key` where [lo, hi] meets [start, stop]; a null `stop` means still valid.
 
-    Rows of hot keys are spread over the months they touch and matched on (key, month) in the first month both
-    touch, so each pair comes out once. Other keys use the plain key join with the range as residual.
+    A key is hot by its number of stays. Rows of hot keys are spread over the months they touch and matched on (key, month) in the first month both
+    touch, so each pair comes out once. Other keys use the plain key join with the range as residual; there a
+    fact meets few stays, and a key with very many facts is split by the adaptive skew join.
     """
     stays = stays.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi)))
-    hot = hot_keys(facts.select(key).unionAll(stays.select(key)).filter(F.col(key).isNotNull()), [key], min_rows)
+    hot = hot_keys(stays.filter(F.col(key).isNotNull()), [key], min_rows)
     horizon = stays.join(hot, key).groupBy(key).agg(F.max(hi).alias("_horizon"))
 
     def month(c: str) -> Column:
@@ -197,17 +200,41 @@ def overlap_counts(
     hi: str,
     start: str,
     stop: str,
+    min_rows: int = HOT_STAYS,
 ) -> DataFrame:
     """Per stay, how many facts of its key meet [lo, hi], one column for each named fact table.
 
+    Stays of ordinary keys are joined and counted; stays of hot keys are counted without pairs by
+    `_sweep_counts`. Stays without a usable interval or any fact are left out. `stay_id` must be unique.
+    """
+    names = list(facts)
+    wanted = stays.filter(F.col(lo) <= F.col(hi)).select(stay_id, key, lo, hi)
+    hot = hot_keys(wanted, [key], min_rows).select(key)
+    tagged = None
+    for n, table in facts.items():
+        one = table.select(key, start, stop, F.lit(n).alias("_kind"))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    met = (F.col(start) <= F.col(hi)) & (F.col(stop).isNull() | (F.col(stop) >= F.col(lo)))
+    joined = wanted.join(F.broadcast(hot), key, "left_anti").join(tagged, key).filter(met).groupBy(stay_id).agg(
+        *[F.count_if(F.col("_kind") == n).alias(n) for n in names]
+    )
+    swept = _sweep_counts(
+        wanted.join(F.broadcast(hot), key, "left_semi"),
+        {n: t.join(F.broadcast(hot), key, "left_semi") for n, t in facts.items()}, key, stay_id, lo, hi, start, stop,
+    )
+    return joined.unionByName(swept)
+
+
+def _sweep_counts(
+    wanted: DataFrame, facts: dict[str, DataFrame], key: str, stay_id: str, lo: str, hi: str, start: str, stop: str
+) -> DataFrame:
+    """Overlap counts without forming pairs.
+
     With start <= stop and lo <= hi the count is (facts started by hi) - (facts stopped before lo). Both are
     running counts over one ordered pass per key, in which equal instants are merged before the shuffle and a
-    key is cut into months; no (stay, fact) pairs are formed. A fact whose stop lies before its start, an error
-    in the data, is counted by a join instead. Stays without a usable interval or any fact are left out.
-    `stay_id` must be unique.
+    key is cut into months. A fact whose stop lies before its start, an error in the data, is counted by a join.
     """
     names = list(facts)
-    wanted = stays.filter(F.col(lo) <= F.col(hi)).select(stay_id, key, lo, hi)
     sides = wanted.select(
         stay_id, key,
         F.inline(F.array(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD_GAP = r"[^\p{L}\p{N}]+"
@@ -22,18 +22,24 @@ def sentences(text: Column | str) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Runs of `n` tokens joined by a blank."""
-    out = tokens
-    for k in range(2, n + 1):
-        joined = F.zip_with(out, F.slice(tokens, k, F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b))
-        out = F.filter(joined, lambda g: g.isNotNull())
-    return out
-
-
-def phrases(tokens: Column, longest: int) -> Column:
-    """Distinct word runs of 1 to `longest` words."""
-    return F.array_distinct(F.concat(*[ngrams(tokens, n) for n in range(1, longest + 1)]))
+def phrase_hits(
+    texts: DataFrame, keys: list[str], tokens: str, table: DataFrame, phrase: str, longest: int
+) -> DataFrame:
+    """Rows of `table` whose phrase, up to `longest` words, occurs in the token array of a text, one per place.
+
+    Only tokens that some phrase uses go on; runs are rebuilt from their positions within the text. `keys` must
+    identify a text.
+    """
+    used = table.select(F.explode(F.split(phrase, " ")).alias("_w")).distinct()
+    rows = texts.select(*keys, F.posexplode(tokens).alias("_p", "_w")).join(used, "_w", "left_semi")
+    runs = [F.col("_w")]
+    here = Window.partitionBy(*keys).orderBy("_p")
+    for n in range(1, longest):
+        follows = F.lead("_p", n).over(here) == F.col("_p") + n
+        rows = rows.withColumn(f"_w{n}", F.when(follows, F.lead("_w", n).over(here)))
+        runs.append(F.concat(runs[-1], F.lit(" "), F.col(f"_w{n}")))
+    found = rows.select(*keys, F.explode(F.array(*runs)).alias(phrase)) if longest > 1 else rows.select(*keys, F.col("_w").alias(phrase))
+    return found.filter(F.col(phrase).isNotNull()).join(table, phrase)
 
 
 def any_like(text: Column, patterns: list[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitus.functions.columns import age_years, days, mean, n_rows, total
-from transitus.functions.skew import HOT_ROWS, dense_ids, interval_join, neighbours, overlap_counts, running_sums
+from transitus.functions.skew import HOT_ROWS, HOT_STAYS, dense_ids, interval_join, neighbours, overlap_counts, running_sums
 
 
 def patient_cohort(
@@ -128,7 +128,7 @@ def close_open_stays(transitions: DataFrame, as_of: Column | None = None) -> Dat
     return transitions.withColumn("discharge_date", F.coalesce("discharge_date", as_of))
 
 
-def active_facts(transitions: DataFrame, facts: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+def active_facts(transitions: DataFrame, facts: DataFrame, min_rows: int = HOT_STAYS) -> DataFrame:
     """One row per (transition, fact) where the fact holds at some time of the stay."""
     stays = transitions.select("transition_id", "patient_id", "admission_date", "discharge_date")
     return interval_join(
@@ -136,10 +136,11 @@ def active_facts(transitions: DataFrame, facts: DataFrame, min_rows: int = HOT_R
     ).drop("admission_date", "discharge_date")
 
 
-def active_counts(transitions: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
+def active_counts(transitions: DataFrame, facts: dict[str, DataFrame], min_rows: int = HOT_STAYS) -> DataFrame:
     """Transitions with one count column per fact table: facts held during the stay, 0 if none."""
     counts = overlap_counts(
-        transitions, facts, "patient_id", "transition_id", "admission_date", "discharge_date", "start_at", "stop_at"
+        transitions, facts, "patient_id", "transition_id", "admission_date", "discharge_date", "start_at", "stop_at",
+        min_rows,
     )
     return transitions.join(counts, "transition_id", "left").withColumns(
         {n: F.coalesce(n, F.lit(0).cast("bigint")) for n in facts}
@@ -147,11 +148,12 @@ def active_counts(transitions: DataFrame, facts: dict[str, DataFrame]) -> DataFr
 
 
 def profile_counts(
-    transitions: DataFrame, conditions: DataFrame, medications: DataFrame, allergies: DataFrame
+    transitions: DataFrame, conditions: DataFrame, medications: DataFrame, allergies: DataFrame,
+    min_rows: int = HOT_STAYS,
 ) -> DataFrame:
     """Transitions with the number of active conditions, medications and allergies, in one pass."""
     return active_counts(
-        transitions, {"n_conditions": conditions, "n_medications": medications, "n_allergies": allergies}
+        transitions, {"n_conditions": conditions, "n_medications": medications, "n_allergies": allergies}, min_rows
     )
 
 
@@ -162,7 +164,7 @@ ALLERGY_FIELDS = {"description": "allergy", "code": "code", "category": "categor
 
 def transition_profiles(
     transitions: DataFrame, conditions: DataFrame, medications: DataFrame, allergies: DataFrame,
-    part_size: int = 5_000, limit: int | None = None, min_rows: int = HOT_ROWS,
+    part_size: int = 5_000, limit: int | None = None, min_rows: int = HOT_STAYS,
 ) -> DataFrame:
     """Clinical state per transition as arrays of structs; arrays are empty, never null.
 
@@ -174,7 +176,7 @@ def transition_profiles(
     if limit is not None:
         transitions = transitions.orderBy("transition_id").limit(limit)
     largest = F.greatest("n_conditions", "n_medications", "n_allergies")
-    stays = profile_counts(transitions, conditions, medications, allergies).withColumn(
+    stays = profile_counts(transitions, conditions, medications, allergies, min_rows).withColumn(
         "_parts", F.greatest(F.ceil(largest / F.lit(part_size)), F.lit(1)).cast("int")
     )
     kinds = {
@@ -214,7 +216,7 @@ def transition_profiles(
 
 
 def recent_observations(
-    transitions: DataFrame, observations: DataFrame, lookback_days: int = 90, min_rows: int = HOT_ROWS
+    transitions: DataFrame, observations: DataFrame, lookback_days: int = 90, min_rows: int = HOT_STAYS
 ) -> DataFrame:
     """Last value of each vital in the `lookback_days` up to discharge, per transition."""
     stays = transitions.filter(F.col("discharge_date").isNotNull()).select(

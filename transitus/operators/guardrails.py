@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitus.functions.columns import days, rules
-from transitus.functions.text import any_like, phrases, sentences, word_count, words
+from transitus.functions.text import any_like, phrase_hits, sentences, word_count, words
 
 # Phrases of the checks, word limits and thresholds.
 DANGEROUS = ["%stop taking%", "%discontinue%immediately%", "%increase%dose%"]
@@ -45,13 +45,12 @@ def validate_profiles(
 def mentioned_terms(documents: DataFrame, dictionary: list[str], text: str, key: str = "transition_id") -> DataFrame:
     """(key, term) for every dictionary phrase that occurs in the text, once each.
 
-    Only the word runs as long as a dictionary entry are built, and distinct ones per text are kept.
+    `key` must identify a document.
     """
     terms = sorted({t.lower() for t in dictionary})
-    longest = max(len(t.split()) for t in terms)
     table = rules(documents.sparkSession, [(t,) for t in terms], "term string")
     tokens = documents.select(key, words(text).alias("_words"))
-    return tokens.select(key, F.explode(phrases(F.col("_words"), longest)).alias("term")).join(table, "term").select(key, "term")
+    return phrase_hits(tokens, [key], "_words", table, "term", max(len(t.split()) for t in terms)).select(key, "term").distinct()
 
 
 def term_hallucination(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitus.functions.columns import count_if, days, mean, n_rows, pct, ratio, rules, total
-from transitus.functions.text import ngrams, sentences, words
+from transitus.functions.text import phrase_hits, sentences, words
 from transitus.operators.approval import Machine, fold
 
 # Fixed value: letter, two characters, optional dot and up to four more.
@@ -137,12 +137,12 @@ MEASURES = [
 
 
 def note_sentences(notes: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Sentences that state something; a full stop inside a number does not end one."""
+    """Distinct sentences that state something; a full stop inside a number does not end one."""
     joined = F.regexp_replace(F.col(text), r"(\d)\.(\d)", "$1\u0001$2")
     return (
         notes.select(*key, F.explode(sentences(joined)).alias("sentence"))
         .withColumn("sentence", F.translate("sentence", "\u0001", "."))
-        .filter(~F.col("sentence").rlike(NEGATED))
+        .filter(~F.col("sentence").rlike(NEGATED)).distinct()
     )
 
 
@@ -152,11 +152,8 @@ def extract_terms(notes: DataFrame, synonyms: DataFrame, longest: int, key: list
     `synonyms` is (phrase, code) in lower case. Phrases must stand within one sentence.
     """
     stated = note_sentences(notes, key, text).withColumn("_words", words("sentence"))
-    runs = F.array_distinct(F.concat(*[ngrams(F.col("_words"), n) for n in range(1, longest + 1)]))
-    return (
-        stated.select(*key, "sentence", F.explode(runs).alias("phrase"))
-        .join(synonyms.select("phrase", "code"), "phrase").select(*key, "code", "phrase", "sentence").distinct()
-    )
+    hits = phrase_hits(stated, [*key, "sentence"], "_words", synonyms.select("phrase", "code"), "phrase", longest)
+    return hits.select(*key, "code", "phrase", "sentence").distinct()
 
 
 def measured_terms(notes: DataFrame, key: list[str], measures: list[tuple] = MEASURES, text: str = "text") -> DataFrame:

@@ -17,6 +17,8 @@ FOCUS = "snf"
 SETTINGS = ["inpatient", "snf", "emergency", "home", "hospice"]
 READMIT = ["inpatient", "emergency"]
 
+SMALL_BYTES = 1 << 30
+
 CLASS_OF_PRIORITY = {"1": "emergency", "2": "inpatient", "3": "snf", "4": "home", "5": "hospice"}
 ACTION_OF_EVENT = {
     "signup": "ASSIGNED", "view": "VIEWED", "click": "EDITED", "purchase": "APPROVED", "error": "REJECTED",
@@ -213,7 +215,11 @@ class Binding:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        """The driver writes one row group, hence one task: a small table is dealt out before the text work."""
+        docs = self.table("documents")
+        if int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SMALL_BYTES:
+            return docs
+        return docs.repartition(self.spark.sparkContext.defaultParallelism, "doc_id")
 
     @cached_property
     def narratives(self) -> DataFrame:
