@@ -68,13 +68,15 @@ def care_transitions(
     mode: str = "next",
     ids: str = "dense",
     min_rows: int = HOT_ROWS,
+    encounters: DataFrame | None = None,
 ) -> DataFrame:
     """One row per stay of class `focus`.
 
     `mode="next"` tests only the encounter that follows, and a negative gap (overlapping stays) counts unless
     `min_gap_days` is set. `mode="any_within"` tests every later encounter that starts from discharge on.
     `ids="dense"` numbers the stays by admission; `ids="hash"` needs no shuffle and does not change when late
-    stays arrive.
+    stays arrive. The numbers are made from `encounters` if given, which spares reading the sequence again; its
+    stays of class `focus` must be those of the sequence, as they are for a cohort of all patients with one.
     """
     gap = days("next_admission", "stop_at")
     stays = sequence.filter(F.col("encounter_class") == focus)
@@ -97,7 +99,11 @@ def care_transitions(
         )
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    if ids == "dense":
+    if ids == "dense" and encounters is not None:
+        focused = encounters.filter((F.col("encounter_class") == focus) & F.col("patient_id").isNotNull())
+        numbers = dense_ids(focused.select("encounter_id", "start_at"), "start_at", "encounter_id", "transition_id", min_rows)
+        stays = stays.join(numbers.drop("start_at"), "encounter_id")
+    elif ids == "dense":
         stays = dense_ids(stays, "start_at", "encounter_id", "transition_id", min_rows)
     else:
         stays = stays.withColumn("transition_id", F.xxhash64("encounter_id"))

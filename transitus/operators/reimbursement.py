@@ -126,7 +126,7 @@ def extract_codes(docs: DataFrame, dictionary: DataFrame, key: list[str], text:
 
 
 # Sentences with one of these words speak of what is absent or of relatives.
-NEGATED = r"(?i)(^|[^\p{L}])(denies|denied|no|not|without|negative for|family history)($|[^\p{L}])"
+NEGATED = r"(?i)\b(denies|denied|no|not|without|negative for|family history)\b"
 
 # (name, pattern with one number, lowest value, code): findings that a measurement shows.
 MEASURES = [

@@ -35,7 +35,9 @@ class Tables(Binding):
     @cached_property
     def transitions(self) -> DataFrame:
         # read by several branches of most queries
-        return stage(cohort.care_transitions(self.sequence, FOCUS, READMIT), "transitions")
+        return stage(
+            cohort.care_transitions(self.sequence, FOCUS, READMIT, encounters=self.encounters), "transitions"
+        )
 
     @cached_property
     def profile_counts(self) -> DataFrame:

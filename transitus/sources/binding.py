@@ -217,7 +217,7 @@ class Binding:
     def documents(self) -> DataFrame:
         """The driver writes one row group, hence one task: a small table is dealt out before the text work."""
         docs = self.table("documents")
-        if int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SMALL_BYTES:
+        if int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL_BYTES:
             return docs
         return docs.repartition(self.spark.sparkContext.defaultParallelism, "doc_id")
 
