@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transitus.functions.columns import count_if, days, mean, n_rows, pct, ratio, rules, total
+from transitus.functions.columns import count_if, days, n_rows, pct, ratio, rules, total
 from transitus.functions.text import phrase_hits, sentences, words
 from transitus.operators.approval import Machine, fold
 

@@ -50,10 +50,11 @@ def search_docs(
 ) -> DataFrame:
     """Best `k` documents per query by BM25. Words in more than `stop_share` of all documents are stop words.
 
-    Only words that some query asks for are counted in the documents. Term weights are rounded to six places
+    Equal query texts are searched once. Only words that some query asks for are counted in the documents. Term weights are rounded to six places
     as decimals before they are summed.
     """
-    asked = queries.select(F.col(query_key), F.explode(F.array_distinct(words(text))).alias("word"))
+    hashed = queries.select(query_key, F.sha2(text, 256).alias("_q"), text)
+    asked = hashed.groupBy("_q").agg(F.min(text).alias(text)).select("_q", F.explode(F.array_distinct(words(text))).alias("word"))
     parsed = docs.select(key, words(text).alias("_words"))
     sizes = parsed.agg(n_rows().alias("n"), F.sum(F.size("_words")).alias("words"))
     n, all_words = sizes.select("n").scalar(), sizes.select("words").scalar()
@@ -68,12 +69,12 @@ def search_docs(
     weight = idf * F.col("_tf").cast("double") * F.lit(K1 + 1) / (F.col("_tf").cast("double") + F.lit(K1) * norm)
     terms = asked.join(frequency, "word")
     hits = salted_join(tf, terms, "word", heaviest(frequency, "word", "_df", min_rows), [key])
-    best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return (
-        hits.groupBy(query_key, key).agg(F.sum(F.round(weight, 6).cast(WEIGHT)).cast("double").alias("score"))
+    best = Window.partitionBy("_q").orderBy(F.desc("score"), key)
+    top = (
+        hits.groupBy("_q", key).agg(F.sum(F.round(weight, 6).cast(WEIGHT)).cast("double").alias("score"))
         .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        .select(query_key, "rank", key, "score")
     )
+    return hashed.drop(text).join(top, "_q").select(query_key, "rank", key, "score")
 
 
 MAX_QUERY_VECTORS = 4_096

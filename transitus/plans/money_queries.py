@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from transitus.functions.columns import lookup, n_rows
 from transitus.operators import denial, reimbursement as rb
 from transitus.plans.registry import query
-from transitus.sources.binding import FOCUS, add_days
+from transitus.sources.binding import FOCUS
 
 STATUS = """CASE WHEN outstanding > 0 AND date_diff('day', service_at, billed_at) > 60 THEN 'LIKELY_DENIED'
                  WHEN outstanding > 0 THEN 'PENDING' ELSE 'PAID' END"""
