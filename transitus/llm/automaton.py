@@ -60,8 +60,11 @@ class SuffixAutomaton:
         """States from the longest to the shortest, so that a link comes after what points to it."""
         return sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True)
 
-    def matches(self, symbols: Sequence[int]) -> Iterator[tuple[int, int]]:
-        """For each position the state and the length of the longest run of the added sequences that ends there."""
+    def matches(self, symbols: Sequence[int], cap: int) -> Iterator[tuple[int, int]]:
+        """For each position the state and the length of the longest run of the added sequences that ends there.
+
+        Runs above `cap` are cut to the shortest state that holds their last `cap` symbols.
+        """
         following, link, length = self.next, self.link, self.length
         state = run = 0
         for symbol in symbols:
@@ -74,4 +77,7 @@ class SuffixAutomaton:
             if target is not None:
                 state = target
                 run += 1
+                while length[link[state]] >= cap:
+                    state = link[state]
+                    run = length[state]
             yield state, run

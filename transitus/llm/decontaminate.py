@@ -64,15 +64,12 @@ class ItemIndex:
         spans: list[tuple[int, int]] = []
         found: set[str] = set()
         symbols = [get(w, -1) for w in text_words]
-        for at, (state, run) in enumerate(self.graph.matches(symbols), 1):
+        for at, (state, run) in enumerate(self.graph.matches(symbols, window), 1):
             if run < window and not below[state]:
                 continue
             longest = 0
             if run >= window:
-                holder = state
-                while length[link[holder]] >= window:
-                    holder = link[holder]
-                if names := self.ends.get(holder):
+                if names := self.ends.get(state):
                     found |= names
                     longest = window
             while below[state]:

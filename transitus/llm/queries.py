@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitus.llm import bpe, decontaminate, exact_dedup, language_id, sharding, warc
+from transitus.llm import bpe, decontaminate, exact_dedup, language_id, sharding, substring_dedup, suffix_dedup, warc
 from transitus.llm.common import table
 from transitus.llm.sql import ORACLES
 
@@ -27,6 +27,11 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents"), 400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
@@ -41,6 +46,11 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", coded.alias("_coded")).select("doc_id", "_coded.*")
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.remove_earlier(table(spark, folder, "documents"), 50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, folder, "documents"), digest_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -51,5 +61,9 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_warc, op4_sharding, op5_bpe, op8_exact_dedup, op10_language_id)
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_suffix_dedup, op3_warc, op4_sharding, op5_bpe, op6_substring_dedup, op8_exact_dedup,
+        op10_language_id,
+    )
 }

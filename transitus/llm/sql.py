@@ -53,4 +53,23 @@ FROM told t LEFT JOIN words ON words.id = t.id LEFT JOIN items ON items.id = t.i
 WHERE kind = 'd'
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op3_warc": _WARC, "op8_exact_dedup": _EXACT}
+_SUBSTRING = r"""
+WITH told AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), runs AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS pos,
+         md5(unnest(list_transform(range(1, len(w) - 48), lambda i: array_to_string(w[i : i + 49], ' ')))) AS run
+  FROM told WHERE len(w) >= 50
+), earlier AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY run) AS first FROM runs
+), gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS word FROM earlier WHERE first < doc_id
+), lists AS (SELECT doc_id, list(word) AS words FROM gone GROUP BY doc_id
+), cut AS (
+  SELECT t.doc_id, t.w, coalesce(len(l.words), 0) AS n_removed,
+         CASE WHEN l.words IS NULL THEN t.w ELSE list_transform(list_filter(list_zip(t.w, range(1, len(t.w) + 1)),
+           lambda x: NOT list_contains(l.words, x[2])), lambda x: x[1]) END AS kept
+  FROM told t LEFT JOIN lists l ON l.doc_id = t.doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM cut
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op3_warc": _WARC, "op6_substring_dedup": _SUBSTRING, "op8_exact_dedup": _EXACT}
