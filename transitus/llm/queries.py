@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitus.llm import bpe, decontaminate, exact_dedup, language_id, sharding, substring_dedup, suffix_dedup, warc
+from transitus.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, sharding, substring_dedup, suffix_dedup, warc
 from transitus.llm.common import table
 from transitus.llm.sql import ORACLES
 
@@ -56,6 +56,11 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dedup.near_dedup(table(spark, folder, "documents"), near_dedup.Forest(shingle=3, percent=85))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.language_id(table(spark, folder, "documents"))
 
@@ -64,6 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_suffix_dedup, op3_warc, op4_sharding, op5_bpe, op6_substring_dedup, op8_exact_dedup,
-        op10_language_id,
+        op9_near_dedup, op10_language_id,
     )
 }
