@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitus.llm import bpe, decontaminate, exact_dedup, language_id
+from transitus.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup
 from transitus.llm.common import drop_rows, prepared, table
 from transitus.llm.queries import vocabulary_path
 from transitus.session import shared_folder
@@ -30,6 +30,12 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return drop_rows(docs, exact_dedup.exact_dedup(docs))
 
 
+def dissimilar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more over shingles of five words one goes on, the smallest doc_id."""
+    prepared(spark)
+    return drop_rows(docs, near_dedup.near_dedup(docs, near_dedup.Forest(shingle=5, percent=80)))
+
+
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go: a twentieth of their words or more lies in windows of test items."""
     benchmark = table(spark, sf_dir, "benchmark")
@@ -40,14 +46,14 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's tokens, with digests of its ids and of the text decoded from them."""
     prepared(spark)
-    coded = bpe.round_trip(spark, F.col("text"), vocabulary_path())
-    ids = bpe.encoder(spark, vocabulary_path())(F.col("text"))
-    return docs.select("doc_id", coded.alias("_coded"), ids.alias("ids")).select("doc_id", "_coded.*", "ids")
+    coded = bpe.round_trip(spark, F.col("text"), vocabulary_path(), with_ids=True)
+    return docs.select("doc_id", coded.alias("_coded")).select("doc_id", "_coded.*")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", known_language),
     ("exact_dedup", distinct_texts),
+    ("near_dedup", dissimilar_texts),
     ("benchmark", clean_of_benchmark),
     ("tokens", tokens),
 ]

@@ -136,14 +136,15 @@ def decoder(spark: SparkSession, path: str):
     return decode
 
 
-def round_trip(spark: SparkSession, text: Column, path: str) -> Column:
+def round_trip(spark: SparkSession, text: Column, path: str, with_ids: bool = False) -> Column:
     """A struct of `CODED` for each text: number and digest of its ids, and digest of the text decoded from them.
 
+    `with_ids` adds the ids themselves.
     A null text counts as empty: no ids, digests of the empty string.
     """
     said = vocabulary(spark, path)
 
-    @F.pandas_udf(CODED)
+    @F.pandas_udf(CODED + ", ids array<int>" * with_ids)
     def code(texts: pd.Series) -> pd.DataFrame:
         bpe = said.get()
         rows = []
@@ -151,8 +152,9 @@ def round_trip(spark: SparkSession, text: Column, path: str) -> Column:
             ids = bpe.encode(text or "")
             joined = ",".join(map(str, ids)).encode()
             back = bpe.decode(ids).encode()
-            rows.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(back).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            row = (len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(back).hexdigest())
+            rows.append((*row, ids) if with_ids else row)
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     return code(text)
 

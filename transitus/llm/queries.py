@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitus.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, sharding, substring_dedup, suffix_dedup, warc
+from transitus.llm import bpe, decontaminate, exact_dedup, html_text, language_id, near_dedup, sharding, substring_dedup, suffix_dedup, warc
 from transitus.llm.common import table
 from transitus.llm.sql import ORACLES
 
@@ -51,6 +51,10 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(table(spark, folder, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, folder, "documents"), digest_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -68,7 +72,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_decontaminate, op2_suffix_dedup, op3_warc, op4_sharding, op5_bpe, op6_substring_dedup, op8_exact_dedup,
+        op1_decontaminate, op2_suffix_dedup, op3_warc, op4_sharding, op5_bpe, op6_substring_dedup, op7_html_text, op8_exact_dedup,
         op9_near_dedup, op10_language_id,
     )
 }
