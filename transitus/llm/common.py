@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitus.session import stage, tune
+from transitus.session import shared_folder, tune
 
 # Rows of a Python batch: whole texts travel, so a batch must stay small even when every text is long.
 BATCH_ROWS = 256
 # A side with at most this many rows of a few short columns (some 10 MB) may be broadcast; beyond it is shuffled.
 BROADCAST_ROWS = 200_000
 
-__all__ = ["BROADCAST_ROWS", "Shipped", "drop_rows", "maybe_broadcast", "no_text", "prepared", "stage", "table", "text_key"]
-
-
 def prepared(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Steps are written and read back, so no later job reads an earlier one's shuffle files.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return tune(spark)
 
 
@@ -28,6 +28,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a step to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete written steps that no later step reads."""
+    for df in written:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def no_text(text: str) -> Column:
     """A null text is an empty one."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transitus.llm.common import maybe_broadcast, no_text, text_key
+from transitus.llm.common import maybe_broadcast, no_text, stage, text_key
 
 U64 = np.uint64
 RUN = "doc_id bigint, text_key bigint, mark int, lo int, start int, stop int, core bigint, hull bigint"
@@ -56,21 +56,16 @@ class Prints:
         return _mixed((sums[size:] - sums[:-size]) * self.down[:count])
 
 
-def _sliding(values: np.ndarray, span: int, pick: Callable) -> np.ndarray:
-    """The smallest or largest of each `span` values in a row, by doubling."""
+def marks(grams: np.ndarray, span: int) -> np.ndarray:
+    """Places of the smallest, leftmost value of any `span` values in a row."""
+    placed = (grams & U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U64)
     width = 1
     while 2 * width <= span:
-        values = pick(values[:-width], values[width:])
+        placed = np.minimum(placed[:-width], placed[width:])
         width *= 2
-    return pick(values[: len(values) + width - span], values[span - width :]) if width < span else values
-
-
-def marks(grams: np.ndarray, span: int) -> np.ndarray:
-    """Places that hold the smallest value of any `span` values in a row; equal ones all count."""
-    order = (grams >> U64(32)).astype(np.uint32)
-    least = _sliding(order, span, np.minimum)
-    edge = np.zeros(span - 1, np.uint32)
-    return np.flatnonzero(order == _sliding(np.concatenate((edge, least, edge)), span, np.maximum))
+    if width < span:
+        placed = np.minimum(placed[: len(placed) + width - span], placed[span - width :])
+    return np.unique(placed[np.concatenate(([True], placed[1:] != placed[:-1]))] & U64(0xFFFFFFFF)).astype(np.int64)
 
 
 class Runs:
@@ -96,20 +91,20 @@ class Runs:
         hull = self.hull.of(hulls, start, stop) ^ _mixed(cut)
         return {"mark": mark, "lo": lo, "start": start, "stop": stop, "core": core.view(np.int64), "hull": hull.view(np.int64)}
 
-    def _rows(self, doc_id: int | None, key: int, found: dict) -> pd.DataFrame:
-        rows = pd.DataFrame(found)
-        rows.insert(0, "text_key", key)
-        rows.insert(0, "doc_id", pd.array([doc_id] * len(rows), dtype="Int64"))
-        return rows
-
-    def _texts(self, ids: pd.Series, keys: pd.Series, texts: pd.Series) -> Iterator[tuple]:
-        for doc_id, key, text in zip(ids, keys, texts, strict=True):
-            if text is None or len(text.encode()) < self.length:
-                continue
-            symbols = self.symbols(text)
-            if len(symbols) >= self.length:
-                cores = self.core.prefix(symbols)
-                yield (None if pd.isna(doc_id) else int(doc_id)), key, symbols, cores, self.hull.prefix(symbols)
+    @staticmethod
+    def _rows(batch: pd.DataFrame, found: list[tuple[int, dict]]) -> pd.DataFrame:
+        """One frame for what was found in the texts of a batch, given by their places."""
+        at = np.repeat([k for k, _ in found], [len(f["mark"]) for _, f in found])
+        rows = {"doc_id": batch["doc_id"].astype("Int64").take(at).array, "text_key": batch["text_key"].to_numpy()[at]}
+        return pd.DataFrame(rows | {name: np.concatenate([f[name] for _, f in found]) for name in found[0][1]})
+
+    def _texts(self, texts: pd.Series) -> Iterator[tuple]:
+        """Place, size and both prefix sums of the texts that are long enough."""
+        for at, text in enumerate(texts):
+            if len(text) * 4 >= self.length:
+                symbols = self.symbols(text)
+                if len(symbols) >= self.length:
+                    yield at, len(symbols), self.core.prefix(symbols), self.hull.prefix(symbols)
 
     def first(self, docs: DataFrame) -> DataFrame:
         """All marks of all texts with their whole interval; one pass over the texts, which are not shuffled."""
@@ -118,12 +113,12 @@ class Runs:
             with np.errstate(over="ignore"):
                 for batch in batches:
                     out = []
-                    for doc_id, key, symbols, cores, hulls in self._texts(batch["doc_id"], batch["text_key"], batch["text"]):
+                    for at, size, cores, hulls in self._texts(batch["text"]):
                         mark = marks(self.core.grams(cores, self.gram), self.offsets)
                         lo = np.zeros(len(mark), np.int64)
-                        out.append(self._rows(doc_id, key, self._described(len(symbols), cores, hulls, mark, lo, self.offsets)))
+                        out.append((at, self._described(size, cores, hulls, mark, lo, self.offsets)))
                     if out:
-                        yield pd.concat(out, ignore_index=True)
+                        yield self._rows(batch, out)
 
         return keyed(docs).mapInPandas(scan, RUN)
 
@@ -134,18 +129,16 @@ class Runs:
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with np.errstate(over="ignore"):
                 for batch in batches:
-                    wanted = dict(zip(zip(batch["doc_id"], batch["text_key"], strict=True), batch["_runs"], strict=True))
-                    out = []
-                    for doc_id, key, symbols, cores, hulls in self._texts(batch["doc_id"], batch["text_key"], batch["text"]):
-                        runs = wanted[doc_id, key] if doc_id is not None else wanted[batch["doc_id"].iloc[0], key]
-                        pairs = np.array([(r["mark"], r["lo"]) for r in runs], np.int64)
+                    out, lists = [], batch["_runs"].to_numpy()
+                    for at, size, cores, hulls in self._texts(batch["text"]):
+                        pairs = np.array([(r["mark"], r["lo"]) for r in lists[at]], np.int64)
                         steps = np.arange(0, wider, width)
                         mark = np.repeat(pairs[:, 0], len(steps))
                         lo = (pairs[:, 1, None] + steps).ravel()
                         keep = lo < self.offsets
-                        out.append(self._rows(doc_id, key, self._described(len(symbols), cores, hulls, mark[keep], lo[keep], width)))
+                        out.append((at, self._described(size, cores, hulls, mark[keep], lo[keep], width)))
                     if out:
-                        yield pd.concat(out, ignore_index=True)
+                        yield self._rows(batch, out)
 
         return with_runs(texts, runs.select("doc_id", "text_key", F.struct("mark", "lo").alias("_run"))).mapInPandas(scan, RUN)
 
@@ -169,8 +162,6 @@ def with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
 
 def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The texts that `rows` (a written table with doc_id, text_key) name; the list is broadcast if it is short."""
-    from transitus.llm.common import stage
-
     wanted = maybe_broadcast(stage(rows.select("doc_id", "text_key").distinct(), "wanted"))
     texts = keyed(docs)
     return texts.join(wanted, same_row(texts, wanted), "left_semi")

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitus.llm.automaton import SuffixAutomaton
-from transitus.llm.common import stage
+from transitus.llm.common import discard, stage
 from transitus.llm.runs import KEY, Runs, apply_spans, texts_of, united, with_runs
 
-LENGTH, GRAM = 50, 8
+LENGTH, GRAM = 50, 20
 # Distinct pieces around equal cores that one automaton takes; cores with more are divided first.
 GROUP_PIECES = 500
 # Pieces of one shard, on average.
@@ -101,19 +101,23 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     """
     finder = Runs(length, gram, _Words())
     rank = F.coalesce("doc_id", F.lit(LAST))
+    span = ["doc_id", "text_key", "start", "stop"]
     runs, found = stage(finder.first(docs), "marks"), []
     for level in range(len(finder.widths)):
         if level:
             if live.isEmpty():
                 break
-            runs = stage(finder.divided(stage(texts_of(docs, live), "texts"), live, level), "runs")
+            texts = stage(texts_of(docs, live), "texts")
+            runs = stage(finder.divided(texts, live, level), "runs")
+            discard(live, texts)
         cores = stage(
             runs.groupBy(*KEY).agg(F.min(rank).alias("_a"), F.max(rank).alias("_b")).filter("_a < _b").select(*KEY), "cores"
         )
         shared = stage(runs.join(cores, KEY, "left_semi"), "shared")
+        discard(runs, cores)
         pieces = stage(
             shared.groupBy(*KEY, "hull").agg(
-                F.min(rank).alias("rank"), F.min_by(F.struct("doc_id", "text_key", "start", "stop"), rank).alias("_at")
+                F.min(rank).alias("rank"), F.min_by(F.struct(*span), rank).alias("_at")
             ),
             "pieces",
         )
@@ -121,8 +125,7 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
         most = group_pieces if level + 1 < len(finder.widths) else LAST
         some, many = sizes.filter(F.col("_pieces") <= most).select(*KEY), sizes.filter(F.col("_pieces") > most).select(*KEY)
         lone = pieces.join(sizes.select(*KEY), KEY, "left_anti").select(*KEY, "hull", "rank")
-        later = stage(shared.join(lone, [*KEY, "hull"]).filter(F.col("rank") < rank).select("doc_id", "text_key", "start", "stop"), "later")
-        found.append(later)
+        found.append(stage(shared.join(stage(lone, "lone"), [*KEY, "hull"]).filter(F.col("rank") < rank).select(*span), "spans"))
         searched = stage(pieces.join(some, KEY, "left_semi"), "searched")
         if not searched.isEmpty():
             texts = stage(texts_of(docs, searched.select("_at.*")), "texts")
@@ -134,8 +137,11 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
                     " s -> s is not null)"
                 )).alias("_span"),
             )
-            found.append(hit.select("doc_id", "text_key", "_span.start", "_span.stop"))
+            hit = hit.select("doc_id", "text_key", "_span.start", "_span.stop")
+            found.append(stage(hit, "spans"))
+            discard(texts, ranks)
         live = stage(shared.join(many, KEY, "left_semi").select("doc_id", "text_key", "mark", "lo"), "live")
+        discard(shared, pieces, sizes, searched)
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)

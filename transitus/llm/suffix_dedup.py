@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitus.llm.common import stage
+from transitus.llm.common import discard, stage
 from transitus.llm.runs import KEY, Runs, apply_spans, same_row, texts_of, united
 
-LENGTH, GRAM = 400, 32
+LENGTH, GRAM = 400, 160
 CUT = "doc_id bigint, text_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 _LETTERS = np.random.default_rng(7).integers(0, 1 << 63, 256, np.int64).astype(np.uint64)
 
@@ -38,8 +38,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 break
             texts = texts if texts is not None else stage(texts_of(docs, live), "texts")
             runs = stage(finder.divided(texts, live, level), "runs")
+            discard(live)
         ranks = stage(runs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*KEY), "ranks")
         shared = stage(runs.join(ranks, KEY, "left_semi"), "shared")
+        discard(runs, ranks)
         hulls = stage(
             shared.groupBy(*KEY, "hull").agg(
                 F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "text_key", "mark")).alias("_first")
@@ -49,12 +51,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         sorted_out = stage(
             shared.join(hulls.select(*KEY, "hull", F.lit(True).alias("_settled")), [*KEY, "hull"], "left"), "sorted_out"
         )
-        found.append(sorted_out.filter("_settled").select("doc_id", "text_key", "start", "stop"))
+        discard(shared)
+        found.append(stage(sorted_out.filter("_settled").select("doc_id", "text_key", "start", "stop"), "spans"))
         if level + 1 < len(finder.widths):
             loose = sorted_out.filter("_settled is null")
             near = loose.select(*KEY).distinct()
             witness = hulls.join(near, KEY, "left_semi").select("_first.*", "lo")
             live = stage(loose.select("doc_id", "text_key", "mark", "lo").unionByName(witness), "live")
+        discard(sorted_out, hulls)
+    if texts is not None:
+        discard(texts)
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
