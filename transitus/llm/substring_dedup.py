@@ -18,7 +18,7 @@ LENGTH, GRAM = 50, 20
 # Distinct pieces around equal cores that one automaton takes; cores with more are divided first.
 GROUP_PIECES = 500
 # Pieces of one shard, on average.
-SHARD_PIECES = 1_000
+SHARD_PIECES = 500
 # The rank of a document without an id: later than any other.
 LAST = (1 << 63) - 1
 CUT = "doc_id bigint, text_key bigint, n_words bigint, n_removed bigint, kept string"
@@ -96,8 +96,9 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     """doc_id, text_key, start, stop (words): strings of `length` words that a document with a smaller doc_id has.
 
     Candidates are runs around marks whose core is in documents of two ids. Equal pieces are one, ranked by the
-    smallest doc_id. A core with one piece needs no search; one with up to `group_pieces` goes to a shard; beyond
-    that the runs are divided, which makes cores longer, up to whole strings, where pieces are equal.
+    smallest doc_id, and a later document with the same piece loses all of it. For the first document of a piece a
+    core with one piece needs no search; one with up to `group_pieces` goes to a shard; beyond that the runs are
+    divided, which makes cores longer, up to whole strings, where pieces are equal.
     """
     finder = Runs(length, gram, _Words())
     rank = F.coalesce("doc_id", F.lit(LAST))
@@ -124,13 +125,19 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
         sizes = stage(pieces.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_pieces")).filter("_pieces > 1"), "sizes")
         most = group_pieces if level + 1 < len(finder.widths) else LAST
         some, many = sizes.filter(F.col("_pieces") <= most).select(*KEY), sizes.filter(F.col("_pieces") > most).select(*KEY)
-        lone = pieces.join(sizes.select(*KEY), KEY, "left_anti").select(*KEY, "hull", "rank")
-        found.append(stage(shared.join(stage(lone, "lone"), [*KEY, "hull"]).filter(F.col("rank") < rank).select(*span), "spans"))
+        # An earlier document with the same piece has all its strings: only the first one of each piece goes on.
+        ranked = stage(
+            shared.join(pieces.select(*KEY, "hull", F.col("rank").alias("_first")), [*KEY, "hull"]).withColumn("_rank", rank),
+            "ranked",
+        )
+        discard(shared)
+        found.append(stage(ranked.filter("_first < _rank").select(*span), "spans"))
+        heads = ranked.filter("_first = _rank")
         searched = stage(pieces.join(some, KEY, "left_semi"), "searched")
         if not searched.isEmpty():
             texts = stage(texts_of(docs, searched.select("_at.*")), "texts")
             ranks = stage(_piece_ranks(finder, texts, searched), "piece_ranks")
-            hit = shared.join(ranks, [*KEY, "hull"]).withColumn("_rank", rank).select(
+            hit = heads.join(ranks, [*KEY, "hull"]).select(
                 "doc_id", "text_key",
                 F.explode(F.expr(
                     f"filter(transform(ranks, (r, i) -> if(r < _rank, struct(start + i AS start, start + i + {length} AS stop), null)),"
@@ -140,8 +147,8 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
             hit = hit.select("doc_id", "text_key", "_span.start", "_span.stop")
             found.append(stage(hit, "spans"))
             discard(texts, ranks)
-        live = stage(shared.join(many, KEY, "left_semi").select("doc_id", "text_key", "mark", "lo"), "live")
-        discard(shared, pieces, sizes, searched)
+        live = stage(heads.join(many, KEY, "left_semi").select("doc_id", "text_key", "mark", "lo"), "live")
+        discard(ranked, pieces, sizes, searched)
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
