@@ -51,8 +51,8 @@ def codewords(languages: int) -> np.ndarray:
     Up to seven languages: every split of them into two sides once. More: rows of a Hadamard matrix, any two of
     which differ in half of their bits.
     """
-    if languages == 1:
-        return np.ones((1, 1))
+    if languages <= 1:
+        return np.ones((languages, 1))
     if languages <= 7:
         splits = [s for s in product((1, -1), repeat=languages - 1) if -1 in s]
         return np.array([(1, *s) for s in splits], dtype=float).T
