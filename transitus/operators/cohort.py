@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitus.functions.columns import age_years, days, mean, n_rows, total
@@ -221,21 +221,48 @@ def transition_profiles(
     )
 
 
-def recent_observations(
-    transitions: DataFrame, observations: DataFrame, lookback_days: int = 90, min_rows: int = HOT_STAYS
-) -> DataFrame:
-    """Last value of each vital in the `lookback_days` up to discharge, per transition."""
-    stays = transitions.filter(F.col("discharge_date").isNotNull()).select(
-        "transition_id", "patient_id", F.col("discharge_date").alias("_hi"),
-        (F.col("discharge_date") - F.make_dt_interval(F.lit(lookback_days))).alias("_lo"),
+def recent_observations(transitions: DataFrame, observations: DataFrame) -> DataFrame:
+    """Last value of each vital up to discharge, per transition, and how many readings there were by then.
+
+    Readings and discharges lie on one line per patient and vital, cut into months; each discharge takes the last
+    reading before it, from its own month or carried over from an earlier one. No (stay, reading) pairs are formed.
+    """
+    keys = ["patient_id", "vital"]
+    reading = F.struct("observed_at", "observation_id", F.col("value").cast("bigint").alias("value"))
+    readings = observations.filter(F.col("observed_at").isNotNull()).select(
+        *keys, F.col("observed_at").alias("_at"), F.lit(None).cast("string").alias("transition_id"), reading.alias("_reading")
+    )
+    stays = transitions.filter(F.col("discharge_date").isNotNull())
+    ids = dict(stays.dtypes)["transition_id"]
+    marks = (
+        stays.select("transition_id", "patient_id", F.col("discharge_date").alias("_at"))
+        .join(observations.select(*keys).distinct(), "patient_id")
+        .select(*keys, "_at", F.col("transition_id").cast("string").alias("transition_id"),
+                F.lit(None).cast(readings.schema["_reading"].dataType).alias("_reading"))
+    )
+    line = readings.unionByName(marks).withColumn("_month", F.trunc("_at", "month"))
+    inner = (
+        Window.partitionBy(*keys, "_month").orderBy("_at", F.col("transition_id").isNotNull(), "_reading")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    before = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    months = (
+        readings.withColumn("_month", F.trunc("_at", "month")).groupBy(*keys, "_month")
+        .agg(F.max("_reading").alias("_last"), n_rows().alias("_n"))
+    )
+    # months that hold only discharges carry over too
+    carried = (
+        line.select(*keys, "_month").distinct().join(months, [*keys, "_month"], "left")
+        .select(*keys, "_month", F.last("_last", True).over(before).alias("_earlier"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_sofar"))
+    )
+    met = (
+        line.withColumn("_own", F.last("_reading", True).over(inner)).withColumn("_count", F.count("_reading").over(inner))
+        .filter(F.col("transition_id").isNotNull()).join(carried, [*keys, "_month"])
+        .withColumn("_found", F.coalesce("_own", "_earlier")).filter(F.col("_found").isNotNull())
     )
-    seen = observations.withColumn("_until", F.col("observed_at"))
-    hits = interval_join(stays, seen, "patient_id", "_lo", "_hi", "observed_at", "_until", min_rows)
-    order = F.struct("observed_at", "observation_id", "value")
-    return hits.groupBy("transition_id", "vital").agg(
-        F.max_by("value", order).cast("bigint").alias("last_value"),
-        F.max("observed_at").alias("observed_at"),
-        n_rows().alias("n_readings"),
+    return met.select(
+        F.col("transition_id").cast(ids).alias("transition_id"), "vital", F.col("_found.value").alias("last_value"),
+        F.col("_found.observed_at").alias("observed_at"), (F.col("_count") + F.col("_sofar")).cast("bigint").alias("n_readings"),
     )
 
 

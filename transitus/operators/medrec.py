@@ -27,7 +27,10 @@ def with_class(held: DataFrame, classes: DataFrame, key: str) -> DataFrame:
 def drug_interactions(
     held: DataFrame, classes: DataFrame, key: str, pairs: list[tuple[str, str, str, str]] = INTERACTIONS
 ) -> DataFrame:
-    """(key, rule, severity, side, code, description): every drug on either side of a rule whose two sides are held."""
+    """(key, rule, severity, side, code, description): every drug on either side of a rule whose two sides are held.
+
+    The sides must be held as two drugs: one drug is no finding, whether its class is on both sides or it has both.
+    """
     sides = rules(
         held.sparkSession,
         [(r, c, side, sev) for r, a, b, sev in pairs for side, c in (("A", a), ("B", b))],
@@ -35,8 +38,10 @@ def drug_interactions(
     )
     sided = with_class(held, classes, key).join(sides, "drug_class")
     both = (
-        sided.groupBy(key, "rule").agg(F.min("side").alias("_a"), F.max("side").alias("_b"))
-        .filter(F.col("_a") != F.col("_b")).select(key, "rule")
+        sided.groupBy(key, "rule").agg(
+            F.min("side").alias("_a"), F.max("side").alias("_b"), F.min("code").alias("_c"), F.max("code").alias("_d")
+        )
+        .filter((F.col("_a") != F.col("_b")) & (F.col("_c") != F.col("_d"))).select(key, "rule")
     )
     return sided.join(both, [key, "rule"], "left_semi").select(key, "rule", "severity", "side", "code", "description")
 

@@ -51,7 +51,8 @@ def component_classes(
     """Patients with their nursing, ancillary and therapy class.
 
     Nursing A–E from (category, comorbidity class); ancillary A–F from the number of services, five or more
-    being the highest; therapy A–D from the function score in quarters of 0–24.
+    being the highest; therapy A–D from the function score in quarters of 0–24, 24 being in the last. A patient
+    without a score, or with one outside 0–24, has no therapy class.
     """
     nursing = rules(patients.sparkSession, nursing_rules, "clinical_category string, comorbidity_class bigint, nursing_class string")
     counts = services.groupBy("patient_id").agg(n_rows().alias("n_services"))
@@ -64,7 +65,10 @@ def component_classes(
             "patient_id", "clinical_category", "comorbidity_class", F.coalesce("n_services", F.lit(0)).cast("bigint").alias("n_services"),
             F.coalesce("nursing_class", F.lit("A")).alias("nursing_class"),
             F.substring(F.lit("ABCDEF"), F.least(place, F.lit(5)).cast("int") + 1, F.lit(1)).alias("nta_class"),
-            F.substring(F.lit("ABCD"), F.floor(function_score / 6).cast("int") + 1, F.lit(1)).alias("therapy_class"),
+            F.when(
+                function_score.between(0, 24),
+                F.substring(F.lit("ABCD"), F.least(F.floor(function_score / 6), F.lit(3)).cast("int") + 1, F.lit(1)),
+            ).alias("therapy_class"),
         )
     )
 
@@ -73,7 +77,10 @@ THERAPIES = ["PT", "OT", "SLP"]
 
 
 def optimal_daily_rate(classes: DataFrame, rates: list[tuple[str, str, float]], non_case_mix: float) -> DataFrame:
-    """Daily rate = PT + OT + SLP + nursing + ancillaries + the part that does not depend on the case mix."""
+    """Daily rate = PT + OT + SLP + nursing + ancillaries + the part that does not depend on the case mix.
+
+    Null where a component has no class or its class no rate.
+    """
     table = rules(
         classes.sparkSession, rates, "component string, class string, rate double"
     ).withColumn("rate", F.col("rate").cast("decimal(18,2)"))
@@ -84,7 +91,8 @@ def optimal_daily_rate(classes: DataFrame, rates: list[tuple[str, str, float]],
     )
     sums = (
         classes.select("patient_id", F.inline(parts)).join(F.broadcast(table), ["component", "class"], "left")
-        .groupBy("patient_id").agg(F.sum("rate").alias("_rate"))
+        .groupBy("patient_id")
+        .agg(F.when(F.count("rate") == n_rows(), F.sum("rate")).alias("_rate"))
     )
     return sums.select("patient_id", (F.col("_rate") + F.lit(non_case_mix).cast("decimal(18,2)")).cast("double").alias("optimal_rate"))
 
@@ -171,23 +179,23 @@ def measured_terms(notes: DataFrame, key: list[str], measures: list[tuple] = MEA
 def note_gaps(terms: DataFrame, assessed: DataFrame, impact: DataFrame) -> DataFrame:
     """Terms of the notes not on the assessment, with component, daily value and one sentence as evidence.
 
-    `impact` is (code, component, daily_value).
+    `impact` is (code, component, daily_value); a code that it does not list is a gap with neither.
     """
     coded = assessed.select("patient_id", normal_code("code").alias("_n")).distinct()
     return (
         terms.groupBy("patient_id", "code").agg(F.min("sentence").alias("evidence"), n_rows().alias("mentions"))
         .withColumn("_n", normal_code("code"))
         .join(coded, ["patient_id", "_n"], "left_anti").drop("_n")
-        .join(impact, "code")
+        .join(impact, "code", "left")
     )
 
 
 def discharge_gap(found: DataFrame, assessed: DataFrame, impact: DataFrame, los_days: int = 21) -> DataFrame:
     """Per patient: codes of the discharge text not assessed, their daily value and its sum over the stay.
 
-    Within one component only the best code counts.
+    Within one component only the best code counts. Codes without a value are counted and add none.
     """
-    gaps = missed_codes(found, assessed).join(impact, "code")
+    gaps = missed_codes(found, assessed).join(impact, "code", "left")
     best = gaps.groupBy("patient_id", "component").agg(F.max("daily_value").alias("_best"), n_rows().alias("_codes"))
     return best.groupBy("patient_id").agg(
         F.sum("_codes").cast("bigint").alias("missed"), total("_best").alias("daily_gap"),

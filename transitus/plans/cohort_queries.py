@@ -97,8 +97,7 @@ def transition_profiles(t):
              row_number() OVER (PARTITION BY t.transition_id, o.vital
                                 ORDER BY o.observed_at DESC, o.observation_id DESC, o.value DESC) AS rn,
              count(*) OVER (PARTITION BY t.transition_id, o.vital) AS n
-      FROM trans t JOIN obs o ON o.patient_id = t.patient_id AND o.observed_at <= t.discharge_date
-       AND o.observed_at >= t.discharge_date - INTERVAL 90 DAY)
+      FROM trans t JOIN obs o ON o.patient_id = t.patient_id AND o.observed_at <= t.discharge_date)
     SELECT transition_id, vital, value::BIGINT AS last_value, strftime(observed_at, '%Y-%m-%d') AS observed_at,
            n::BIGINT AS n_readings FROM hit WHERE rn = 1""")
 def recent_observations(t):

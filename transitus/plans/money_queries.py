@@ -181,13 +181,13 @@ BASE = 95.5
 def classes(t):
     return rb.component_classes(
         t.patients, rb.clinical_category(t.conditions, t.catalogue), rb.comorbidity_count(t.conditions, qualifying(t)),
-        services(t), NURSING, F.col("patient_id") % 24,
+        services(t), NURSING, F.col("patient_id") % 25,
     )
 
 
 NURSE = "CASE (coalesce(clinical_category, '') || '|' || coalesce(comorbidity_class, 0)) " + " ".join(f"WHEN '{c}|{n}' THEN '{k}'" for c, n, k in NURSING) + " ELSE 'A' END"
 CLS = f"""{SVC}, cls AS (SELECT p.patient_id, clinical_category, coalesce(comorbidity_class, 0)::BIGINT AS comorbidity_class, coalesce(k, 0)::BIGINT AS n_services,
-    {NURSE} AS nursing_class, substr('ABCDEF', least(coalesce(k, 0), 5)::INT + 1, 1) AS nta_class, substr('ABCD', ((p.patient_id % 24) // 6)::INT + 1, 1) AS therapy_class
+    {NURSE} AS nursing_class, substr('ABCDEF', least(coalesce(k, 0), 5)::INT + 1, 1) AS nta_class, substr('ABCD', least((p.patient_id % 25) // 6, 3)::INT + 1, 1) AS therapy_class
     FROM pat p LEFT JOIN {CATEGORY} USING (patient_id) LEFT JOIN {COMORB} USING (patient_id)
     LEFT JOIN (SELECT patient_id, count(*) AS k FROM svc GROUP BY 1) USING (patient_id))"""
 RATE = "rate(component, class, rate) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c:.2f}::DECIMAL(18,2))" for a, b, c in RATES) + ")"
@@ -271,7 +271,7 @@ def impact(t):
 
 IMP = """imp AS (SELECT code, CASE WHEN size % 2 = 0 THEN 'NURSING' ELSE 'NTA' END AS component, (size * 2.5::DECIMAL(4,2))::DECIMAL(18,2) AS daily_value FROM cat
   UNION ALL SELECT 'E66.9', 'NURSING', 50)"""
-GAPS = f"""{TERM}, {IMP}, ng AS (SELECT patient_id, code, min(sentence) AS evidence, count(*)::BIGINT AS mentions, component, daily_value FROM term JOIN imp USING (code)
+GAPS = f"""{TERM}, {IMP}, ng AS (SELECT patient_id, code, min(sentence) AS evidence, count(*)::BIGINT AS mentions, component, daily_value FROM term LEFT JOIN imp USING (code)
     WHERE NOT EXISTS (SELECT 1 FROM mds m WHERE m.patient_id = term.patient_id AND m.code = term.code) GROUP BY ALL)"""
 
 
@@ -285,7 +285,7 @@ def note_gaps(t):
 
 
 @query("discharge_gap", "note cat mds", f"""WITH {CODES}, {IMP},
-    g AS (SELECT patient_id, component, max(daily_value) AS best, count(*) AS n FROM found f JOIN imp USING (code)
+    g AS (SELECT patient_id, component, max(daily_value) AS best, count(*) AS n FROM found f LEFT JOIN imp USING (code)
           WHERE NOT EXISTS (SELECT 1 FROM mds m WHERE m.patient_id = f.patient_id AND m.code = f.code) GROUP BY ALL)
     SELECT patient_id, sum(n)::BIGINT AS missed, sum(best)::DOUBLE AS daily_gap, sum(best * 21)::DOUBLE AS projected_recovery FROM g GROUP BY 1""")
 def discharge_gap(t):

@@ -17,8 +17,6 @@ FOCUS = "snf"
 SETTINGS = ["inpatient", "snf", "emergency", "home", "hospice"]
 READMIT = ["inpatient", "emergency"]
 
-SMALL_BYTES = 1 << 30
-
 CLASS_OF_PRIORITY = {"1": "emergency", "2": "inpatient", "3": "snf", "4": "home", "5": "hospice"}
 ACTION_OF_EVENT = {
     "signup": "ASSIGNED", "view": "VIEWED", "click": "EDITED", "purchase": "APPROVED", "error": "REJECTED",
@@ -72,7 +70,7 @@ class Binding:
         nation = self.table("nation").select("n_nationkey", F.col("n_name").alias("state"))
         return (
             self.table("customer")
-            .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
                 k.alias("patient_id"),
                 F.col("c_name").alias("patient_name"),
@@ -93,7 +91,7 @@ class Binding:
         nation = self.table("nation").select("n_nationkey", F.col("n_name").alias("chain"))
         return (
             self.table("supplier")
-            .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
             .select(F.col("s_suppkey").alias("organization_id"), F.col("s_name").alias("facility"), "chain",
                     money("s_acctbal").alias("balance"))
         )
@@ -215,11 +213,7 @@ class Binding:
 
     @cached_property
     def documents(self) -> DataFrame:
-        """The driver writes one row group, hence one task: a small table is dealt out before the text work."""
-        docs = self.table("documents")
-        if int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL_BYTES:
-            return docs
-        return docs.repartition(self.spark.sparkContext.defaultParallelism, "doc_id")
+        return self.table("documents")
 
     @cached_property
     def narratives(self) -> DataFrame:

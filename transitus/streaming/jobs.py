@@ -52,9 +52,12 @@ def generate_new(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, done = batch.sparkSession, None
-        earlier = [f"{out}/batch={i}" for i in range(batch_id)]
-        if earlier:
-            done = spark.read.schema("prompt_hash string, error string").parquet(*earlier)
+        if batch_id:
+            # one root for all batches: a folder that is missing or of a first try of this batch does no harm
+            done = (
+                spark.read.schema("prompt_hash string, error string, batch bigint").parquet(out)
+                .filter(F.col("batch") < batch_id).drop("batch")
+            )
         batch_generate(batch, make_backend, model, done).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
