@@ -162,8 +162,9 @@ def proposed(members: DataFrame, forest: Forest) -> DataFrame:
     """a, b, dense: pairs of neighbours in the sorted orders that may be linked.
 
     A region whose likely pairs are at most four for each member gives all of them. In a denser one, as copies of
-    one text make, each member is paired with the likeliest of those before it, and the region is named (`dense`)
-    for a second look once these pairs are confirmed.
+    one text make, each member is paired with the likeliest of those before it and with the one that agrees most
+    with all (the text that the others were copied from, as a rule), and the region is named (`dense`) for a
+    second look once these pairs are confirmed.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,7 +175,10 @@ def proposed(members: DataFrame, forest: Forest) -> DataFrame:
             room = 4 * np.bincount(label)
             pairs: list[tuple[np.ndarray, np.ndarray]] = []
             best, parent = np.zeros(len(rows), np.int64), np.full(len(rows), -1)
+            closeness = np.zeros(len(rows))
             for a, b, same in _near(rows, "piece", forest):
+                closeness[a] += same
+                closeness[b] += same
                 np.add.at(count, label[a], 1)
                 better = same > best[b]
                 best[b[better]], parent[b[better]] = same[better], a[better]
@@ -185,7 +189,12 @@ def proposed(members: DataFrame, forest: Forest) -> DataFrame:
             b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
             few = ~dense[label[a]]
             child = np.flatnonzero((parent >= 0) & dense[label])
-            left, right = np.concatenate((a[few], parent[child])), np.concatenate((b[few], child))
+            central = np.zeros(len(count), np.int64)
+            by_closeness = np.argsort(closeness, kind="stable")
+            central[label[by_closeness]] = by_closeness
+            member = np.flatnonzero(dense[label] & (central[label] != np.arange(len(rows))))
+            left = np.concatenate((a[few], parent[child], central[label[member]]))
+            right = np.concatenate((b[few], child, member))
             whole = np.unique(region[dense[label]])
             yield pd.DataFrame({
                 "a": np.concatenate((np.minimum(node[left], node[right]), whole)),
