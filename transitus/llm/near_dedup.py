@@ -16,6 +16,8 @@ from transitus.llm.common import BATCH_ROWS, maybe_broadcast, stage
 from transitus.llm.graph import components
 from transitus.llm.runs import Prints, keyed, same_row, texts_of
 
+# Shingles of one side of a block of documents that are compared with each other.
+BLOCK_SHINGLES = 2_000_000
 SKETCH = "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, signature binary, sketch binary"
 
 
@@ -218,47 +220,88 @@ def proposed(members: DataFrame, forest: Forest) -> DataFrame:
     return rows.repartition("piece").sortWithinPartitions("piece", "sketch").mapInPandas(scan, "a bigint, b bigint, dense boolean")
 
 
-def remaining(members: DataFrame, forest: Forest) -> DataFrame:
-    """a, b: likely pairs of `members` (region, node, root, n_shingles, sketch) whose roots differ.
+def shingle_sets(docs: DataFrame, where: DataFrame, forest: Forest) -> DataFrame:
+    """node, grams (the sorted fingerprints as bytes) for the nodes of `where` (node, doc_id, text_key)."""
 
-    In each region the members outside its commonest root are compared with all, in blocks; those of the
-    commonest root, already one component, are not compared with each other.
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles(forest.shingle)
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "grams": [shingles(t).tobytes() for t in batch["text"]]})
+
+    texts = texts_of(docs, where)
+    told = texts.join(where, same_row(texts, where)).select("node", "text").dropDuplicates(["node"])
+    return told.mapInPandas(scan, "node bigint, grams binary")
+
+
+def linked_in_regions(members: DataFrame, forest: Forest) -> DataFrame:
+    """a, b: links between `members` (region, tree, node, root, n_shingles, sketch, grams, homes) whose roots differ.
+
+    In each region the members outside its commonest root are compared with all, in blocks of bounded size; those
+    of the commonest root, already one component, are not compared with each other. Full sets are compared on the
+    spot, so that only links come out. A pair is looked at in the first tree in which both share a region
+    (`homes`: the regions of a node by tree), and not if links of the same block have joined it already.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _groups(batches, "piece"):
-            node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
-            for a, b, _ in _near(rows, "piece", forest):
-                apart = root[a] != root[b]
-                left, right = node[a[apart]], node[b[apart]]
-                if len(left):
-                    yield pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
+            node, tree = rows["node"].to_numpy(), rows["tree"].to_numpy()
+            root, piece = rows["root"].tolist(), rows["piece"].tolist()
+            homes = np.stack(rows["homes"].to_numpy()).astype(np.int64)
+            grams = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
+            joined: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def top(key: tuple[int, int], joined=joined) -> tuple[int, int]:
+                while key in joined:
+                    key = joined[key]
+                return key
 
-    counts = stage(members.groupBy("region", "root").agg(F.count(F.lit(1)).alias("_n")), "counts")
+            for a, b, _ in _near(rows, "piece", forest):
+                shared = (homes[a] == homes[b]) & (homes[a] >= 0)
+                here = shared.argmax(axis=1) == tree[a]
+                links = []
+                for i, j in zip(a[here].tolist(), b[here].tolist(), strict=True):
+                    left, right = top((piece[i], root[i])), top((piece[j], root[j]))
+                    if left == right:
+                        continue
+                    common = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
+                    if 100 * common >= forest.percent * (len(grams[i]) + len(grams[j]) - common):
+                        joined[left] = right
+                        links.append((node[i], node[j]))
+                if links:
+                    yield pd.DataFrame(links, columns=["a", "b"])
+
+    counts = stage(
+        members.groupBy("region", "root").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_size")), "counts"
+    )
+    blocks = lambda rows, size: F.ceil(F.greatest(rows / forest.region, size / BLOCK_SHINGLES)).cast("int")
     main = stage(
-        counts.groupBy("region").agg(F.max(F.struct("_n", "root")).alias("_top"), F.sum("_n").alias("_all"))
-        .select("region", F.col("_top.root").alias("_main"), F.col("_top._n").alias("_inner"), (F.col("_all") - F.col("_top._n")).alias("_outer"))
-        .filter("_outer > 0"),
+        counts.groupBy("region").agg(
+            F.max(F.struct("_n", "root", "_size")).alias("_top"), F.sum("_n").alias("_all"), F.sum("_size").alias("_whole")
+        )
+        .filter(F.col("_all") > F.col("_top._n"))
+        .select(
+            "region", F.col("_top.root").alias("_main"), blocks(F.col("_top._n"), F.col("_top._size")).alias("_i"),
+            blocks(F.col("_all") - F.col("_top._n"), F.col("_whole") - F.col("_top._size")).alias("_o"),
+        ),
         "main",
     )
-    size = F.lit(forest.region)
     rows = (
         members.join(main, "region")
         .withColumn("_inside", F.col("root") == F.col("_main"))
-        .withColumn("_i", F.ceil(F.col("_inner") / size).cast("int"))
-        .withColumn("_o", F.ceil(F.col("_outer") / size).cast("int"))
         .withColumn("_block", F.pmod(F.xxhash64("node"), F.when(F.col("_inside"), F.col("_i")).otherwise(F.col("_o"))).cast("int"))
     )
     every = lambda n: F.sequence(F.lit(0), n - 1)
-    inside = rows.filter("_inside").withColumn("_key", F.explode(F.transform(every(F.col("_o")), lambda o: F.struct(F.col("_block").alias("x"), o.alias("y"), F.lit(0).alias("z")))))
+    place = lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), F.lit(z).alias("z"))
+    block = F.col("_block")
+    inside = rows.filter("_inside").withColumn("_key", F.explode(F.transform(every(F.col("_o")), lambda o: place(block, o, 0))))
     outside = rows.filter("not _inside").withColumn(
         "_key",
         F.explode(F.concat(
-            F.transform(every(F.col("_i")), lambda i: F.struct(i.alias("x"), F.col("_block").alias("y"), F.lit(0).alias("z"))),
-            F.transform(every(F.col("_o")), lambda o: F.struct(F.least(o, F.col("_block")).alias("x"), F.greatest(o, F.col("_block")).alias("y"), F.lit(1).alias("z"))),
+            F.transform(every(F.col("_i")), lambda i: place(i, block, 0)),
+            F.transform(every(F.col("_o")), lambda o: place(F.least(o, block), F.greatest(o, block), 1)),
         )),
     )
-    columns = ["piece", "node", "root", "n_shingles", "sketch"]
+    columns = ["piece", "node", "tree", "root", "n_shingles", "sketch", "homes", "grams"]
     dealt = inside.unionByName(outside).withColumn("piece", F.xxhash64("region", "_key.x", "_key.y", "_key.z")).select(*columns)
     return dealt.repartition("piece").sortWithinPartitions("piece", "sketch").mapInPandas(scan, "a bigint, b bigint").distinct()
 
@@ -315,14 +358,21 @@ def near_dedup(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     links = stage(confirmed(docs, sets, pairs, forest), "links")
     roots = stage(components(links), "roots")
     dense = found.filter("dense").select(F.col("a").alias("region")).distinct()
-    crowded = stage(placed.join(maybe_broadcast(stage(dense, "dense")), "region", "left_semi").select("region", "node"), "crowded")
+    crowded = stage(
+        placed.join(maybe_broadcast(stage(dense, "dense")), "region", "left_semi").select("region", "tree", "node"), "crowded"
+    )
     if not crowded.isEmpty():
-        rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = stage(remaining(rooted.join(sets.select("node", "n_shingles", "sketch"), "node"), forest), "remaining")
-        more = stage(more.join(pairs, ["a", "b"], "left_anti"), "unseen")
+        by_tree = F.map_from_entries(F.collect_list(F.struct("tree", F.col("region").bitwiseAND(F.lit((1 << 63) - 1)))))
+        homes = crowded.groupBy("node").agg(by_tree.alias("_by")).select(
+            "node", F.transform(F.sequence(F.lit(0), F.lit(forest.trees - 1)), lambda t: F.coalesce(F.element_at("_by", t), F.lit(-1))).alias("homes")
+        )
+        rooted = stage(homes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        where = stage(sets.select("node", "doc_id", "text_key").join(rooted.select("node"), "node", "left_semi"), "where")
+        full = stage(shingle_sets(docs, where, forest), "crowd_sets")
+        told = stage(rooted.join(full, "node").join(sets.select("node", "n_shingles", "sketch"), "node"), "told")
+        more = stage(linked_in_regions(crowded.join(told, "node"), forest), "more_links")
         if not more.isEmpty():
-            links = links.unionByName(stage(confirmed(docs, sets, more, forest), "links"))
-            roots = stage(components(links), "roots")
+            roots = stage(components(links.unionByName(more)), "roots")
     firsts = filled.groupBy("node").agg(F.min("doc_id").alias("_first")).join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node")
     )
