@@ -7,7 +7,7 @@ def test_equal_queries_get_equal_answers(spark):
     docs = spark.createDataFrame(DOCS, "doc int, text string")
     queries = spark.createDataFrame([("a", "red anvil"), ("b", "red anvil"), ("c", "blue"), ("d", "absent")], "q string, text string")
     got = {}
-    for r in text.search_docs(docs, queries, 2, "doc", "q", stop_share=0.9, min_rows=1).collect():
+    for r in text.search_docs(docs, queries, 2, "doc", "q", common_share=0.9, min_rows=1).collect():
         got.setdefault(r.q, []).append((r.rank, r.doc))
     assert sorted(got) == ["a", "b", "c"] and sorted(got["a"]) == sorted(got["b"])
     assert sorted(got["a"])[0][1] in (1, 3) and sorted(got["c"]) == [(1, 2), (2, 1)]
@@ -27,3 +27,13 @@ def test_vectors_in_lots(spark, monkeypatch):
     one = sorted(map(tuple, text.similar_vectors(vectors, queries, 3, "id", "q").collect()))
     monkeypatch.setattr(text, "MAX_QUERY_VECTORS", 2)
     assert sorted(map(tuple, text.similar_vectors(vectors, queries, 3, "id", "q").collect())) == one and len(one) == 27
+
+
+def test_search_is_exact_whatever_is_common(spark):
+    """Which words count as common decides the way, never the result."""
+    docs = spark.createDataFrame([(k, "the " * (1 + k % 7) + f"w{k % 5} w{k % 11} of") for k in range(60)], "doc int, text string")
+    queries = spark.createDataFrame([(1, "the of"), (2, "the w3 w10"), (3, "w4 of the w0"), (4, "nothing")], "q int, text string")
+    found = [
+        sorted(map(tuple, text.search_docs(docs, queries, 6, "doc", "q", common_share=share).collect())) for share in (0.0, 0.15, 0.5, 1.0)
+    ]
+    assert len(found[0]) == 18 and all(f == found[0] for f in found)
