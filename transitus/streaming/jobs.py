@@ -76,12 +76,17 @@ HOUR_US = 3_600_000_000
 
 
 class Clocks(StatefulProcessor):
-    """Per document two clocks, kept as start and due in microseconds; an alert is sent when one runs out."""
+    """Per document two clocks, kept as start and due in microseconds; an alert is sent when one runs out.
+
+    Events wait until the watermark has passed them and are then applied in the order of time and log_id, so it
+    does not matter in which batch or order they came. One timer stands at the earliest waiting event or due time.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kinds = list(CLOCK_EVENTS)
         self.state = handle.getValueState("clocks", ", ".join(f"{k}_start bigint, {k}_due bigint" for k in self.kinds))
+        self.waiting = handle.getListState("waiting", "at_us bigint, log_id bigint, action string, hours bigint")
 
     def _load(self) -> dict[str, tuple[int, int] | None]:
         row = self.state.get()
@@ -89,16 +94,56 @@ class Clocks(StatefulProcessor):
             return dict.fromkeys(self.kinds)
         return {k: None if row[2 * i] is None else (row[2 * i], row[2 * i + 1]) for i, k in enumerate(self.kinds)}
 
-    def _save(self, clocks: dict) -> None:
-        for timer in list(self.handle.listTimers()):
+    def _wake(self, at_us: int, replace: bool = False) -> None:
+        """Set the timer, unless an earlier one stands; it counts in milliseconds and must not fire early."""
+        at = -(-at_us // 1000)
+        timers = list(self.handle.listTimers())
+        if not replace and timers and min(timers) <= at:
+            return
+        for timer in timers:
             self.handle.deleteTimer(timer)
-        for running in clocks.values():
-            if running:
-                # a timer counts in milliseconds and must not fire early
-                self.handle.registerTimer(-(-running[1] // 1000))
-        self.state.update(tuple(x for k in self.kinds for x in (clocks[k] or (None, None))))
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            events = frame[["at_us", "log_id", "action", "sla_hours"]].astype(object).values.tolist()
+            if events:
+                self.waiting.appendList([(int(at), int(i), action, int(hours)) for at, i, action, hours in events])
+                least = int(frame["at_us"].min())
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self._wake(first)
+        yield from ()
 
-    def _frame(self, key: tuple, alerts: list[tuple]) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        clocks, alerts, later = self._load(), [], []
+        for event in sorted(self.waiting.get()):
+            at, _, action, hours = event
+            if at > now:
+                later.append(event)
+                continue
+            for kind, (starts, stops) in CLOCK_EVENTS.items():
+                if clocks[kind] and clocks[kind][1] < at:
+                    alerts.append((kind, *clocks[kind]))
+                    clocks[kind] = None
+                if action in starts:
+                    clocks[kind] = (at, at + (hours if kind == "ESCALATE" else EXPIRY_HOURS) * HOUR_US)
+                elif action in stops:
+                    clocks[kind] = None
+        for kind, running in clocks.items():
+            if running and running[1] <= now:
+                alerts.append((kind, *running))
+                clocks[kind] = None
+        self.state.update(tuple(x for k in self.kinds for x in (clocks[k] or (None, None))))
+        if later:
+            self.waiting.put([tuple(e) for e in later])
+        else:
+            self.waiting.clear()
+        wake = [running[1] for running in clocks.values() if running] + [e[0] for e in later[:1]]
+        if wake:
+            self._wake(min(wake), replace=True)
         if alerts:
             yield pd.DataFrame({
                 "transition_id": [key[0]] * len(alerts), "kind": [a[0] for a in alerts],
@@ -106,28 +151,6 @@ class Clocks(StatefulProcessor):
                 "due_at": pd.to_datetime([a[2] for a in alerts], unit="us"),
             })
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        clocks, alerts = self._load(), []
-        events = pd.concat(rows).sort_values(["at_us", "log_id"])
-        for at, action, hours in zip(events["at_us"].tolist(), events["action"].tolist(), events["sla_hours"].tolist()):
-            for kind, (starts, stops) in CLOCK_EVENTS.items():
-                running = clocks[kind]
-                if running and running[1] < at:
-                    alerts.append((kind, *running))
-                    clocks[kind] = running = None
-                if action in starts:
-                    clocks[kind] = (at, at + int(hours if kind == "ESCALATE" else EXPIRY_HOURS) * HOUR_US)
-                elif action in stops:
-                    clocks[kind] = None
-        self._save(clocks)
-        yield from self._frame(key, alerts)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        clocks, now = self._load(), expiredTimerInfo.getExpiryTimeInMs() * 1000
-        out = [(k, *r) for k, r in clocks.items() if r and r[1] <= now]
-        self._save({k: None if r and r[1] <= now else r for k, r in clocks.items()})
-        yield from self._frame(key, out)
-
     def close(self) -> None:
         pass
 
@@ -141,14 +164,15 @@ def review_clocks(events: DataFrame, tiers: DataFrame, late: str = LATE) -> Data
     """Alerts for reviews past their limit and approvals past their expiry.
 
     `events` is a stream with log_id, transition_id, action, action_at; `tiers` is static. Needs the RocksDB state
-    store (`STATE_STORE`). An alert is sent once the watermark has passed its due time, or on the next event of
-    the document if that is later than due.
+    store (`STATE_STORE`). An alert is sent once the watermark has passed its due time. Events without a time are
+    left out; those later than the watermark allows are dropped, all others may come in any order.
     """
     rows = (
         events.filter(F.col("action").isin(*sorted({a for s, e in CLOCK_EVENTS.values() for a in (*s, *e)})))
+        .filter(F.col("action_at").isNotNull())
         .withWatermark("action_at", late)
         .join(tiers.select("transition_id", "risk_tier"), "transition_id", "left")
-        .select("transition_id", "action_at", "log_id", "action", F.unix_micros("action_at").alias("at_us"),
+        .select("transition_id", "action_at", F.col("log_id").cast("bigint").alias("log_id"), "action", F.unix_micros("action_at").alias("at_us"),
                 sla_hours(F.col("risk_tier")).alias("sla_hours"))
     )
     return rows.groupBy("transition_id").transformWithStateInPandas(
