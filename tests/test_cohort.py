@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transitus.functions.columns import age_years, days
-from transitus.operators import cohort
+from transitus.operators import cohort, narrative
 
 READMIT = ["inpatient", "emergency"]
 SETTINGS = ["inpatient", "snf", "emergency", "home", "hospice"]
@@ -119,6 +119,26 @@ def test_profiles(spark, encounters, facts):
     assert closed.filter("encounter_id = 23").first().discharge_date == at(60)
 
 
+def test_one_prompt_per_transition(spark, encounters, facts):
+    """Profiles dealt over many parts give the prompts and documents of undivided ones."""
+    seq = cohort.encounter_sequence(encounters, cohort.cohort_ids(encounters, "snf"), SETTINGS)
+    stays = cohort.care_transitions(seq, "snf", READMIT)
+    meds = facts.withColumn("reason", F.lit(None).cast("string"))
+    allergies = facts.filter("code = 'A01'").withColumns({"category": F.lit("x"), "severity": F.lit("y")})
+    people = spark.createDataFrame(
+        [(i, f"P{i}", 70, "F") for i in range(1, 6)], "patient_id int, patient_name string, age int, gender string"
+    )
+    told = []
+    for size in (5_000, 1):
+        profiles = cohort.transition_profiles(stays, facts, meds, allergies, part_size=size)
+        variables = narrative.prompt_variables(narrative.risk_tier(profiles), people)
+        told.append(sorted(variables.collect(), key=lambda r: r.transition_id))
+    assert told[0] == told[1] and len(told[0]) == 6
+    assert any(r.allergies for r in told[1])
+    prompts = narrative.render_prompts(spark.createDataFrame(told[1], variables.schema))
+    assert prompts.count() == 6 * len(narrative.PROMPTS)
+
+
 def test_no_nested_loop_and_one_pass_windows(encounters, facts):
     seq = cohort.encounter_sequence(encounters, cohort.cohort_ids(encounters, "snf"), SETTINGS)
     stays = cohort.care_transitions(seq, "snf", READMIT)

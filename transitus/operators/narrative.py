@@ -107,11 +107,21 @@ def listing(items: Column | str, name: str, extra: str | None = None) -> Column:
     return F.nullif(F.array_join(F.transform(items, line), "; "), F.lit(""))
 
 
+def whole_profiles(profiles: DataFrame) -> DataFrame:
+    """One row per transition: the parts of its profile put together again, in the order of an undivided one."""
+    arrays = ("active_conditions", "active_medications", "allergies")
+    shared = [c for c in profiles.columns if c not in (*arrays, "transition_id", "part")]
+    return profiles.groupBy("transition_id").agg(
+        *[F.first(c).alias(c) for c in shared],
+        *[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in arrays],
+    )
+
+
 def prompt_variables(profiles: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Profiles with one text column per template variable, null where nothing is known."""
+    """One row per transition with one text column per template variable, null where nothing is known in any part."""
     people = cohort.select("patient_id", "patient_name", "age", "gender")
-    return profiles.join(people, "patient_id").select(
-        "transition_id", "part", "patient_id", "patient_name", F.col("age").cast("string").alias("age"), "gender",
+    return whole_profiles(profiles).join(people, "patient_id").select(
+        "transition_id", "patient_id", "patient_name", F.col("age").cast("string").alias("age"), "gender",
         "from_setting", "current_setting",
         F.date_format("admission_date", "yyyy-MM-dd").alias("admission_date"),
         F.date_format("discharge_date", "yyyy-MM-dd").alias("discharge_date"),
@@ -139,9 +149,9 @@ def fill(template: str, fallbacks: dict[str, str], constants: dict[str, str] | N
 
 
 def render_prompts(variables: DataFrame, templates: dict[str, str] = PROMPTS) -> DataFrame:
-    """(transition_id, part, section, prompt): one row per document and part of the profile."""
+    """(transition_id, section, prompt): one row per document."""
     return variables.select(
-        "transition_id", "part",
+        "transition_id",
         F.inline(F.array(*[
             F.struct(F.lit(s).alias("section"), fill(t, FALLBACKS.get(s, {})).alias("prompt"))
             for s, t in templates.items()
@@ -152,7 +162,7 @@ def render_prompts(variables: DataFrame, templates: dict[str, str] = PROMPTS) ->
 def template_narrative(variables: DataFrame, as_of: str, templates: dict[str, str] = DOCUMENTS) -> DataFrame:
     """Documents written from templates alone; stands in for a model."""
     return variables.select(
-        "transition_id", "part", "patient_id", *[c for c in ("risk_tier",) if c in variables.columns],
+        "transition_id", "patient_id", *[c for c in ("risk_tier",) if c in variables.columns],
         *[fill(t, FALLBACKS.get(s, {}), {"as_of": as_of}).alias(s) for s, t in templates.items()],
     )
 
