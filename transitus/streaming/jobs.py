@@ -75,13 +75,36 @@ ALERT = "transition_id bigint, kind string, started_at timestamp, due_at timesta
 HOUR_US = 3_600_000_000
 
 
+def play(clocks: dict[str, tuple[int, int] | None], events: list[tuple]) -> tuple[dict, list[tuple]]:
+    """The clocks after `events` (at_us, log_id, action, hours; sorted) and the alerts (kind, start, due) they show."""
+    clocks, alerts = dict(clocks), []
+    for at, _, action, hours in events:
+        for kind, (starts, stops) in CLOCK_EVENTS.items():
+            running = clocks[kind]
+            if running and running[1] < at:
+                alerts.append((kind, *running))
+                clocks[kind] = None
+            if action in starts:
+                clocks[kind] = (at, at + (hours if kind == "ESCALATE" else EXPIRY_HOURS) * HOUR_US)
+            elif action in stops:
+                clocks[kind] = None
+    return clocks, alerts
+
+
 class Clocks(StatefulProcessor):
-    """Per document two clocks, kept as start and due in microseconds; an alert is sent when one runs out."""
+    """Per document two clocks, kept as start and due in microseconds; an alert is sent when one runs out.
+
+    The clocks stand at the watermark. Events beyond it are kept and played from there anew, in order of time and
+    log_id, whenever more come, so it does not matter in which batch they came. Alerts sent for what lies beyond
+    the watermark are kept until it passes their due time, and are not sent twice.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kinds = list(CLOCK_EVENTS)
         self.state = handle.getValueState("clocks", ", ".join(f"{k}_start bigint, {k}_due bigint" for k in self.kinds))
+        self.waiting = handle.getListState("waiting", "at_us bigint, log_id bigint, action string, hours bigint")
+        self.told = handle.getListState("told", "kind string, start bigint, due bigint")
 
     def _load(self) -> dict[str, tuple[int, int] | None]:
         row = self.state.get()
@@ -89,16 +112,34 @@ class Clocks(StatefulProcessor):
             return dict.fromkeys(self.kinds)
         return {k: None if row[2 * i] is None else (row[2 * i], row[2 * i + 1]) for i, k in enumerate(self.kinds)}
 
-    def _save(self, clocks: dict) -> None:
+    @staticmethod
+    def _keep(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        else:
+            state.clear()
+
+    def _settle(self, key: tuple, fresh: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        """Move the clocks to `now`, play what lies beyond and send the alerts that were not sent before."""
+        events = sorted([tuple(e) for e in self.waiting.get()] + fresh)
+        later = [e for e in events if e[0] > now]
+        clocks, alerts = play(self._load(), [e for e in events if e[0] <= now])
+        for kind, running in clocks.items():
+            if running and running[1] <= now:
+                alerts.append((kind, *running))
+                clocks[kind] = None
+        ahead, shown = play(clocks, later)
+        told = [tuple(t) for t in self.told.get()]
+        alerts = [a for a in alerts + shown if a not in told]
+        self.state.update(tuple(x for k in self.kinds for x in (clocks[k] or (None, None))))
+        self._keep(self.waiting, later)
+        self._keep(self.told, [t for t in told + alerts if t[2] > now])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        for running in clocks.values():
-            if running:
-                # a timer counts in milliseconds and must not fire early
-                self.handle.registerTimer(-(-running[1] // 1000))
-        self.state.update(tuple(x for k in self.kinds for x in (clocks[k] or (None, None))))
-
-    def _frame(self, key: tuple, alerts: list[tuple]) -> Iterator[pd.DataFrame]:
+        due = [running[1] for running in ahead.values() if running]
+        if due:
+            # a timer counts in milliseconds and must not fire early
+            self.handle.registerTimer(-(-min(due) // 1000))
         if alerts:
             yield pd.DataFrame({
                 "transition_id": [key[0]] * len(alerts), "kind": [a[0] for a in alerts],
@@ -107,26 +148,15 @@ class Clocks(StatefulProcessor):
             })
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        clocks, alerts = self._load(), []
-        events = pd.concat(rows).sort_values(["at_us", "log_id"])
-        for at, action, hours in zip(events["at_us"].tolist(), events["action"].tolist(), events["sla_hours"].tolist()):
-            for kind, (starts, stops) in CLOCK_EVENTS.items():
-                running = clocks[kind]
-                if running and running[1] < at:
-                    alerts.append((kind, *running))
-                    clocks[kind] = running = None
-                if action in starts:
-                    clocks[kind] = (at, at + int(hours if kind == "ESCALATE" else EXPIRY_HOURS) * HOUR_US)
-                elif action in stops:
-                    clocks[kind] = None
-        self._save(clocks)
-        yield from self._frame(key, alerts)
+        fresh = []
+        for frame in rows:
+            columns = (frame[c].tolist() for c in ("at_us", "log_id", "action", "sla_hours"))
+            fresh += [(int(at), int(i), action, int(hours)) for at, i, action, hours in zip(*columns, strict=True)]
+        yield from self._settle(key, fresh, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        clocks, now = self._load(), expiredTimerInfo.getExpiryTimeInMs() * 1000
-        out = [(k, *r) for k, r in clocks.items() if r and r[1] <= now]
-        self._save({k: None if r and r[1] <= now else r for k, r in clocks.items()})
-        yield from self._frame(key, out)
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key, [], now * 1000)
 
     def close(self) -> None:
         pass
@@ -141,14 +171,17 @@ def review_clocks(events: DataFrame, tiers: DataFrame, late: str = LATE) -> Data
     """Alerts for reviews past their limit and approvals past their expiry.
 
     `events` is a stream with log_id, transition_id, action, action_at; `tiers` is static. Needs the RocksDB state
-    store (`STATE_STORE`). An alert is sent once the watermark has passed its due time, or on the next event of
-    the document if that is later than due.
+    store (`STATE_STORE`). An alert is sent once the watermark has passed its due time, or as soon as a later event
+    of the document shows it to be due; such an early alert stands even if an event before it comes later still.
+    Events without a time are left out, those later than the watermark allows are dropped, all others may come in
+    any order.
     """
     rows = (
         events.filter(F.col("action").isin(*sorted({a for s, e in CLOCK_EVENTS.values() for a in (*s, *e)})))
+        .filter(F.col("action_at").isNotNull())
         .withWatermark("action_at", late)
         .join(tiers.select("transition_id", "risk_tier"), "transition_id", "left")
-        .select("transition_id", "action_at", "log_id", "action", F.unix_micros("action_at").alias("at_us"),
+        .select("transition_id", "action_at", F.coalesce(F.col("log_id").cast("bigint"), F.lit(0)).alias("log_id"), "action", F.unix_micros("action_at").alias("at_us"),
                 sla_hours(F.col("risk_tier")).alias("sla_hours"))
     )
     return rows.groupBy("transition_id").transformWithStateInPandas(
