@@ -165,6 +165,25 @@ def test_near(spark, shingle, percent, region):
     }
 
 
+def test_near_crowded_pairs(spark):
+    """Documents of one template stay below the threshold; each has one partner at it, in regions that are all full."""
+    rng = random.Random(21)
+    template = prose(rng, 260, 100_000)
+    texts = []
+    for _ in range(60):
+        told = template + prose(rng, 60, 100_000)
+        copy = list(told)
+        copy[260:296] = prose(rng, 36, 100_000)  # some 284 of 356 words in common
+        texts += [" ".join(told), " ".join(copy)]
+    forest = near_dedup.Forest(shingle=1, percent=79, trees=5, start=1, region=8)
+    assert near_dedup.Forest().further == 22 and near_dedup.Forest(percent=100).further == 0
+    sets = {i: set(t.split()) for i, t in enumerate(texts)}
+    want = components_of(sets, forest.percent)
+    assert all(want[i] == i - i % 2 for i in sets)
+    found = near_dedup.near_dedup(frame(spark, list(enumerate(texts))), forest).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == want
+
+
 def test_near_odd_rows(spark):
     text = "one two three four five six seven"
     found = near_dedup.near_dedup(frame(spark, [(None, text), (4, text), (4, text), (None, "else where"), (5, None)])).collect()

@@ -27,9 +27,14 @@ class Forest:
 
     `trees` sorted orders of `depth` minima each. Regions are runs of equal prefixes: `start` minima long, and
     longer, up to `depth`, as long as more than `region` documents share one. A pair of similarity s meets in a
-    region with probability 1 - (1 - s^start)^trees: above 0.99999 for 0.8. Where regions are full the prefix is
-    longer, and nearer documents meet. Pairs are confirmed if their sketches (one byte of each minimum) agree
-    nearly as much as linked documents do; `sigmas` standard deviations are allowed for.
+    region with probability 1 - (1 - s^start)^trees, 0.99999 for 0.8. Where regions are full the prefix is longer,
+    and nearer documents meet; the nodes of full regions are therefore placed in `further` orders as well. Pairs are
+    confirmed if their sketches (one byte of each minimum) agree nearly as much as linked documents do; `sigmas`
+    standard deviations are allowed for.
+
+    A linked pair is thus missed with a probability of at most (1 - s^start)^trees + (1 - s^depth)^(trees + further)
+    + P(a sketch disagrees): 1.0e-5 + 9.6e-6 + 8.3e-6 at 0.8, 2.4e-7 + 1.6e-7 + 5.9e-6 at 0.85. The middle term is for
+    pairs of crowded regions only.
     """
 
     shingle: int = 5
@@ -44,6 +49,14 @@ class Forest:
     def minima(self) -> int:
         return self.trees * self.depth
 
+    @property
+    def further(self) -> int:
+        """Orders of `depth` minima that, with the first `trees`, miss a pair as rarely as `trees` of `start` minima do."""
+        if self.percent >= 100:
+            return 0
+        miss = lambda minima: math.log1p(-((self.percent / 100) ** minima))
+        return max(0, math.ceil(self.trees * miss(self.start) / miss(self.depth)) - self.trees)
+
     @property
     def agreeing(self) -> int:
         """Bytes of two sketches that must agree."""
@@ -73,17 +86,22 @@ class Shingles:
             return np.unique(self.prints.grams(self.prints.prefix(symbols), min(self.size, len(told))))
 
 
-def sketches(docs: DataFrame, forest: Forest) -> DataFrame:
-    """One row for each document: its set's size and fingerprint (`node`), its signature and sketch."""
-    factors = np.random.default_rng(11).integers(0, 1 << 62, forest.minima, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+class Minima:
+    def __init__(self, seed: int, count: int) -> None:
+        self.factors = np.random.default_rng(seed).integers(0, 1 << 62, count, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def minima(grams: np.ndarray) -> np.ndarray:
-        least = np.full(forest.minima, 0xFFFFFFFF, np.uint32)
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        least = np.full(len(self.factors), 0xFFFFFFFF, np.uint32)
         for at in range(0, len(grams), 1024):
-            part = (grams[None, at : at + 1024] * factors[:, None]) >> np.uint64(32)
+            part = (grams[None, at : at + 1024] * self.factors[:, None]) >> np.uint64(32)
             least = np.minimum(least, part.min(axis=1).astype(np.uint32))
         return least
 
+
+def sketches(docs: DataFrame, forest: Forest) -> DataFrame:
+    """One row for each document: its set's size and fingerprint (`node`), its signature and sketch."""
+    minima = Minima(11, forest.minima)
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(forest.shingle)
         for batch in batches:
@@ -102,12 +120,15 @@ def sketches(docs: DataFrame, forest: Forest) -> DataFrame:
     return keyed(docs).mapInPandas(scan, SKETCH)
 
 
-def regions(sets: DataFrame, forest: Forest) -> DataFrame:
-    """region, node, tree, members for all regions of two documents or more, at the depth that each one needs."""
+def regions(sets: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame | None]:
+    """region, node, tree, members for all regions of two documents or more, at the depth that each one needs.
+
+    Besides, the nodes that left a full region for a longer prefix, if there are any.
+    """
     rows = sets.select(
         "node", "signature", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
     )
-    found = None
+    found = crowd = None
     for depth in range(forest.start, forest.depth + 1):
         at = F.col("tree") * (4 * forest.depth) + 1
         placed = rows.select("node", "tree", F.xxhash64("tree", F.lit(depth), F.substring("signature", at, F.lit(4 * depth))).alias("region"))
@@ -118,9 +139,30 @@ def regions(sets: DataFrame, forest: Forest) -> DataFrame:
         settled = held if last else held.filter(F.col("members") <= forest.region)
         found = settled if found is None else found.unionByName(settled)
         if last:
-            return found
+            return found, crowd
+        if crowd is None:  # longer prefixes part these nodes, and no others
+            crowd = full.select("node").distinct()
         rows = full.select("node", "tree").join(sets.select("node", "signature"), "node")
-    return found
+    return found, crowd
+
+
+def further_regions(docs: DataFrame, sets: DataFrame, crowd: DataFrame, forest: Forest) -> DataFrame:
+    """As `regions`, for the nodes of `crowd`: the `forest.further` orders, in which all prefixes are `depth` long."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, minima = Shingles(forest.shingle), Minima(13, forest.further * forest.depth)
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "signature": [minima(shingles(t)).astype(">u4").tobytes() for t in batch["text"]]})
+
+    where = stage(sets.select("node", "doc_id", "text_key").join(crowd, "node"), "crowd")
+    texts = texts_of(docs, where)
+    told = texts.join(where, same_row(texts, where)).select("node", "text").mapInPandas(scan, "node bigint, signature binary")
+    signed = stage(told.dropDuplicates(["node"]), "further")
+    place = F.xxhash64("tree", F.lit(forest.depth), F.substring("signature", (F.col("tree") - forest.trees) * (4 * forest.depth) + 1, F.lit(4 * forest.depth)))
+    trees = F.sequence(F.lit(forest.trees), F.lit(forest.trees + forest.further - 1))
+    placed = signed.select("node", "signature", F.explode(trees).alias("tree")).select("node", "tree", place.alias("region"))
+    sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return stage(placed.join(stage(sizes, "sizes"), "region"), "regions")
 
 
 def _agreement(batch: pd.DataFrame) -> np.ndarray:
@@ -351,7 +393,9 @@ def near_dedup(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     rows = stage(sketches(docs, forest), "sketches")
     filled = rows.filter("n_shingles > 0")
     sets = stage(filled.dropDuplicates(["node"]), "sets")
-    placed = regions(sets, forest)
+    placed, crowd = regions(sets, forest)
+    if crowd is not None and forest.further:
+        placed = placed.unionByName(further_regions(docs, sets, crowd, forest))
     described = placed.join(sets.select("node", "n_shingles", "sketch"), "node")
     found = stage(proposed(described, forest), "proposed")
     pairs = stage(found.filter("not dense").select("a", "b").distinct(), "pairs")
@@ -364,7 +408,7 @@ def near_dedup(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     if not crowded.isEmpty():
         by_tree = F.map_from_entries(F.collect_list(F.struct("tree", F.col("region").bitwiseAND(F.lit((1 << 63) - 1)))))
         homes = crowded.groupBy("node").agg(by_tree.alias("_by")).select(
-            "node", F.transform(F.sequence(F.lit(0), F.lit(forest.trees - 1)), lambda t: F.coalesce(F.element_at("_by", t), F.lit(-1))).alias("homes")
+            "node", F.transform(F.sequence(F.lit(0), F.lit(forest.trees + forest.further - 1)), lambda t: F.coalesce(F.element_at("_by", t), F.lit(-1))).alias("homes")
         )
         rooted = stage(homes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         where = stage(sets.select("node", "doc_id", "text_key").join(rooted.select("node"), "node", "left_semi"), "where")
