@@ -46,6 +46,26 @@ def test_progress_note(spark):
     }
 
 
+MIXED = """No fever today but CKD stage 3 is worse. Known asthma, denies stroke, gout. No BMI 40 except PHQ-9 score 14.
+Without chest pain, gout; BMI 33.1 today. Denies stroke, reports back pain. Chronic; no change; back pain. Family history: gout."""
+
+
+def test_negation_ends_with_its_clause(spark):
+    notes = spark.createDataFrame([(1, MIXED)], "patient_id int, text string")
+    synonyms = spark.createDataFrame(
+        [(p, p) for p in ("ckd stage 3", "fever", "asthma", "stroke", "gout", "chest pain", "back pain", "chronic back pain")], "phrase string, code string"
+    )
+    terms = {(r.phrase, r.sentence) for r in rb.extract_terms(notes, synonyms, 3, ["patient_id"]).collect()}
+    assert terms == {
+        ("ckd stage 3", "No fever today but CKD stage 3 is worse"), ("asthma", "Known asthma, denies stroke, gout"),
+        ("back pain", "Denies stroke, reports back pain"), ("back pain", "Chronic; no change; back pain"),
+    }
+    measured = {r.phrase: r.sentence for r in rb.measured_terms(notes, ["patient_id"]).collect()}
+    assert measured == {
+        "moderate depression": "No BMI 40 except PHQ-9 score 14", "obesity": "Without chest pain, gout; BMI 33.1 today",
+    }
+
+
 def test_rates(spark):
     classes = spark.createDataFrame([(1, "B", "C", "A"), (2, "A", "A", "D")], "patient_id int, nursing_class string, nta_class string, therapy_class string")
     rates = [("NURSING", "A", 100.0), ("NURSING", "B", 150.0), ("NTA", "A", 10.0), ("NTA", "C", 60.25)]

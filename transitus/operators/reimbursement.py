@@ -133,8 +133,13 @@ def extract_codes(docs: DataFrame, dictionary: DataFrame, key: list[str], text:
     return found.join(dictionary.select("code").distinct(), "code", "left_semi").select(*key, "code")
 
 
-# Sentences with one of these words speak of what is absent or of relatives.
-NEGATED = r"(?i)\b(denies|denied|no|not|without|negative for|family history)\b"
+# What follows one of these words in its clause is absent or a relative's. Commas part the items of a list, so they
+# end a clause only before a word that asserts something.
+NEGATED = r"\b(?:denies|denied|no|not|without|negative for|family history)\b"
+CLAUSE_END = r";|\b(?:but|however|although|though|except)\b|,\s*(?:and\s+)?(?:has|reports|known|positive for)\b"
+NEGATED_PART = rf"(?i){NEGATED}.*?(?={CLAUSE_END}|$)"
+# Stands for a part left out, so that no phrase reaches across it.
+LEFT_OUT = " 0negated0 "
 
 # (name, pattern with one number, lowest value, code): findings that a measurement shows.
 MEASURES = [
@@ -145,30 +150,30 @@ MEASURES = [
 
 
 def note_sentences(notes: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Distinct sentences that state something; a full stop inside a number does not end one."""
+    """Distinct sentences with `stated`, their words without what is negated; a full stop inside a number does not end one."""
     joined = F.regexp_replace(F.col(text), r"(\d)\.(\d)", "$1\u0001$2")
     return (
         notes.select(*key, F.explode(sentences(joined)).alias("sentence"))
         .withColumn("sentence", F.translate("sentence", "\u0001", "."))
-        .filter(~F.col("sentence").rlike(NEGATED)).distinct()
+        .distinct().withColumn("stated", F.regexp_replace("sentence", NEGATED_PART, LEFT_OUT))
     )
 
 
 def extract_terms(notes: DataFrame, synonyms: DataFrame, longest: int, key: list[str], text: str = "text") -> DataFrame:
-    """(key, code, phrase, sentence) for dictionary phrases of up to `longest` words in sentences that are not negated.
+    """(key, code, phrase, sentence) for dictionary phrases of up to `longest` words that no negation precedes in its clause.
 
     `synonyms` is (phrase, code) in lower case. Phrases must stand within one sentence.
     """
-    stated = note_sentences(notes, key, text).withColumn("_words", words("sentence"))
+    stated = note_sentences(notes, key, text).withColumn("_words", words("stated"))
     hits = phrase_hits(stated, [*key, "sentence"], "_words", synonyms.select("phrase", "code"), "phrase", longest)
     return hits.select(*key, "code", "phrase", "sentence").distinct()
 
 
 def measured_terms(notes: DataFrame, key: list[str], measures: list[tuple] = MEASURES, text: str = "text") -> DataFrame:
-    """(key, code, phrase, sentence) for findings shown by a number in the sentence."""
+    """(key, code, phrase, sentence) for findings shown by a number in the sentence, unless a negation precedes it in its clause."""
     found = F.array_compact(F.array(*[
         F.when(
-            F.col("sentence").rlike(pattern) & (F.regexp_extract("sentence", pattern, 1).try_cast("double") >= lowest),
+            F.col("stated").rlike(pattern) & (F.regexp_extract("stated", pattern, 1).try_cast("double") >= lowest),
             F.struct(F.lit(code).alias("code"), F.lit(name).alias("phrase")),
         )
         for name, pattern, lowest, code in measures
