@@ -15,13 +15,19 @@ from transitus.session import shared_folder
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a predicted language go on; those without a letter (`und`) or with an ambiguous one go.
+    """Documents without a letter (`und`) go; the others go on, flagged in `language_ambiguous` if no language is clear.
 
-    The model learns from the labelled documents of this stage that are not held out.
+    The model learns from the labelled documents of this stage that are not held out. If there are none, no
+    language is clear, and every document with a letter goes on.
     """
     prepared(spark)
-    guess = language_id.predictor(docs, language_id.train(docs.filter(~language_id.held_out())))
-    return docs.filter(~guess(F.col("text"))["ambiguous"])
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).withColumn("language_ambiguous", F.lit(True))
+    # not deterministic: otherwise the filter would predict a second time
+    guess = language_id.predictor(docs, model).asNondeterministic()
+    told = docs.withColumn("_guess", guess(F.col("text"))).filter(F.col("_guess")["score"] > 0)
+    return told.withColumn("language_ambiguous", F.col("_guess")["ambiguous"]).drop("_guess")
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,6 +107,19 @@ def test_language_id(spark):
     assert language_id.language_id(both.limit(0)).count() == 0
 
 
+def test_language_stage_keeps_ambiguous_texts(spark):
+    import corpus_pipeline
+
+    prepared(spark)
+    rows = [(i, "some plain words are here" if i % 2 else "quelques mots simples ici", "en" if i % 2 else "fr") for i in range(40)]
+    odd = [(100, "ж", None), (101, "123 ...", None), (102, None, None), (103, "some plain words are here", None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string")
+    found = {r["doc_id"]: r["language_ambiguous"] for r in corpus_pipeline.known_language(spark, docs, "").collect()}
+    assert found == {i: False for i in range(40)} | {100: True, 103: False}
+    untaught = corpus_pipeline.known_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert {r["doc_id"] for r in untaught} == {*range(40), 100, 103} and all(r["language_ambiguous"] for r in untaught)
+
+
 @pytest.mark.parametrize("languages", [1, 2, 4, 7, 8, 20])
 def test_codewords_differ(languages):
     code = language_id.codewords(languages)
