@@ -135,6 +135,14 @@ def components_of(sets, percent):
     return {i: top(i) for i in ids}
 
 
+@pytest.mark.parametrize("short", [True, False])
+def test_exact_digest_of_texts_alone_is_null(spark, monkeypatch, short):
+    if not short:  # as for a list of shared (length, prefix) that is too long to broadcast
+        monkeypatch.setattr(exact_dedup, "maybe_broadcast", lambda df: df)
+    found = exact_dedup.exact_dedup(frame(spark, [(1, "a"), (2, "a"), (3, "alone")])).collect()
+    assert {r["doc_id"]: r["text_sha256"] is None for r in found} == {1: False, 2: False, 3: True}
+
+
 def near_texts(seed):
     rng = random.Random(seed)
     texts = [None, "", "one", "ONE", "two words", "two  Words", "a b c", "a b c d"]

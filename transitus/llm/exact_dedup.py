@@ -22,7 +22,7 @@ def exact_dedup(
     smaller than any other. `text_sha256` is null for texts that the length or the prefix shows to be alone,
     unless `digest_all`. An empty table gives an empty result; other columns of `docs` are not looked at.
 
-    The whole text is hashed only where length and prefix are shared. If the list of shared (length, prefix) is
+    The digest is of the whole text only where length and prefix are shared; `text_key` reads every text. If the list of shared (length, prefix) is
     too long to broadcast, hashing in the scan is cheaper than shuffling texts, and only hashes are shuffled.
     """
     text = no_text("text") if normalise is None else normalise(no_text("text"))
@@ -46,7 +46,7 @@ def exact_dedup(
         rows = rows.withColumn("_digest", F.when(F.col("_shared"), digest)).drop("_text")
     marked = stage(
         rows.select(
-            "doc_id", "text_key", F.col("_digest").alias("text_sha256"), F.coalesce("_shared", F.lit(False)).alias("_shared"),
+            "doc_id", "text_key", (F.col("_digest") if digest_all else F.when(F.col("_shared"), F.col("_digest"))).alias("text_sha256"), F.coalesce("_shared", F.lit(False)).alias("_shared"),
             F.monotonically_increasing_id().alias("_row"),
         ),
         "hashed",
