@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitus.llm import bpe, decontaminate, exact_dedup, html_text, language_id, near_dedup, sharding, substring_dedup, suffix_dedup, warc
+from transitus.llm import (
+    bpe, context_tree, decontaminate, exact_dedup, fill_in_middle, html_text, language_id, near_dedup, sharding, spelling, substring_dedup,
+    suffix_dedup, warc,
+)
 from transitus.llm.common import table
 from transitus.llm.sql import ORACLES
 
@@ -69,10 +72,27 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.language_id(table(spark, folder, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+def op12_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return context_tree.score_texts(table(spark, folder, "documents"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"), drop_every=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_suffix_dedup, op3_warc, op4_sharding, op5_bpe, op6_substring_dedup, op7_html_text, op8_exact_dedup,
-        op9_near_dedup, op10_language_id,
+        op9_near_dedup, op10_language_id, op11_fill_in_middle, op12_context_tree, op13_spelling,
     )
 }

@@ -72,4 +72,29 @@ WITH told AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM cut
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op3_warc": _WARC, "op6_substring_dedup": _SUBSTRING, "op8_exact_dedup": _EXACT}
+_FILL_IN_MIDDLE = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
+), h AS (
+  SELECT *, ('0x' || substr(d, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(d, 9, 8))::BIGINT % (n + 1) AS y,
+         ('0x' || substr(d, 17, 8))::BIGINT AS h3, ('0x' || substr(d, 25, 8))::BIGINT AS h4
+  FROM t
+), f AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) AS b,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), o AS (
+  SELECT *, substring(text, 1, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1) AS s FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+         AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM o
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": _DECONTAMINATE, "op3_warc": _WARC, "op6_substring_dedup": _SUBSTRING, "op8_exact_dedup": _EXACT,
+    "op11_fill_in_middle": _FILL_IN_MIDDLE,
+}
