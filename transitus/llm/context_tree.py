@@ -19,8 +19,9 @@ most).
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ from transitus.llm.common import no_text, prepared, stage
 DEPTH = 5
 CHUNK_BYTES = 32 << 20
 # Bytes that are counted at once, and rows of the model worked on at once: both bound the memory of a task.
-BLOCK_BYTES, BLOCK_ROWS, OUT_ROWS = 4 << 20, 250_000, 1 << 16
+BLOCK_BYTES, BLOCK_ROWS, OUT_ROWS = 1 << 20, 250_000, 1 << 16
 # No UTF-8 text has these bytes: before a text and after it. The end is scored as a symbol.
 PAD, END = b"\xfe", b"\xff"
 # No word is a space: the end of a text, counted as a token.
@@ -63,7 +64,7 @@ def framed(data: bytes, depth: int) -> bytes:
     return PAD * depth + data + END
 
 
-def blocks(texts: list[bytes], depth: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def blocks(texts: Iterable[bytes], depth: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Grams of framed texts with the number of their text, in blocks of about `BLOCK_BYTES` and at most `most` texts."""
     told, owners, size = [], [], 0
     for number, data in enumerate(texts):
@@ -147,7 +148,10 @@ class Dictionary:
 
 
 def _chunks(docs: DataFrame, depth: int) -> DataFrame:
-    """`docs` (doc_id, learn, text) with their chunk, and as further rows the chunk's grams and words with counts."""
+    """`docs` (doc_id, learn, text) with their chunk, and as further rows the chunk's grams and words with counts.
+
+    Texts are lower-cased and compressed: they are written once and shuffled once.
+    """
     fields = [
         T.StructField("chunk", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("learn", T.BooleanType()),
         T.StructField("text", T.BinaryType()), T.StructField("gram", T.LongType()), T.StructField("word", T.BinaryType()),
@@ -184,7 +188,7 @@ def _chunks(docs: DataFrame, depth: int) -> DataFrame:
                 if size < CHUNK_BYTES and at + 1 < len(texts):
                     continue
                 part = batch.slice(start, at + 1 - start)
-                yield rows(part.num_rows, doc_id=part.column("doc_id"), learn=part.column("learn"), text=pa.array(texts[start : at + 1], pa.binary()))
+                yield rows(part.num_rows, doc_id=part.column("doc_id"), learn=part.column("learn"), text=pa.array([zlib.compress(t, 1) for t in texts[start : at + 1]], pa.binary()))
                 start = at + 1
                 if size >= CHUNK_BYTES:
                     yield from close()
@@ -455,14 +459,26 @@ def score_texts(docs: DataFrame, learn: Column | None = None, depth: int = DEPTH
     def add_up(rows: pa.Table, known: pa.Table) -> pa.Table:
         named = known.column("word").is_valid()
         listed = known.filter(named)
-        base = {w: math.log10((c + 0.5) / below) for w, c in zip(listed.column("word").to_pylist(), listed.column("value").to_pylist(), strict=True)}
+        # most words have one of few counts, whose logarithms are held once
+        logs = {c: math.log10((c + 0.5) / below) for c in pc.unique(listed.column("value")).to_pylist()}
+        base = {w.as_py(): logs[c] for w, c in zip(listed.column("word"), listed.column("value").to_pylist(), strict=True)}
         known = known.filter(known.column("gram").is_valid())
         order = np.argsort(known.column("gram").to_numpy())
         keys, values = known.column("gram").to_numpy()[order].astype(U64), known.column("value").to_numpy()[order]
-        texts = rows.column("text").to_pylist()
-        score = np.zeros(len(texts))
+        unknown, out = math.log10(0.5 / below), []
+
+        def texts() -> Iterator[bytes]:
+            for packed in rows.column("text"):
+                data = zlib.decompress(packed.as_py())
+                tokens = [*data.split(), END_TOKEN]
+                found = [base[t] for t in tokens if t in base]
+                plain = math.fsum(found) + (len(tokens) - len(found)) * unknown
+                out.append((len(data), len(tokens), len(found), n, plain))
+                yield data
+
+        score = np.zeros(rows.num_rows)
         room = U64(64 - 8 * (depth + 1))
-        for found, owner in blocks(texts, depth, (1 << int(room)) - 1):
+        for found, owner in blocks(texts(), depth, (1 << int(room)) - 1):
             # gram and place of its text in the block as one number: sorted, each distinct gram is looked up once
             first = owner[0]
             both = (found << room) | (owner - first).astype(U64)
@@ -471,13 +487,7 @@ def score_texts(docs: DataFrame, learn: Column | None = None, depth: int = DEPTH
             value = np.repeat(values[np.searchsorted(keys, distinct)], np.diff(np.append(starts, len(both))))
             part = np.bincount((both & ((U64(1) << room) - U64(1))).astype(np.int64), value)
             score[first : first + len(part)] += part
-        unknown, out = math.log10(0.5 / below), []
-        for data, total in zip(texts, score.tolist(), strict=True):
-            tokens = [*data.split(), END_TOKEN]
-            found = [base[t] for t in tokens if t in base]
-            size = len(tokens)
-            plain = math.fsum(found) + (size - len(found)) * unknown
-            out.append((len(data), size, len(found), n, plain, total, -total * math.log2(10) / (len(data) + 1)))
+        out = [(*row, total, -total * math.log2(10) / (row[0] + 1)) for row, total in zip(out, score.tolist(), strict=True)]
         columns = [pa.array(c) for c in zip(*out, strict=True)]
         held = pc.invert(rows.column("learn"))
         return pa.table([rows.column("doc_id"), held, *columns], names=[f.name for f in fields])
