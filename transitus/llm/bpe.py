@@ -15,8 +15,10 @@ from transitus.llm.common import Shipped
 
 # Fixed value: how this kind of vocabulary cuts a text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Encoded pieces that a task remembers, and the longest piece worth remembering.
-MEMORY_PIECES, MEMORY_CHARS = 200_000, 64
+# Encoded pieces in each of the two halves of a worker's memory, and the longest piece worth remembering.
+MEMORY_PIECES, MEMORY_CHARS = 250_000, 64
+# Bits of an id in a pair, and of a place in an entry of the queue.
+PAIR, PLACE = 32, 40
 CODED = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -37,45 +39,53 @@ class Bpe:
         ids = model["vocab"]
         self.bytes_of = {i: raw(token) for token, i in ids.items()}
         self.of_byte = [ids[letter] for letter, _ in sorted(letters.items(), key=lambda x: x[1])]
-        self.ranks = {}
+        # a pair as one number: its rank, and for each rank what the pair becomes
+        self.ranks, self.joined = {}, []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
+            self.ranks.setdefault(ids[left] << PAIR | ids[right], rank)
+            self.joined.append(ids[left + right])
         added = {t["content"]: t["id"] for t in whole.get("added_tokens", [])}
         self.added = {text: i for text, i in added.items() if text}
         self.bytes_of |= {i: text.encode() for text, i in self.added.items()}
+        self.decimal = {i: str(i) for i in self.bytes_of}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if added else None
         self.pieces = regex.compile(PIECES)
-        self.memory: dict[str, list[int]] = {}
+        self.memory: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Always the lowest rank, leftmost first.
 
-        The queue keeps entries of pairs that are gone; an entry is stale if either symbol has changed since.
+        The queue holds rank and place as one number. It keeps entries of pairs that are gone; an entry is stale if the
+        pair at its place has another rank by now.
         """
         symbols = [self.of_byte[b] for b in piece]
         end = len(symbols)
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        ranks = self.ranks
+        rank_of, pop, push = self.ranks.get, heapq.heappop, heapq.heappush
         queue = []
         for at in range(end - 1):
-            if found := ranks.get((symbols[at], symbols[at + 1])):
-                queue.append((found[0], at, symbols[at], symbols[at + 1], found[1]))
+            if (rank := rank_of(symbols[at] << PAIR | symbols[at + 1])) is not None:
+                queue.append(rank << PLACE | at)
         heapq.heapify(queue)
         while queue:
-            _, at, left, right, joined = heapq.heappop(queue)
+            entry = pop(queue)
+            rank, at = entry >> PLACE, entry & ((1 << PLACE) - 1)
             other = after[at]
-            if symbols[at] != left or other >= end or symbols[other] != right:
+            # what was merged into its neighbour is -1, and no pair of that has a rank
+            if other >= end or rank_of(symbols[at] << PAIR | symbols[other]) != rank:
                 continue
-            symbols[at], symbols[other] = joined, -1
+            joined = symbols[at] = self.joined[rank]
+            symbols[other] = -1
             follower = after[at] = after[other]
             if follower < end:
                 before[follower] = at
-                if found := ranks.get((joined, symbols[follower])):
-                    heapq.heappush(queue, (found[0], at, joined, symbols[follower], found[1]))
-            if (leader := before[at]) >= 0 and (found := ranks.get((symbols[leader], joined))):
-                heapq.heappush(queue, (found[0], leader, symbols[leader], joined, found[1]))
+                if (rank := rank_of(joined << PAIR | symbols[follower])) is not None:
+                    push(queue, rank << PLACE | at)
+            if (leader := before[at]) >= 0 and (rank := rank_of(symbols[leader] << PAIR | joined)) is not None:
+                push(queue, rank << PLACE | leader)
         out, at = [], 0
         while at < end:
             out.append(symbols[at])
@@ -93,14 +103,20 @@ class Bpe:
             for piece in self.pieces.findall(part):
                 ids = memory.get(piece)
                 if ids is None:
-                    ids = self.merge(piece.encode())
+                    ids = self.older.get(piece) or tuple(self.merge(piece.encode()))
                     if len(piece) <= MEMORY_CHARS:
                         if len(memory) >= MEMORY_PIECES:
-                            memory.clear()
+                            # what was asked for since the last time stays for another round
+                            self.older, self.memory = memory, {}
+                            memory = self.memory
                         memory[piece] = ids
                 out += ids
         return out
 
+    def written(self, ids: list[int]) -> str:
+        """The ids in decimal, joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
         """Bytes of the tokens in a row; what is no UTF-8 becomes the replacement character."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -109,7 +125,7 @@ class Bpe:
 def vocabulary(spark: SparkSession, path: str) -> Shipped:
     """Broadcasts the parsed vocabulary file, whose size bounds the broadcast."""
     with open(path, encoding="utf-8") as file:
-        return Shipped(spark, Bpe(file.read()))
+        return Shipped(spark, Bpe(file.read()), keep=True)
 
 
 def encoder(spark: SparkSession, path: str):
@@ -150,7 +166,7 @@ def round_trip(spark: SparkSession, text: Column, path: str, with_ids: bool = Fa
         rows = []
         for text in texts:
             ids = bpe.encode(text or "")
-            joined = ",".join(map(str, ids)).encode()
+            joined = bpe.written(ids).encode()
             back = bpe.decode(ids).encode()
             row = (len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(back).hexdigest())
             rows.append((*row, ids) if with_ids else row)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pickle
+import sys
+import types
 import uuid
 from typing import Any
 
@@ -82,17 +84,32 @@ def drop_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+# Where a worker process keeps what outlives a task, and how many objects it keeps.
+WORKER, KEPT = "_transitus_worker", 2
+
+
 class Shipped:
-    """A driver object of bounded size, broadcast with its code, so that executors need not have this package."""
+    """A driver object of bounded size, broadcast with its code, so that executors need not have this package.
+
+    With `keep` a worker process holds on to it for later tasks, what it has learnt meanwhile included.
+    """
 
-    def __init__(self, spark: SparkSession, value: Any) -> None:
+    def __init__(self, spark: SparkSession, value: Any, keep: bool = False) -> None:
         self.held, self.opened = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+        self.name = uuid.uuid4().hex if keep else None
 
     def __getstate__(self) -> dict:
-        return {"held": self.held, "opened": None}
+        return {"held": self.held, "opened": None, "name": self.name}
 
     def get(self) -> Any:
-        """The object, unpickled once in each task."""
-        if self.opened is None:
+        """The object, unpickled once in each task, or once in each worker process."""
+        if self.opened is None and self.name is None:
             self.opened = pickle.loads(self.held.value)
+        elif self.opened is None:
+            kept = sys.modules.setdefault(WORKER, types.ModuleType(WORKER)).__dict__.setdefault("kept", {})
+            if self.name not in kept:
+                while len(kept) >= KEPT:
+                    del kept[next(iter(kept))]
+                kept[self.name] = pickle.loads(self.held.value)
+            self.opened = kept[self.name]
         return self.opened
