@@ -118,3 +118,44 @@ def test_generation_once(spark, tmp_path):
         stream = jobs.read_stream(spark, str(src), spark.read.parquet(str(src)).schema, 1)
         jobs.generate_new(stream, str(tmp_path / "out"), str(tmp_path / "cp"), lambda: (lambda xs: [x.upper() for x in xs]), "m")
     assert sorted(r.output for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["A", "B", "C"]
+
+
+def test_progress_counts_rows_behind_the_watermark(spark, tmp_path):
+    """Three files: the second has late and duplicate events, the third is later than all; counts per batch, over two runs."""
+    from transitus.streaming import progress
+
+    schema = "log_id bigint, transition_id bigint, action string, action_at timestamp"
+    at = lambda *ids: spark.createDataFrame([(i, i, "EDITED") for i in ids], "log_id bigint, transition_id bigint, action string").withColumn(
+        "action_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("log_id") * 3600)
+    )
+    source, told = str(tmp_path / "in"), str(tmp_path / "progress")
+    # ids are hours: after 1 to 100 the watermark stands at hour 76
+    for ids in ([*range(1, 101)], [3, 50, 76, 77, 100, 101, 101], [90, 200]):
+        at(*ids).write.mode("append").parquet(source)
+        stream = jobs.distinct_events(jobs.read_stream(spark, source, schema))
+        progress.run_recorded(stream, "events", str(tmp_path / "out"), str(tmp_path / "cp"), told)
+    rows = spark.read.parquet(told).filter("input_rows > 0").orderBy("batch").select("query", "input_rows", "dropped_rows").collect()
+    assert [tuple(r) for r in rows] == [("events", 100, 0), ("events", 7, 3), ("events", 2, 0)]
+    kept = [r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("log_id").orderBy("log_id").collect()]
+    assert kept == [*range(1, 102), 200]
+    assert [tuple(r) for r in progress.late_report(spark.read.parquet(told)).collect()] == [("events", 3, 109, 3)]
+    again = progress.late_report(spark.read.parquet(told).unionAll(spark.read.parquet(told)))
+    assert [tuple(r) for r in again.collect()] == [("events", 3, 109, 3)]
+
+
+def test_missed_batches_are_an_error():
+    from transitus.streaming import progress
+
+    class Query:
+        def __init__(self, lots):
+            self.lots = lots
+
+        def awaitTermination(self, timeout):
+            self.recentProgress = [
+                {"batchId": b, "runId": "r", "numInputRows": 1, "stateOperators": [], "eventTime": {}} for b in self.lots.pop(0)
+            ]
+            return not self.lots
+
+    assert [[r[2] for r in lot] for lot in progress.batches(Query([[4, 5], [], [5, 6, 6]]), "q")] == [[4, 5], [6]]
+    with pytest.raises(RuntimeError, match="batches 6 to 7"):
+        list(progress.batches(Query([[4, 5], [8]]), "q"))

@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from transitus.functions.columns import lookup
@@ -10,7 +11,7 @@ from transitus.plans.registry import query
 from transitus.plans.review_queries import SHIFT, sts, ts
 from transitus.session import shared_folder
 from transitus.sources.binding import ACTION_OF_EVENT, add_days
-from transitus.streaming import jobs
+from transitus.streaming import jobs, progress
 
 
 def streamed(t, name):
@@ -121,3 +122,26 @@ def stream_generate_new(t):
     prompts = streamed(t, "documents").select(F.col("text").alias("prompt"))
     jobs.generate_new(prompts, f"{base}/out", f"{base}/checkpoint", narrative_queries.word_counter, "word-counter")
     return t.spark.read.parquet(f"{base}/out").select("prompt_hash", "output")
+
+
+@query("stream_late_rows", "evt", f"""
+    WITH w AS (SELECT date_trunc('millisecond', max(action_at)) - INTERVAL 1 DAY AS mark FROM evt WHERE log_id % 10 <> 0),
+    e AS (SELECT CASE WHEN log_id % 10 = 0 THEN 2 ELSE 1 END AS step, log_id % 10 = 0 AND action_at <= mark AS late, mark FROM evt, w)
+    SELECT step, count(*) AS input_rows, count_if(late)::BIGINT AS dropped_rows, (count(*) - count_if(late))::BIGINT AS kept_rows,
+           CASE step WHEN 1 THEN '1970-01-01T00:00:00.000Z' ELSE strftime(max(mark), '%Y-%m-%dT%H:%M:%S.%gZ') END AS watermark
+    FROM e GROUP BY step""")
+def stream_late_rows(t):
+    """A tenth of the events comes after all others: what lies behind the watermark by then is dropped, and counted."""
+    base = f"{shared_folder(t.spark).rstrip('/')}/late-{uuid.uuid4().hex}"
+    log = t.review_events.select("log_id", "transition_id", "action", F.col("action_at").cast("timestamp").alias("action_at"))
+    for part in (F.col("log_id") % 10 != 0, F.col("log_id") % 10 == 0):
+        log.filter(part).write.mode("append").parquet(f"{base}/in")
+        events = jobs.distinct_events(jobs.read_stream(t.spark, f"{base}/in", log.schema))
+        progress.run_recorded(events, "events", f"{base}/out", f"{base}/checkpoint", f"{base}/progress")
+    told = t.spark.read.schema(progress.PROGRESS).parquet(f"{base}/progress").filter("input_rows > 0")
+    # one row per batch, here two
+    step = F.row_number().over(Window.partitionBy("query").orderBy("batch"))
+    kept = t.spark.read.schema(events.schema).parquet(f"{base}/out").groupBy(
+        F.when(F.col("log_id") % 10 == 0, 2).otherwise(1).alias("step")
+    ).agg(F.count(F.lit(1)).alias("kept_rows"))
+    return told.withColumn("step", step).join(kept, "step").select("step", "input_rows", "dropped_rows", "kept_rows", "watermark")

@@ -234,6 +234,11 @@ def invalidations_batch(approvals: DataFrame, changes: DataFrame) -> DataFrame:
     ).drop("_patient")
 
 
+def distinct_events(events: DataFrame, late: str = LATE) -> DataFrame:
+    """Review events, each once, whatever was delivered twice; ids are remembered as long as the watermark allows."""
+    return events.withWatermark("action_at", late).dropDuplicates(["log_id", "action_at"])
+
+
 def sliding_monitor(events: DataFrame, edit_target: float = 30.0, edit_alert: float = 50.0, late: str | None = LATE) -> DataFrame:
     """Edits and rejections per approval over 7 days, every day, with the alert status. `late=None` for batch input."""
     action = F.col("action")
