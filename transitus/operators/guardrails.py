@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transitus.functions.columns import days, rules
-from transitus.functions.text import any_like, phrase_hits, sentences, word_count, words
+from transitus.functions.phrases import in_words, phrase_hits
+from transitus.functions.text import any_like, sentences, word_count, words
 
 # Phrases of the checks, word limits and thresholds.
 DANGEROUS = ["%stop taking%", "%discontinue%immediately%", "%increase%dose%"]
@@ -42,19 +43,26 @@ def validate_profiles(
     )
 
 
-def mentioned_terms(documents: DataFrame, dictionary: list[str], text: str, key: str = "transition_id") -> DataFrame:
+def dictionary_table(spark: SparkSession, dictionary: DataFrame | list[str]) -> DataFrame:
+    """(term): the terms in lower case, each once; a table may be of any size."""
+    if isinstance(dictionary, DataFrame):
+        return dictionary.select(F.lower(dictionary.columns[0]).alias("term")).distinct()
+    return spark.createDataFrame([(t,) for t in sorted({t.lower() for t in dictionary})], "term string")
+
+
+def mentioned_terms(documents: DataFrame, dictionary: DataFrame | list[str], text: str, key: str = "transition_id") -> DataFrame:
     """(key, term) for every dictionary phrase that occurs in the text, once each.
 
-    `key` must identify a document.
+    `dictionary` is a table whose first column holds the terms, or a list. Terms and texts are compared by their words;
+    what stands between them does not count. `key` must identify a document.
     """
-    terms = sorted({t.lower() for t in dictionary})
-    table = rules(documents.sparkSession, [(t,) for t in terms], "term string")
+    terms = dictionary_table(documents.sparkSession, dictionary).withColumn("_phrase", in_words(F.col("term")))
     tokens = documents.select(key, words(text).alias("_words"))
-    return phrase_hits(tokens, [key], "_words", table, "term", max(len(t.split()) for t in terms)).select(key, "term").distinct()
+    return phrase_hits(tokens, [key], "_words", terms, "_phrase").select(key, "term").distinct()
 
 
 def term_hallucination(
-    documents: DataFrame, listed: DataFrame, dictionary: list[str], text: str, key: str = "transition_id"
+    documents: DataFrame, listed: DataFrame, dictionary: DataFrame | list[str], text: str, key: str = "transition_id"
 ) -> DataFrame:
     """Dictionary terms a document mentions though its patient's list does not hold them."""
     return mentioned_terms(documents, dictionary, text, key).join(
@@ -93,7 +101,7 @@ def uncertainty(text: Column, markers: list[str] = UNCERTAIN) -> Column:
 
 
 def quality_checks(
-    documents: DataFrame, listed: DataFrame, dictionary: list[str], text: str = "clinical_handoff",
+    documents: DataFrame, listed: DataFrame, dictionary: DataFrame | list[str], text: str = "clinical_handoff",
     allergies: DataFrame | None = None, limit: int = WORD_LIMITS["clinical_handoff"],
     dangerous: list[str] = DANGEROUS, required: list[str] = REQUIRED, uncertain: list[str] = UNCERTAIN,
 ) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitus.functions.columns import count_if, days, n_rows, pct, ratio, rules, total
-from transitus.functions.text import phrase_hits, sentences, words
+from transitus.functions.phrases import phrase_hits
+from transitus.functions.text import sentences, words
 from transitus.operators.approval import Machine, fold
 
 # Fixed value: letter, two characters, optional dot and up to four more.

@@ -5,6 +5,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from transitus.functions.phrases import phrase_hits
+from transitus.functions.text import words
 from transitus.operators import cohort, guardrails, medrec, narrative
 from transitus.plans.registry import query
 from transitus.plans.tables import DOUBT, NEEDED, RISKY, TERMS
@@ -206,6 +208,28 @@ def term_hallucination(t):
     return guardrails.term_hallucination(t.narratives, t.listed_terms, TERMS, "clinical_handoff")
 
 
+def pairs_sql(table, key, text):
+    """Neighbouring words of a text, as SQL."""
+    split = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return (f"(SELECT {key}, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS phrase "
+            f"FROM (SELECT {key}, {split} AS w FROM {table}))")
+
+
+@query("dictionary_mentions", "", f"""
+    WITH dict AS (SELECT DISTINCT phrase FROM {pairs_sql('conversations', 'conv_id', 'text')}),
+    hits AS (SELECT doc_id, phrase FROM {pairs_sql('documents', 'doc_id', 'text')} WHERE phrase IN (SELECT phrase FROM dict))
+    SELECT doc_id, count(*)::BIGINT AS places, count(DISTINCT phrase)::BIGINT AS phrases FROM hits GROUP BY 1""")
+def dictionary_mentions(t):
+    """A dictionary of some ten thousand phrases up: every pair of neighbouring words in the conversations."""
+    told = t.table("conversations").select(words("text").alias("_w")).filter(F.size("_w") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda at: F.array_join(F.slice("_w", at, F.lit(2)), " "))
+    dictionary = told.select(F.explode(pairs).alias("phrase")).distinct()
+    hits = phrase_hits(t.documents.select("doc_id", words("text").alias("_w")), ["doc_id"], "_w", dictionary, "phrase")
+    return hits.groupBy("doc_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("places"), F.count_distinct("phrase").cast("bigint").alias("phrases")
+    )
+
+
 UNSURE = r"(?i)(^|[^\p{L}\p{N}])(not sure|might|that it|que la)($|[^\p{L}\p{N}])"
 NWORDS = "len(list_filter(regexp_split_to_array(clinical_handoff, '\\s+'), lambda x: x <> ''))"
 RISKY_SQL = ("clinical_handoff ILIKE '%stop taking%' OR clinical_handoff ILIKE '%discontinue%immediately%' OR "
