@@ -20,15 +20,6 @@ def test_summary_prefers_rare_words(spark):
     assert {r.doc: r.sentence for r in text.summarize_history(docs, 1, "doc", min_rows=1).collect()} == plain
 
 
-def test_vectors_in_lots(spark, monkeypatch):
-    rows = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(40)]
-    vectors = spark.createDataFrame(rows, "id int, embedding array<double>").repartition(3)
-    queries = vectors.filter("id < 9").withColumnRenamed("id", "q")
-    one = sorted(map(tuple, text.similar_vectors(vectors, queries, 3, "id", "q").collect()))
-    monkeypatch.setattr(text, "MAX_QUERY_VECTORS", 2)
-    assert sorted(map(tuple, text.similar_vectors(vectors, queries, 3, "id", "q").collect())) == one and len(one) == 27
-
-
 def test_search_is_exact_whatever_is_common(spark):
     """Which words count as common decides the way, never the result."""
     docs = spark.createDataFrame([(k, "the " * (1 + k % 7) + f"w{k % 5} w{k % 11} of") for k in range(60)], "doc int, text string")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitus.functions.columns import n_rows
 from transitus.functions.skew import HOT_ROWS, heaviest, salted_join
 from transitus.functions.text import SENTENCE_END, words
+from transitus.operators.vectors import build, search
 
 WEIGHT = "decimal(20,6)"
 
@@ -110,53 +107,11 @@ def search_docs(
     return hashed.drop(text).join(top, "_q").select(query_key, "rank", key, "score")
 
 
-MAX_QUERY_VECTORS = 4_096
-
-
 def similar_vectors(
     vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "embedding"
 ) -> DataFrame:
-    """The `k` vectors of highest cosine per query vector, exact.
-
-    Query vectors are sent to the tasks in lots of at most about `MAX_QUERY_VECTORS`, one pass over `vectors`
-    per lot. Each task keeps its own best `k` per batch, so little is shuffled.
-    """
-    lots = -(-queries.count() // MAX_QUERY_VECTORS)
-    out = None
-    for lot in range(lots):
-        rows = queries.filter(F.pmod(F.xxhash64(query_key), F.lit(lots)) == lot).select(query_key, vector).collect()
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows])
-        matrix = np.array([r[1] for r in rows], dtype=np.float64)
-        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-
-        def score(frames: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if frame.empty:
-                    continue
-                own = np.stack(frame[vector].to_numpy()).astype(np.float64)
-                size = np.linalg.norm(own, axis=1, keepdims=True)
-                own = np.divide(own, size, out=np.zeros_like(own), where=size > 0)
-                near = np.round(matrix @ own.T, 6)
-                keys = frame[key].to_numpy()
-                # equal values are ordered by key, as in the final ranking
-                order = np.lexsort((np.broadcast_to(keys, near.shape), -near), axis=1)[:, :k]
-                yield pd.DataFrame({
-                    query_key: np.repeat(ids, order.shape[1]), key: keys[order].ravel(),
-                    "cosine": np.take_along_axis(near, order, axis=1).ravel(),
-                })
-
-        types = {**dict(queries.dtypes), **{f"_{c}": d for c, d in vectors.dtypes}}
-        part = vectors.select(key, vector).mapInPandas(
-            score, f"{query_key} {types[query_key]}, {key} {types['_' + key]}, cosine double"
-        )
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        raise ValueError("no query vectors")
-    best = Window.partitionBy(query_key).orderBy(F.desc("cosine"), key)
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    """The `k` vectors of highest cosine per query vector, exact: an index built, searched once and given up."""
+    return search(build(vectors, key, vector), queries, k, query_key, vector)
 
 
 def centroids(vectors: DataFrame, label: str, vector: str = "embedding") -> DataFrame:
