@@ -28,3 +28,55 @@ def test_search_is_exact_whatever_is_common(spark):
         sorted(map(tuple, text.search_docs(docs, queries, 6, "doc", "q", common_share=share).collect())) for share in (0.0, 0.15, 0.5, 1.0)
     ]
     assert len(found[0]) == 18 and all(f == found[0] for f in found)
+
+
+def plain_bm25(docs, queries, k):
+    import math
+    import re
+    from collections import Counter
+    from decimal import ROUND_HALF_UP, Decimal
+
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    own = {d: Counter(split(t)) for d, t in docs}
+    n, total = len(own), sum(sum(c.values()) for c in own.values())
+    out = []
+    for q, t in queries:
+        asked = list(dict.fromkeys(split(t)))
+        scores = {}
+        for w in asked:
+            df = sum(w in c for c in own.values())
+            for d, c in own.items():
+                if w in c:
+                    idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+                    s = idf * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) * n / total))
+                    scores[d] = scores.get(d, 0) + Decimal(s).quantize(Decimal("0.000001"), ROUND_HALF_UP)
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
+        out += [(q, rank, d, float(s)) for rank, (d, s) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def test_index_is_extended_and_searched(spark, tmp_path):
+    import random
+
+    from transitus.operators import search_index
+
+    draw = random.Random(11)
+    told = lambda: " ".join(draw.choices(["the", "of", "and"], k=draw.randint(1, 30)) + draw.choices([f"w{k}" for k in range(40)], k=draw.randint(0, 12)))
+    docs = [(k, told()) for k in range(120)] + [(200, ""), (201, None)]
+    queries = [(k, " ".join(draw.choices(["the", "of", "and", "w1", "w2", "w3", "w9", "w17", "unseen"], k=4))) for k in range(25)] + [(90, ""), (91, "the of and")]
+    asked = spark.createDataFrame(queries, "q int, text string")
+    index = search_index.SearchIndex(spark, str(tmp_path / "index"), "doc", "int")
+    assert index.search(asked, 4, "q").count() == 0
+    frame = lambda rows: spark.createDataFrame(rows, "doc int, text string")
+    index.add(frame(docs[:50]))
+    for share in (0.0, 0.1, 0.5, 1.0):
+        got = sorted((r["q"], r["rank"], r["doc"], r["score"]) for r in index.search(asked, 4, "q", common_share=share, min_rows=5).collect())
+        assert got == plain_bm25(docs[:50], queries, 4)
+    # added again in part; a segment without its row of counts does not exist
+    index.add(frame([*docs[30:], (None, "w1 w1")]))
+    index.add(frame(docs))
+    frame([(999, "w1")]).selectExpr("doc", "'broken' AS segment").write.mode("append").partitionBy("segment").parquet(str(tmp_path / "index" / "documents"))
+    assert index.documents().count() == 122
+    for share in (0.05, 1.0):
+        got = sorted((r["q"], r["rank"], r["doc"], r["score"]) for r in index.search(asked, 4, "q", common_share=share).collect())
+        assert got == plain_bm25(docs, queries, 4)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitus.functions.columns import n_rows
 from transitus.functions.skew import HOT_ROWS, heaviest, salted_join
 from transitus.functions.text import SENTENCE_END, words
+from transitus.operators.search_index import SearchIndex
 from transitus.operators.vectors import build, search
+from transitus.session import shared_folder
 
 WEIGHT = "decimal(20,6)"
 
@@ -38,73 +42,19 @@ def summarize_history(docs: DataFrame, k: int, key: str, text: str = "text", min
     )
 
 
-K1, B = 1.2, 0.75
-
-
 def search_docs(
     docs: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, text: str = "text",
     common_share: float = 0.1, min_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Best `k` documents per query by BM25 over all words of the query, exact.
+    """Best `k` documents per query by BM25, exact: an index of the words that are asked for, searched once.
 
-    Equal query texts are searched once. Only words that some query asks for are counted in the documents. Term
-    weights are rounded to six places as decimals before they are summed.
-
-    Words in more than `common_share` of all documents weigh little, but would pair most queries with most
-    documents. So documents are scored by the other words first, and the common ones are added where they can
-    still matter: a document whose score and the most that the query's common words can add stay below the k-th
-    best score so far is out. Where that most reaches the k-th best score itself, a document with common words
-    alone could be among the best, and the query is scored in full.
+    For a corpus that is searched again, keep a `search_index.SearchIndex`.
     """
-    hashed = queries.select(query_key, F.sha2(text, 256).alias("_q"), text)
-    asked = hashed.groupBy("_q").agg(F.min(text).alias(text)).select("_q", F.explode(F.array_distinct(words(text))).alias("word"))
-    parsed = docs.select(key, words(text).alias("_words"))
-    sizes = parsed.agg(n_rows().alias("n"), F.sum(F.size("_words")).alias("words"))
-    n, all_words = sizes.select("n").scalar(), sizes.select("words").scalar()
-    tf = (
-        parsed.select(key, F.size("_words").alias("_dl"), F.explode("_words").alias("word"))
-        .join(asked.select("word").distinct(), "word", "left_semi")
-        .groupBy(key, "_dl", "word").agg(n_rows().alias("_tf"))
-    )
-    frequency = tf.groupBy("word").agg(n_rows().alias("_df"))
-    norm = F.lit(1 - B) + F.lit(B) * F.col("_dl").cast("double") * n.cast("double") / all_words.cast("double")
-    idf = F.log(F.lit(1.0) + (n.cast("double") - F.col("_df") + F.lit(0.5)) / (F.col("_df") + F.lit(0.5)))
-    weight = idf * F.col("_tf").cast("double") * F.lit(K1 + 1) / (F.col("_tf").cast("double") + F.lit(K1) * norm)
-    share = F.round(weight, 6).cast(WEIGHT)
-    terms = asked.join(frequency, "word").withColumn("_common", F.col("_df") > n * F.lit(common_share))
-    hot = heaviest(frequency, "word", "_df", min_rows)
-
-    def scored(asked_words: DataFrame) -> DataFrame:
-        hits = salted_join(tf, asked_words, "word", hot, [key])
-        return hits.groupBy("_q", key).agg(F.sum(share).alias("_s"))
-
-    rare = scored(terms.filter("not _common"))
-    best = Window.partitionBy("_q").orderBy(F.desc("_s"), key)
-    kth = (
-        rare.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= k)
-        .groupBy("_q").agg(F.min("_s").alias("_kth"), n_rows().alias("_found"))
-    )
-    # tf / (tf + K1 norm) is below 1
-    most = terms.filter("_common").groupBy("_q").agg(F.sum(F.round(idf * (K1 + 1), 6).cast(WEIGHT)).alias("_most"))
-    limits = asked.select("_q").distinct().join(kth, "_q", "left").join(most, "_q", "left").select(
-        "_q", F.coalesce("_most", F.lit(0).cast(WEIGHT)).alias("_most"),
-        F.when(F.col("_found") >= k, F.col("_kth")).alias("_kth"),
-    )
-    open_ = F.col("_kth").isNull() | (F.col("_most") >= F.col("_kth"))
-    full = scored(terms.join(limits.filter(open_).select("_q"), "_q", "left_semi"))
-    near = rare.join(limits.filter(~open_), "_q").filter(F.col("_s") + F.col("_most") >= F.col("_kth")).select("_q", key, "_s")
-    # the candidates ask for their query's common words, so rows grow with the candidates
-    added = (
-        near.select("_q", key).join(terms.filter("_common").drop("_common"), "_q").join(tf, [key, "word"])
-        .select("_q", key, share.alias("_s"))
-    )
-    closed = near.unionByName(added).groupBy("_q", key).agg(F.sum("_s").alias("_s"))
-    last = Window.partitionBy("_q").orderBy(F.desc("score"), key)
-    top = (
-        full.unionByName(closed).select("_q", key, F.col("_s").cast("double").alias("score"))
-        .withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
-    )
-    return hashed.drop(text).join(top, "_q").select(query_key, "rank", key, "score")
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
+    index = SearchIndex(spark, folder, key, dict(docs.dtypes)[key])
+    index.add(docs, text, only=queries.select(F.explode(F.array_distinct(words(text))).alias("word")))
+    return index.search(queries, k, query_key, text, common_share, min_rows)
 
 
 def similar_vectors(

@@ -1,12 +1,13 @@
 """Models, forecasts, anomalies, summaries and search."""
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
 
-from transitus.operators import cohort, models, text
+from transitus.operators import cohort, models, search_index, text
 from transitus.plans.registry import query
-from transitus.session import stage
+from transitus.session import shared_folder, stage
 from transitus.sources.binding import add_days
 
 
@@ -96,7 +97,7 @@ def summarize_history(t):
     )
 
 
-@query("search_docs", "", f"""
+BM25 = f"""
     WITH p AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents),
     q AS (SELECT item_id, unnest(list_distinct({TOKENS.format('text')})) AS word FROM benchmark),
     c AS (SELECT count(*)::DOUBLE AS n, sum(len(w))::DOUBLE AS words FROM p),
@@ -106,11 +107,24 @@ def summarize_history(t):
               (tf::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl::DOUBLE * n / words)), 6)::DECIMAL(20,6))::DOUBLE AS score
           FROM tf JOIN df USING (word) JOIN q USING (word), c GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM h)
-    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 5""")
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 5"""
+
+
+@query("search_docs", "", BM25)
 def search_docs(t):
     return text.search_docs(t.documents, t.table("benchmark"), 5, "doc_id", "item_id")
 
 
+@query("indexed_search", "", BM25)
+def indexed_search(t):
+    """From a stored index: first the documents of even number, then all; the second time adds those it lacks."""
+    folder = f"{shared_folder(t.spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    index = search_index.SearchIndex(t.spark, folder, "doc_id", "bigint")
+    index.add(t.documents.filter("doc_id % 2 = 0"))
+    index.add(t.documents)
+    return index.search(t.table("benchmark"), 5, "item_id")
+
+
 @query("similar_vectors", "", """
     WITH x AS (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
     m AS (SELECT label, i, avg(v) AS v FROM x GROUP BY ALL), c AS (SELECT label, list(v ORDER BY i) AS e FROM m GROUP BY 1),
