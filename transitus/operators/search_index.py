@@ -30,18 +30,22 @@ K1, B = 1.2, 0.75
 BUCKETS = 64
 # Postings of a word share a block if they have as many occurrences (up to MANY) and lengths within a factor of 2 ** (1 / FINE).
 MANY, FINE = 16, 4
+# Leading documents, as a multiple of k, that are scored in full to set the bar.
+LEADING = 4
 SEGMENTS = "segment string, n_docs bigint, n_words bigint"
 
 
-def bucket(word: str) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+class SearchIndex:
+    """An index in a folder that all executors share; `key` names a document and `kind` is its type.
 
+    Whoever opens a folder again gives the same number of `buckets`.
+    """
 
-class SearchIndex:
-    """An index in a folder that all executors share; `key` names a document and `kind` is its type."""
+    def __init__(self, spark: SparkSession, path: str, key: str, kind: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.key, self.kind, self.buckets = spark, path.rstrip("/"), key, kind, buckets
 
-    def __init__(self, spark: SparkSession, path: str, key: str, kind: str) -> None:
-        self.spark, self.path, self.key, self.kind = spark, path.rstrip("/"), key, kind
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("word"), F.lit(self.buckets)).cast("int")
 
     def _read(self, table: str, schema: str) -> DataFrame:
         """Rows of the segments that count; none in an index without any."""
@@ -76,21 +80,25 @@ class SearchIndex:
         """
         fresh = docs.filter(F.col(self.key).isNotNull()).join(self.documents().select(self.key), self.key, "left_anti")
         parsed = stage(fresh.select(self.key, words(F.coalesce(F.col(text), F.lit(""))).alias("_words")), "index-words")
-        sizes = parsed.groupBy(self.key).agg(F.sum(F.size("_words")).cast("int").alias("_dl"))
-        one = parsed.join(sizes, self.key).select(self.key, "_dl", F.explode("_words").alias("word"))
+        sizes = parsed.groupBy(self.key).agg(F.sum(F.size("_words")).cast("int").alias("_dl"), n_rows().alias("_rows"))
+        if sizes.filter("_rows > 1").isEmpty():
+            told = parsed.withColumn("_dl", F.size("_words"))
+        else:
+            told = parsed.join(sizes, self.key)
+        one = told.select(self.key, "_dl", F.explode("_words").alias("word"))
         if only is not None:
             one = one.join(only.select("word").distinct(), "word", "left_semi")
         segment = uuid.uuid4().hex
         block = F.least("_tf", F.lit(MANY)) * 1_000 + F.floor(F.log2(F.greatest("_dl", F.lit(1))) * FINE)
         postings = (
             one.groupBy("word", self.key, "_dl").agg(n_rows().alias("_tf")).withColumn("block", block.cast("int"))
-            .withColumn("bucket", bucket("word"))
+            .withColumn("bucket", self._bucket())
         )
 
         def write(df: DataFrame, table: str, *by: str) -> None:
             df.withColumn("segment", F.lit(segment)).write.mode("append").partitionBy("segment", *by).parquet(f"{self.path}/{table}")
 
-        write(postings.repartition("bucket", F.pmod(F.xxhash64(self.key), F.lit(16))).sortWithinPartitions("word"), "postings", "bucket")
+        write(postings.repartition("bucket", F.pmod(F.xxhash64(self.key), F.lit(16))).sortWithinPartitions("bucket", "word"), "postings", "bucket")
         held = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("segment") == segment)
         write(held.groupBy("word").agg(n_rows().alias("_df")), "words")
         write(
@@ -106,9 +114,9 @@ class SearchIndex:
         """Best `k` documents per query by BM25 over all words of the query, exact: query, rank, document, score.
 
         Equal query texts are searched once. Term weights are rounded to six places as decimals before they are
-        summed. A query is first scored by its rarer words; its k-th best so far is a bar. Words in more than
-        `common_share` of all documents weigh little: where all of them together stay below the bar, only documents
-        found already ask for them. Otherwise the query is scored in full, without the blocks whose best posting and
+        summed. A query is first scored by its rarer words, those in at most `common_share` of all documents; the
+        documents that lead get their whole scores, whose k-th best is a bar. Where all common words together stay
+        below the bar, only documents found already can reach it, and only they ask for common words. Otherwise the query is scored in full, without the blocks whose best posting and
         the most that its other words add stay below the bar.
         """
         key = self.key
@@ -116,7 +124,7 @@ class SearchIndex:
         asked = hashed.groupBy("_q").agg(F.min(text).alias(text)).select("_q", F.explode(F.array_distinct(words(text))).alias("word"))
         sums = self.segments().agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
         n, all_words = F.lit(float(sums["n"])), F.lit(float(sums["w"]))
-        wanted = stage(asked.select("word").distinct().withColumn("bucket", bucket("word")), "asked-words")
+        wanted = stage(asked.select("word").distinct().withColumn("bucket", self._bucket()), "asked-words")
         idf = F.log(F.lit(1.0) + (n - F.col("_df") + F.lit(0.5)) / (F.col("_df") + F.lit(0.5)))
 
         def weight(tf: str, dl: str) -> Column:
@@ -124,7 +132,12 @@ class SearchIndex:
             return F.round(idf * F.col(tf).cast("double") * F.lit(K1 + 1) / (F.col(tf).cast("double") + F.lit(K1) * norm), 6).cast(WEIGHT)
 
         frequency = stage(self.frequency().join(wanted.select("word"), "word", "left_semi"), "asked-frequency")
-        tf = self.postings().join(wanted, ["bucket", "word"], "left_semi").select("word", key, "_tf", "_dl", "block")
+        # a posting's weight is the same for all queries
+        weighed = stage(
+            self.postings().join(wanted, ["bucket", "word"], "left_semi").join(frequency, "word")
+            .select("word", "block", key, weight("_tf", "_dl").alias("_w")),
+            "asked-postings",
+        )
         tops = stage(
             self.blocks().join(wanted, ["bucket", "word"], "left_semi").join(frequency, "word")
             .groupBy("word", "block").agg(F.max(weight("_most", "_least")).alias("_top")),
@@ -137,36 +150,38 @@ class SearchIndex:
         hot = heaviest(frequency, "word", "_df", min_rows)
 
         def scored(hits: DataFrame) -> DataFrame:
-            return hits.groupBy("_q", key).agg(F.sum(weight("_tf", "_dl")).alias("_s"))
+            return hits.groupBy("_q", key).agg(F.sum("_w").alias("_s"))
 
-        rare = stage(scored(salted_join(tf, terms.filter("not _common").select("_q", "word", "_df"), "word", hot, [key])), "asked-rare")
+        rare = stage(scored(salted_join(weighed, terms.filter("not _common").select("_q", "word"), "word", hot, [key])), "asked-rare")
         best = Window.partitionBy("_q").orderBy(F.desc("_s"), key)
-        bar = (
-            rare.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= k)
-            .groupBy("_q").agg(F.min("_s").alias("_bar"), n_rows().alias("_found")).filter(F.col("_found") >= k).drop("_found")
+
+        def with_common(found: DataFrame) -> DataFrame:
+            """Whole scores of (_q, document, score by the rarer words); rows grow with what was found."""
+            added = (
+                found.select("_q", key).join(terms.filter("_common").select("_q", "word"), "_q").join(weighed, [key, "word"])
+                .select("_q", key, F.col("_w").alias("_s"))
+            )
+            return found.unionByName(added).groupBy("_q", key).agg(F.sum("_s").alias("_s"))
+
+        leading = stage(
+            rare.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= LEADING * k).drop("_at"), "asked-leading"
         )
+        bar = with_common(leading).withColumn("_at", F.row_number().over(best)).filter(F.col("_at") == k).select("_q", F.col("_s").alias("_bar"))
         sums_of = terms.groupBy("_q").agg(
             F.sum("_top").alias("_all"), F.coalesce(F.sum(F.when(F.col("_common"), F.col("_top"))), F.lit(0).cast(WEIGHT)).alias("_rest")
         )
         limits = stage(sums_of.join(bar, "_q", "left"), "asked-limits")
         open_ = F.col("_bar").isNull() | (F.col("_rest") >= F.col("_bar"))
         # a document in a block left out is below the bar, whatever else it holds
-        full = terms.join(limits.filter(open_), "_q").select("_q", "word", "_df", "_top", "_all", "_bar")
+        full = terms.join(limits.filter(open_), "_q").select("_q", "word", "_top", "_all", "_bar")
         useful = full.join(tops.select("word", "block", F.col("_top").alias("_own")), "word").filter(
             F.col("_bar").isNull() | (F.col("_all") - F.col("_top") + F.col("_own") >= F.col("_bar"))
-        ).select("_q", "word", "block", "_df")
-        paired = tf.withColumn("_place", F.struct("word", "block"))
-        opened = scored(
-            salted_join(paired.drop("word", "block"), useful.select("_q", "_df", F.struct("word", "block").alias("_place")), "_place",
-                        hot.join(tops.select("word", "block"), "word").select(F.struct("word", "block").alias("_place"), "_hot"), [key])
-        )
+        ).select("_q", "word", "block")
+        place = F.struct("word", "block").alias("_place")
+        hot_places = tops.join(hot, "word").select(place, "_hot")
+        opened = scored(salted_join(weighed.select(place, key, "_w"), useful.select("_q", place), "_place", hot_places, [key]))
         near = rare.join(limits.filter(~open_), "_q").filter(F.col("_s") + F.col("_rest") >= F.col("_bar")).select("_q", key, "_s")
-        # the candidates ask for their query's common words, so rows grow with the candidates
-        added = (
-            near.select("_q", key).join(terms.filter("_common").select("_q", "word", "_df"), "_q").join(tf, [key, "word"])
-            .select("_q", key, weight("_tf", "_dl").alias("_s"))
-        )
-        closed = near.unionByName(added).groupBy("_q", key).agg(F.sum("_s").alias("_s"))
+        closed = with_common(near)
         last = Window.partitionBy("_q").orderBy(F.desc("score"), key)
         top = (
             opened.unionByName(closed).select("_q", key, F.col("_s").cast("double").alias("score"))

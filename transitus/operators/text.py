@@ -52,7 +52,7 @@ def search_docs(
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
-    index = SearchIndex(spark, folder, key, dict(docs.dtypes)[key])
+    index = SearchIndex(spark, folder, key, dict(docs.dtypes)[key], buckets=1)
     index.add(docs, text, only=queries.select(F.explode(F.array_distinct(words(text))).alias("word")))
     return index.search(queries, k, query_key, text, common_share, min_rows)
 
