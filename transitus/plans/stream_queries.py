@@ -72,7 +72,7 @@ CLOCK_SQL = """{name} AS (SELECT transition_id, '{kind}' AS kind, action, action
 def stream_review_clocks(t):
     """The last clock of a document runs out only if the watermark, or a later event of it, passes its due time."""
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
-    out = result(t, jobs.review_clocks(event_stream(t), t.narratives), "clocks")
+    out = jobs.standing_alerts(result(t, jobs.review_clocks(event_stream(t), t.narratives), "clocks"))
     return out.select("transition_id", "kind", ts("started_at"), ts("due_at"))
 
 

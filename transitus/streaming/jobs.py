@@ -71,7 +71,7 @@ CLOCK_EVENTS = {
     "ESCALATE": (["ASSIGNED"], ["APPROVED", "REJECTED"]),
     "EXPIRE": (["APPROVED"], ["SENT", "REJECTED", "GENERATED"]),
 }
-ALERT = "transition_id bigint, kind string, started_at timestamp, due_at timestamp"
+ALERT = "transition_id bigint, kind string, started_at timestamp, due_at timestamp, change string"
 HOUR_US = 3_600_000_000
 
 
@@ -92,11 +92,12 @@ def play(clocks: dict[str, tuple[int, int] | None], events: list[tuple]) -> tupl
 
 
 class Clocks(StatefulProcessor):
-    """Per document two clocks, kept as start and due in microseconds; an alert is sent when one runs out.
+    """Per document two clocks, kept as start and due in microseconds; an `ALERT` is sent when one runs out.
 
     The clocks stand at the watermark. Events beyond it are kept and played from there anew, in order of time and
     log_id, whenever more come, so it does not matter in which batch they came. Alerts sent for what lies beyond
-    the watermark are kept until it passes their due time, and are not sent twice.
+    the watermark are kept until it passes their due time; they are not sent twice, and one that an event from before
+    it takes away meanwhile is sent as `WITHDRAWN`. Behind the watermark nothing changes any more.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -130,6 +131,9 @@ class Clocks(StatefulProcessor):
                 clocks[kind] = None
         ahead, shown = play(clocks, later)
         told = [tuple(t) for t in self.told.get()]
+        standing = set(alerts + shown)
+        gone = [t for t in told if t not in standing]
+        told = [t for t in told if t in standing]
         alerts = [a for a in alerts + shown if a not in told]
         self.state.update(tuple(x for k in self.kinds for x in (clocks[k] or (None, None))))
         self._keep(self.waiting, later)
@@ -140,11 +144,12 @@ class Clocks(StatefulProcessor):
         if due:
             # a timer counts in milliseconds and must not fire early
             self.handle.registerTimer(-(-min(due) // 1000))
-        if alerts:
+        changes = [(*t, "WITHDRAWN") for t in gone] + [(*a, "ALERT") for a in alerts]
+        if changes:
             yield pd.DataFrame({
-                "transition_id": [key[0]] * len(alerts), "kind": [a[0] for a in alerts],
-                "started_at": pd.to_datetime([a[1] for a in alerts], unit="us"),
-                "due_at": pd.to_datetime([a[2] for a in alerts], unit="us"),
+                "transition_id": [key[0]] * len(changes), "kind": [c[0] for c in changes],
+                "started_at": pd.to_datetime([c[1] for c in changes], unit="us"),
+                "due_at": pd.to_datetime([c[2] for c in changes], unit="us"), "change": [c[3] for c in changes],
             })
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -168,11 +173,12 @@ def sla_hours(tier: Column) -> Column:
 
 
 def review_clocks(events: DataFrame, tiers: DataFrame, late: str = LATE) -> DataFrame:
-    """Alerts for reviews past their limit and approvals past their expiry.
+    """A changelog (`ALERT`) of alerts for reviews past their limit and approvals past their expiry.
 
     `events` is a stream with log_id, transition_id, action, action_at; `tiers` is static. Needs the RocksDB state
     store (`STATE_STORE`). An alert is sent once the watermark has passed its due time, or as soon as a later event
-    of the document shows it to be due; such an early alert stands even if an event before it comes later still.
+    of the document shows it to be due; if an event from before its due time comes later still, the early alert is
+    withdrawn by a second row. `standing_alerts` folds the changelog.
     Events without a time are left out, those later than the watermark allows are dropped, all others may come in
     any order.
     """
@@ -189,6 +195,13 @@ def review_clocks(events: DataFrame, tiers: DataFrame, late: str = LATE) -> Data
     )
 
 
+def standing_alerts(changes: DataFrame) -> DataFrame:
+    """The alerts of a changelog that were not withdrawn, each once. Groups are summed before they are shuffled."""
+    alert = ["transition_id", "kind", "started_at", "due_at"]
+    sign = F.when(F.col("change") == "ALERT", 1).otherwise(-1)
+    return changes.groupBy(*alert).agg(F.sum(sign).alias("_n")).filter("_n > 0").select(*alert)
+
+
 def review_clocks_batch(events: DataFrame, tiers: DataFrame, until: Column) -> DataFrame:
     """Batch twin: each start whose due time comes before the next event of its clock and not after `until`."""
     out = None
