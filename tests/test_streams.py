@@ -114,6 +114,28 @@ def test_invalidations(spark, events, tmp_path):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_invalidations_of_two_kinds(spark, events, tmp_path):
+    """One kind of change has all its rows in the first batch, the other comes in three: none is dropped."""
+    schema = spark.read.parquet(events).schema
+    ahead = str(tmp_path / "ahead")
+    spark.read.parquet(events).filter("action = 'EDITED'").coalesce(1).write.parquet(ahead)
+
+    def sides(df, early):
+        a = df.filter("action = 'APPROVED'").select("transition_id", F.col("transition_id").alias("patient_id"), F.col("action_at").alias("approved_at"))
+        change = lambda rows: rows.select(F.col("transition_id").alias("patient_id"), F.col("action_at").alias("start_at"))
+        return a, {"ENCOUNTER": change(df.filter("action = 'VIEWED'")), "MEDICATION": change(early)}
+
+    stream = lambda path: jobs.read_stream(spark, path, schema, 1)
+    got = run(spark, jobs.invalidations(*sides(stream(events), stream(ahead))), tmp_path)
+    a, kinds = sides(spark.read.parquet(events), spark.read.parquet(ahead))
+    both = None
+    for kind, rows in kinds.items():
+        rows = rows.withColumn("kind", F.lit(kind))
+        both = rows if both is None else both.unionByName(rows)
+    want = jobs.invalidations_batch(a, both).select(*got.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.select("kind").distinct().count() == 2
+
+
 def test_generation_once(spark, tmp_path):
     src = tmp_path / "in"
     for texts in (["a", "b"], ["b", "c"]):

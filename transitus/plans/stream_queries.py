@@ -87,19 +87,28 @@ def review_clocks(t):
     return out.select("transition_id", "kind", ts("started_at"), ts("due_at"))
 
 
-@query("stream_invalidations", "evt enc", f"""
-    SELECT a.transition_id, {sts('a.action_at', 'approved_at')}, {sts('e.s', 'start_at')} FROM evt a
-    JOIN (SELECT patient_id, start_at + INTERVAL {SHIFT} DAY AS s FROM enc) e ON e.patient_id = a.transition_id
+@query("stream_invalidations", "evt enc med", f"""
+    SELECT a.transition_id, e.kind, {sts('a.action_at', 'approved_at')}, {sts('e.s', 'start_at')} FROM evt a
+    JOIN (SELECT patient_id, 'ENCOUNTER' AS kind, start_at + INTERVAL {SHIFT} DAY AS s FROM enc
+          UNION ALL SELECT patient_id, 'MEDICATION', start_at + INTERVAL {SHIFT} DAY FROM med) e ON e.patient_id = a.transition_id
      AND e.s > a.action_at AND e.s <= a.action_at + INTERVAL 72 HOUR WHERE a.action = 'APPROVED'""")
 def stream_invalidations(t):
+    """Two streams of changes: orders as new encounters, and order lines of open orders as new medications."""
     approvals = event_stream(t).filter("action = 'APPROVED'").select(
         "transition_id", F.col("transition_id").alias("patient_id"), F.col("action_at").alias("approved_at")
     )
-    changes = streamed(t, "orders").select(
+    encounters = streamed(t, "orders").select(
         F.col("o_custkey").alias("patient_id"), add_days("o_orderdate", F.lit(SHIFT)).alias("start_at")
     )
-    out = result(t, jobs.invalidations(approvals, changes), "invalidations")
-    return out.select("transition_id", ts("approved_at"), ts("start_at"))
+    # a line names its patient by its order and is a medication by its entry in the catalogue: both tables stand still
+    medications = (
+        streamed(t, "lineitem").filter("l_linestatus = 'O'")
+        .join(t.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t.table("part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+        .select(F.col("o_custkey").alias("patient_id"), add_days("l_shipdate", F.lit(SHIFT)).alias("start_at"))
+    )
+    out = result(t, jobs.invalidations(approvals, {"ENCOUNTER": encounters, "MEDICATION": medications}), "invalidations")
+    return out.select("transition_id", "kind", ts("approved_at"), ts("start_at"))
 
 
 @query("stream_flag_undercoding", "pat proc med cond cat enc", f"""WITH {money_queries.OPT}

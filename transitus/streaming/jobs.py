@@ -223,14 +223,23 @@ def review_clocks_batch(events: DataFrame, tiers: DataFrame, until: Column) -> D
     return out
 
 
-def invalidations(approvals: DataFrame, changes: DataFrame, late: str = LATE) -> DataFrame:
+def invalidations(approvals: DataFrame, changes: DataFrame | dict[str, DataFrame], late: str = LATE) -> DataFrame:
     """Approvals followed by a new encounter or medication of the patient before they expire.
 
-    Streams: approvals (transition_id, patient_id, approved_at), changes (patient_id, start_at, kind). The time
-    bound lets both sides drop old state.
+    Streams: approvals (transition_id, patient_id, approved_at) and changes (patient_id, start_at), the latter as one
+    stream or one for each `kind`, which is then a column of the result. The time bound lets both sides drop old state.
+    Each stream has a watermark of its own, and the earliest of them holds (`spark.sql.streaming.multipleWatermarkPolicy`
+    is `min` unless set otherwise), so a kind that runs ahead drops nothing of the others.
     """
     a = approvals.withWatermark("approved_at", late)
-    c = changes.withWatermark("start_at", late).withColumnRenamed("patient_id", "_patient")
+    if isinstance(changes, dict):
+        c = None
+        for kind, stream in changes.items():
+            one = stream.select("patient_id", "start_at", F.lit(kind).alias("kind")).withWatermark("start_at", late)
+            c = one if c is None else c.unionByName(one)
+    else:
+        c = changes.withWatermark("start_at", late)
+    c = c.withColumnRenamed("patient_id", "_patient")
     return a.join(
         c,
         (F.col("patient_id") == F.col("_patient")) & (F.col("start_at") > F.col("approved_at"))
