@@ -30,6 +30,25 @@ def test_append_new_twice(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
 
 
+def test_append_new_keys_payloads_and_broken_runs(spark, tmp_path):
+    """Null keys are appended once, repeated keys keep one row in any order, and an append without its commit is done again."""
+    schema = "id int, part string, v string"
+    rows = [(1, "a", "x"), (1, None, "y"), (None, None, "z"), (1, "a", "w"), (None, None, "q"), (2, "b", None)]
+    want = {(1, "a", "w"), (1, None, "y"), (None, None, "q"), (2, "b", None)}
+    for number, told in enumerate((rows, rows[::-1])):
+        path = str(tmp_path / f"t{number}")
+        frame = spark.createDataFrame(told, schema).repartition(3)
+        assert sinks.append_new(frame, path, ["id", "part"]) and sinks.append_new(frame, path, ["id", "part"]) is None
+        assert {tuple(r) for r in sinks.read_appended(spark, path, frame.schema).collect()} == want
+        assert sinks.read_appended(spark, path, frame.schema).count() == 4
+        # a run that broke before its commit
+        spark.createDataFrame([(7, "c", "lost")], schema).write.parquet(f"{path}/batch=broken")
+        assert sinks.read_appended(spark, path, frame.schema).count() == 4
+        sinks.append_new(spark.createDataFrame([(7, "c", "found"), (2, "b", "late")], schema), path, ["id", "part"])
+        assert {tuple(r) for r in sinks.read_appended(spark, path, frame.schema).collect()} == want | {(7, "c", "found")}
+    assert sinks.append_new(frame.select("id"), str(tmp_path / "ids"), ["id"]) is not None
+
+
 def test_replace_and_export(spark, tmp_path):
     rows = spark.sql("SELECT 1 AS id, date'2024-02-03' AS d, 'f1' AS facility UNION ALL SELECT 2, date'2024-03-01', 'f2'")
     sinks.replace_table(rows, str(tmp_path / "m"), "d")

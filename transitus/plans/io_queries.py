@@ -34,7 +34,7 @@ def append_new(t):
     docs = t.table("documents").select("doc_id", "source", "text")
     sinks.append_new(t.table("documents").filter("lang = 'en'").select("doc_id", "source", "text"), path, ["doc_id"])
     sinks.append_new(docs, path, ["doc_id"])
-    return t.spark.read.schema(docs.schema).parquet(path).groupBy("source").agg(
+    return sinks.read_appended(t.spark, path, docs.schema).groupBy("source").agg(
         n_rows().alias("documents"), F.sum(F.length("text")).cast("bigint").alias("characters")
     )
 
