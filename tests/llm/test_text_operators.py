@@ -155,3 +155,60 @@ def test_page_text(spark):
     assert whole.count() == pages.count() + 8
     assert whole.filter("n_chars != length(text)").count() == 0
     assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+PAGE_CASES = [
+    # an end tag of head may be left out
+    ("<html><head><title>t</title><body><article><p>Kept text. It stays.</p></article>", "Kept text. It stays."),
+    ("<head><title>t</title><article><p>Kept text. It stays.</p></article>", "Kept text. It stays."),
+    # a div ends an unclosed svg
+    ("<body><article><svg><path d='M0'><div><p>Kept text. It stays.</p></div></article>", "Kept text. It stays."),
+    # names that say what is absent, or of which the last word counts
+    ("<body class='single post no-sidebar'><article><p>Kept text. It stays.</p></article>", "Kept text. It stays."),
+    ("<body><div class='share-article main'><p>Kept text. It stays.</p></div>", "Kept text. It stays."),
+    ("<body><article><div class='search-results'><p>Kept text. It stays.</p></div></article>", "Kept text. It stays."),
+    # what is not shown does not part the text around it
+    ("<article><p>one <script>x()</script>two three.</p></article>", "one two three."),
+    ("<article><p>one <button><div>Share</div></button> two <svg><title>i</title></svg>three.</p></article>", "one two three."),
+    ("<article><p>one.</p><noscript><p>no script</p></noscript><p>two.</p></article>", "one.\ntwo."),
+    # and these still go
+    ("<article><p>Kept text. It stays.</p><div class='share-buttons'><p>Send it on.</p></div></article>", "Kept text. It stays."),
+    ("<body><div class='post-comments'><p>I disagree. Really.</p></div><main><p>Kept text. It stays.</p></main>", "Kept text. It stays."),
+]
+
+
+def test_odd_markup(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    model = html_text.train(pages)
+    for html, text in PAGE_CASES:
+        assert model.text(html) == text, html
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    started = time.process_time()
+    dom = html_text.Dom("<div>" * 100_000 + "<p>deep" + "</div>" * 100_000)
+    assert len(dom.blocks) == 100_002 and dom.texts == [(100_001, "deep")] and time.process_time() - started < 20
+
+
+def test_marginals_are_those_of_all_labellings():
+    """Messages against the sum over every labelling of small trees."""
+    import itertools
+    import math
+    import random
+
+    draw = random.Random(4)
+    model = html_text.PageModel({}, {})
+    for _ in range(10):
+        html = "".join(draw.choice(["<div>", "<p>words here.", "</div>", "<ul><li>x", "</ul>", "<nav>", "</nav>", "<a href=x>y</a>"]) for _ in range(8))
+        dom = html_text.Dom(html)
+        odds = [math.exp(sum(model.odds.get(item, 0.0) for item in features.items())) for features in html_text.described(dom)]
+        weights = {}
+        for labels in itertools.product((0, 1), repeat=len(dom.blocks)):
+            own = math.prod(o for o, label in zip(odds, labels, strict=True) if label)
+            ties = math.prod(model.ties[b.kind, labels[b.parent]][labels[k]] for k, b in enumerate(dom.blocks) if k)
+            weights[labels] = own * ties
+        whole = sum(weights.values())
+        for k, chance in enumerate(model.marginals(dom)):
+            assert chance == pytest.approx(sum(w for labels, w in weights.items() if labels[k]) / whole)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,6 +37,16 @@ ASIDE_WORDS = set(
     "navigation newsletter notice pagination paywall popup promo promoted related reply respond replies search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
+# What may stand in a head, and the start tags that end an unclosed svg or math element.
+HEAD_TAGS = set("base basefont bgsound link meta title script style noscript noframes template".split())
+FOREIGN = set("svg math".split())
+BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+# A class name that ends with one of these tells nothing, and one that starts with one of those says what is not there.
+NEUTRAL = set("result results".split())
+ABSENT = set("no not without has with hide hidden".split())
 KIND_OF = {tag: kind for kind, tags in KINDS.items() for tag in tags}
 # Evidence before any page is seen: counts (in the main text, outside) for values of a block's features.
 PRIOR = {
@@ -62,7 +73,9 @@ class Dom(HTMLParser):
     """Blocks of a page, parents first, and its text as (block, words) in page order.
 
     Inline elements belong to the block around them. A block ends an open paragraph; an end tag closes what is
-    open inside its element, and is passed over where nothing of its name is open.
+    open inside its element, and is passed over where nothing of its name is open. What belongs into the body ends a
+    head that is still open. Scripts, buttons and the like are left out of the text around them without parting it.
+    Each tag is worked on once: time and memory go with the length of the page, however deep it is nested.
     """
 
     def __init__(self, html: str, plain: bool = False) -> None:
@@ -70,6 +83,7 @@ class Dom(HTMLParser):
         self.plain = plain
         self.blocks = [Block(-1, "other", "none")]
         self.open: list[tuple[str, int, bool]] = []  # name, block around it, whether its text is seen
+        self.names: Counter[str] = Counter()  # how many of each name are open
         self.texts: list[tuple[int, str]] = []
         self.parts: list[str] = []
         self.block, self.seen, self.links = 0, True, 0
@@ -85,6 +99,17 @@ class Dom(HTMLParser):
             self.blocks[self.block].pieces += 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.names["head"] and not self.names["template"] and tag not in HEAD_TAGS and tag != "head":
+            self.handle_endtag("head")
+        if tag in BREAKOUT and not self.names["foreignobject"]:
+            for name in FOREIGN:
+                if self.names[name]:
+                    self.handle_endtag(name)
+        if not self.seen:
+            # nothing in here is shown, so it makes no blocks
+            if tag not in VOID:
+                self.opened(tag)
+            return
         if tag == "br":
             self.parts.append(" ")
             return
@@ -92,55 +117,75 @@ class Dom(HTMLParser):
             if tag == "hr":
                 self.flush()
             return
-        inline = tag in INLINE
-        if not inline and tag not in UNSEEN:
-            self.flush()
-            if any(name == "p" for name, _, _ in self.open):
-                self.handle_endtag("p")
-            if tag == "li" and self.open and any(name == "li" for name, _, _ in self.open[-1:]):
-                self.handle_endtag("li")
-        self.open.append((tag, self.block, self.seen))
         if tag in UNSEEN:
-            self.flush()
+            self.opened(tag)
             self.seen = False
-        elif not inline:
-            around = self.blocks[self.block]
-            own = "none" if self.plain else self.mark_of(tag, attrs)
-            kind = KIND_OF.get(tag, "other")
-            if self.plain and kind in ("main", "aside"):
-                kind = "other"
-            self.blocks.append(Block(self.block, kind, own if own != "none" else around.mark))
-            self.block = len(self.blocks) - 1
-        if tag == "a":
-            self.links += 1
+            return
+        if tag in INLINE:
+            self.opened(tag)
+            self.links += tag == "a"
+            return
+        self.flush()
+        if self.names["p"]:
+            self.handle_endtag("p")
+        if tag == "li" and self.open and self.open[-1][0] == "li":
+            self.handle_endtag("li")
+        self.opened(tag)
+        around = self.blocks[self.block]
+        own = "none" if self.plain else self.mark_of(tag, attrs)
+        kind = KIND_OF.get(tag, "other")
+        if self.plain and kind in ("main", "aside"):
+            kind = "other"
+        self.blocks.append(Block(self.block, kind, own if own != "none" else around.mark))
+        self.block = len(self.blocks) - 1
+
+    def opened(self, tag: str) -> None:
+        self.open.append((tag, self.block, self.seen))
+        self.names[tag] += 1
 
     @staticmethod
     def mark_of(tag: str, attrs: list[tuple[str, str | None]]) -> str:
         if KIND_OF.get(tag) == "aside":
             return "aside"
-        words = set()
+        votes = Counter()
         for name, value in attrs:
-            if name in ("class", "id", "role", "itemprop") and value:
-                words.update(re.split(r"[^a-z]+", value.lower()))
-        if words & ASIDE_WORDS:
+            # what is said of the whole page names none of its parts
+            if name in ("class", "id", "role", "itemprop") and value and tag not in ("html", "body"):
+                votes.update(Dom.part_of(token) for token in value.lower().split())
+        if votes["aside"] != votes["main"]:
+            return "aside" if votes["aside"] > votes["main"] else "main"
+        return "main" if KIND_OF.get(tag) == "main" else "none"
+
+    @staticmethod
+    def part_of(token: str) -> str:
+        """What a class name says: its last word first, then the words before, unless it says that they are absent."""
+        words = [w for w in re.split(r"[^a-z]+", token) if w]
+        if not words or words[0] in ABSENT or words[-1] in NEUTRAL:
+            return "none"
+        if words[-1] in ASIDE_WORDS or words[-1] in MAIN_WORDS:
+            return "aside" if words[-1] in ASIDE_WORDS else "main"
+        if any(w in ASIDE_WORDS for w in words):
             return "aside"
-        return "main" if KIND_OF.get(tag) == "main" or words & MAIN_WORDS else "none"
+        return "main" if any(w in MAIN_WORDS for w in words) else "none"
 
     def handle_endtag(self, tag: str) -> None:
-        if not any(name == tag for name, _, _ in reversed(self.open)):
+        if not self.names[tag]:
             return
-        if tag not in INLINE:
+        if self.seen and tag not in INLINE:
             self.flush()
         while self.open:
             name, around, seen = self.open.pop()
+            self.names[name] -= 1
             if around != self.block:
                 self.flush()
             self.block, self.seen = around, seen
-            self.links -= name == "a"
+            self.links -= name == "a" and seen
             if name == tag:
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self.handle_endtag("head")
         if not self.seen:
             return
         self.parts.append(data)
