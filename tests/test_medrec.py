@@ -57,3 +57,14 @@ def test_missing_values_never_empty_a_prompt(spark):
     row = spark.sql("SELECT cast(null AS string) AS allergies, 'x' AS patient_name")
     text = row.select(narrative.fill("{patient_name}: {allergies}.", narrative.FALLBACKS["clinical_handoff"]).alias("t")).first().t
     assert text == "x: No known allergies."
+
+
+def test_rules_of_any_size(spark, monkeypatch):
+    """Literals, a list too long to broadcast and a table give the same rows."""
+    from transitus.functions import columns
+
+    rows, schema = [("a", 1), ("b", 2)], "name string, n int"
+    held = spark.createDataFrame([(*r, "x") for r in rows], schema + ", more string")
+    short = columns.rules(spark, rows, schema)
+    monkeypatch.setattr(columns, "RULE_ROWS", 1)
+    assert sorted(short.collect()) == sorted(columns.rules(spark, rows, schema).collect()) == sorted(columns.rules(spark, held, schema).collect())

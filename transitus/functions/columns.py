@@ -68,9 +68,10 @@ def lookup(value: Column, table: dict[str, object], default: Column | None = Non
 RULE_ROWS = 10_000
 
 
-def rules(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
-    """Rule table from literals, marked for broadcast; its size is checked here."""
+def rules(spark: SparkSession, rows: Iterable[tuple] | DataFrame, schema: str) -> DataFrame:
+    """Rule table from literals, marked for broadcast up to `RULE_ROWS` rows; a longer list, or a table, is joined as it is."""
+    if isinstance(rows, DataFrame):
+        return rows.select(*[field.split()[0] for field in schema.split(", ")])
     rows = list(rows)
-    if len(rows) > RULE_ROWS:
-        raise ValueError(f"{len(rows)} literal rules; pass a table instead")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= RULE_ROWS else table

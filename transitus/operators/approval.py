@@ -172,7 +172,7 @@ ROLE_MATRIX = {
     "COORDINATOR": {"VIEWED": ["family_summary"], "EDITED": ["family_summary"], "SENT": ["family_summary"]},
     "FAMILY": {"VIEWED": ["family_summary"]},
 }
-# (roles that review, hours until escalation) per tier.
+# Fixed values: (roles that review, hours until escalation) per tier.
 ROUTES = {"HIGH": ("MD,MEDICAL_DIRECTOR", 4), "MEDIUM": ("NP,MD", 8), "LOW": ("NP,RN", 12)}
 
 

@@ -71,6 +71,7 @@ FOOTER = (
     "Not reviewed by a licensed clinician. Not for clinical decisions without physician approval."
 )
 
+# The documents and their headings.
 DOCUMENTS = {
     "clinical_handoff": (
         "CLINICAL SUMMARY\n{patient_name}, {age}, {gender}, moved from {from_setting} to {current_setting}; "
