@@ -103,3 +103,22 @@ def test_payment_status(spark, waited, unpaid, status):
 
     row = spark.range(1).select(payment_status(F.lit(unpaid).cast("double"), F.lit(waited)).alias("s"))
     assert row.first().s == status
+
+
+def test_fold_of_one_long_day(spark):
+    """One document with very many events in one day: pieces are bounded, and the end is that of a plain loop."""
+    n, actions = 200_000, ["GENERATED", "ASSIGNED", "VIEWED", "EDITED", "REJECTED", "APPROVED", "VIEWED"]
+    pick = F.pmod(F.xxhash64("id"), F.lit(len(actions)))
+    events = spark.range(n).select(
+        F.col("id").alias("log_id"), F.lit(1).alias("transition_id"),
+        F.element_at(F.array(*[F.lit(a) for a in actions]), (pick + 1).cast("int")).alias("action"),
+        F.lit("x").alias("actor"), F.lit("MD").alias("actor_role"), F.lit("key_risks").alias("section"),
+        (F.lit(T0) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id") / 10)).alias("action_at"),
+    )
+    got = approval.approval_state(events, min_rows=5_000).first()
+    state, bad = approval.REVIEW.initial, 0
+    legal = {*approval.REVIEW.moves, *approval.REVIEW.stays}
+    for row in events.select("action").orderBy("log_id").collect():
+        bad += (state, row.action) not in legal
+        state = approval.REVIEW.moves.get((state, row.action), state)
+    assert (got.status, got.n_events, got.n_illegal) == (state, n, bad)

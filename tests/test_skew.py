@@ -120,3 +120,45 @@ def test_salted_join(spark, table):
     plain = sorted(map(tuple, table.join(names, "k").collect()))
     salted = skew.salted_join(table, names, "k", skew.hot_keys(table, ["k"], 30), ["id"], 4)
     assert sorted(map(tuple, salted.select("k", "at", "id", "v", "name").collect())) == plain
+
+
+def test_one_instant_holds_all_rows(spark):
+    """Ids of any type that share a long prefix, all on one day at one instant, are dealt over partitions."""
+    rows = spark.range(20_000).select(
+        F.lit(DAY0).alias("at"), F.format_string("encounter-%08d", F.col("id")).alias("name"), "id"
+    )
+    joined_up = "spark.sql.adaptive.coalescePartitions.enabled"  # else 20,000 rows make one partition
+    spark.conf.set(joined_up, "false")
+    try:
+        placed = skew.in_order(rows, ["at", "name"])
+    finally:
+        spark.conf.unset(joined_up)
+    sizes = [r["count"] for r in placed.groupBy("_part").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 15_000
+    out = skew.dense_ids(rows, "at", "name", "no")
+    assert out.filter("no != id + 1").isEmpty() and out.count() == 20_000
+
+
+def test_dense_ids_of_nothing(spark):
+    none = spark.createDataFrame([(None, 1)], "at date, id int")
+    assert skew.dense_ids(none, "at", "id", "no").collect() == []
+
+
+def test_hot_day_is_cut(spark):
+    """A day with more rows than a block may hold is cut into runs; sums and neighbours cross the cuts."""
+    rows = spark.range(3_000).select(
+        F.lit(1).alias("k"), F.when(F.col("id") < 2_900, F.lit(DAY0)).otherwise(F.lit(DAY0 + timedelta(days=1))).alias("at"), "id"
+    )
+    blocks = skew.with_blocks(rows, ["k"], F.col("at"), ["at", "id"], 500).groupBy("_block").count().collect()
+    assert len(blocks) >= 7 and max(r["count"] for r in blocks) <= 500
+    out = skew.running_sums(rows, ["k"], ["at", "id"], F.col("at"), {"n": F.lit(1)}, 500)
+    assert out.filter("n != id").isEmpty()
+    near = skew.neighbours(rows, ["k"], ["at", "id"], F.col("at"), ["id"], 500)
+    assert near.filter("coalesce(_prev.id, -1) != id - 1 OR coalesce(_next.id, 3000) != id + 1").isEmpty()
+
+
+def test_list_of_hot_keys_beyond_the_broadcast(table, monkeypatch):
+    plain = sorted(map(str, skew.running_sums(table, ["k"], ["at", "id"], F.trunc("at", "week"), {"n": F.lit(1)}, 10**6).collect()))
+    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 2)
+    split = skew.running_sums(table, ["k"], ["at", "id"], F.trunc("at", "week"), {"n": F.lit(1)}, 5)
+    assert sorted(map(str, split.collect())) == plain

@@ -1,10 +1,10 @@
 """Ordered and interval operations that stay split when one key holds a large share of all rows.
 
-A key with at least `min_rows` rows is *hot*. At most `MAX_HOT_KEYS` keys, the heaviest, are listed; any key
-beyond them holds less than a ten-thousandth of the rows, so it is no hot spot. The list is thus of bounded
-size and may be broadcast. Rows of hot keys get a `_block`, an order-preserving piece of the key (a day, say);
-rows of other keys have a null block. Every step then works on (key, block), and what crosses a block border
-is added from a table with one row per block.
+A key with at least `min_rows` rows is *hot*. All hot keys are listed in a written table, which is broadcast up to
+`MAX_HOT_KEYS` rows and joined by a shuffle beyond. Rows of hot keys get a `_block`: an order-preserving cut of the
+key (a day, say) and, where even one cut holds `min_rows` rows, a run of at most `min_rows` of its rows in order.
+Rows of other keys have a null block. Every step then works on (key, block), and what crosses a block border is
+added from a table with one row per block.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from transitus.session import stage
+
 HOT_ROWS = 1_000_000
 # A key with more intervals than this on the probing side is hot in an interval join: pairs grow with both sides.
 HOT_STAYS = 100
@@ -21,24 +23,57 @@ MAX_HOT_KEYS = 10_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    return F.broadcast(
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    """All keys with at least `min_rows` rows, as a written table with `_hot`."""
+    return _listed(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows), keys)
 
 
-def with_blocks(df: DataFrame, keys: Sequence[str], block: Column, min_rows: int = HOT_ROWS) -> DataFrame:
-    return (
-        df.join(hot_keys(df, keys, min_rows), list(keys), "left")
-        .withColumn("_block", F.when(F.col("_hot"), block))
-        .drop("_hot")
+def _listed(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counted once: the list itself stays distributed, and only a short one is broadcast."""
+    listed = stage(counts.select(*keys, F.lit(True).alias("_hot")), "hot-keys")
+    return F.broadcast(listed) if listed.count() <= MAX_HOT_KEYS else listed
+
+
+def in_order(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Rows dealt over partitions by range of `order_by` and written with `_part` and their position `_at` (from 0) in it.
+
+    `order_by` must be unique. Whatever its types, rows that share all but the last column still part where they must;
+    nothing is ordered within one task beyond a range. The table is written, so that positions cannot change when a
+    lost task is run again.
+    """
+    dealt = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order_by]).sortWithinPartitions(
+        *[F.col(c).asc_nulls_first() for c in order_by]
+    )
+    # the upper bits of the id are the partition, the lower 33 the position in it
+    number = F.monotonically_increasing_id()
+    return stage(
+        dealt.withColumn("_id", number).withColumns(
+            {"_part": F.shiftright("_id", 33).cast("int"), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}
+        ).drop("_id"),
+        "in-order",
     )
 
 
+def with_blocks(
+    df: DataFrame, keys: Sequence[str], block: Column, order_by: Sequence[str], min_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add `_block`, a struct<cut, run> that does not decrease along `order_by`; null for keys that are not hot.
+
+    `block` must not decrease along `order_by`, and `order_by` must be unique within the key.
+    """
+    cut = df.join(hot_keys(df, keys, min_rows), list(keys), "left").withColumn("_cut", F.when(F.col("_hot"), block))
+    full = hot_keys(cut.filter("_hot"), [*keys, "_cut"], min_rows)
+    if full.isEmpty():
+        whole, runs = cut, None
+    else:
+        whole = cut.join(full.drop("_hot"), [*keys, "_cut"], "left_anti")
+        runs = in_order(cut.join(full.drop("_hot"), [*keys, "_cut"], "left_semi"), [*keys, "_cut", *order_by])
+        runs = runs.withColumn("_run", F.shiftleft(F.col("_part").cast("bigint"), 33) + F.floor(F.col("_at") / min_rows))
+    blocked = whole.withColumn("_run", F.lit(0).cast("bigint"))
+    if runs is not None:
+        blocked = blocked.unionByName(runs.drop("_part", "_at"))
+    return blocked.withColumn("_block", F.when(F.col("_hot"), F.struct("_cut", "_run"))).drop("_hot", "_cut", "_run")
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -51,7 +86,7 @@ def neighbours(
 
     `block` must not decrease along `order_by`, and `order_by` must be unique within the key.
     """
-    blocked = with_blocks(df, keys, block, min_rows)
+    blocked = with_blocks(df, keys, block, order_by, min_rows)
     payload, order = F.struct(*columns), F.struct(*order_by)
     inner = Window.partitionBy(*keys, "_block").orderBy(*order_by)
     outer = Window.partitionBy(*keys).orderBy("_block")
@@ -92,7 +127,7 @@ def running_sums(
     if min_rows is None:
         measured = df.withColumn("_block", block)
     else:
-        measured = with_blocks(df, keys, block, min_rows)
+        measured = with_blocks(df, keys, block, order_by, min_rows)
     return _block_sums(measured, keys, order_by, sums)
 
 
@@ -115,28 +150,21 @@ def _block_sums(blocked: DataFrame, keys: Sequence[str], order_by: Sequence[str]
 
 
 def dense_ids(df: DataFrame, at: str, tie: str, name: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Number rows 1..n by (`at`, `tie`) without a window over the whole table.
+    """Number rows 1..n by (`at`, `tie`) without a window over the whole table; rows without `at` are left out.
 
-    Rows are numbered within their day and shifted by the count of all earlier days. The day table has one row
-    per calendar day, which bounds both its broadcast and the one ordered pass over it. A day with very many
-    rows is cut by instant and by a leading piece of the id.
+    Rows are dealt over partitions by range, whatever the type of the id and however many rows a day or an instant
+    holds; a row's number is its position plus the rows of earlier partitions. Offsets are one row per partition, so
+    they may be broadcast. (`at`, `tie`) must be unique. `min_rows` is kept for callers and has no bearing.
     """
-    numeric = dict(df.dtypes)[tie] in ("int", "bigint", "smallint", "tinyint")
-    piece = F.floor(F.col(tie) / 1_000_000) if numeric else F.substring(F.col(tie), 1, 4)
-    dated = df.withColumn("_day", F.to_date(at))
-    by_day = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    per_day = (
-        dated.groupBy("_day")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_day", F.coalesce(F.sum("_n").over(by_day), F.lit(0)).alias("_shift"), (F.col("_n") >= min_rows).alias("_hot"))
-    )
-    blocked = dated.join(F.broadcast(per_day), "_day").withColumn(
-        "_block", F.when(F.col("_hot"), F.struct(F.col(at), piece))
+    placed = in_order(df.filter(F.col(at).isNotNull()), [at, tie])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
     )
     return (
-        _block_sums(blocked, ["_day"], [at, tie], {"_before": F.lit(1)})
-        .withColumn(name, (F.col("_before") + F.col("_shift") + 1).cast("bigint"))
-        .drop("_day", "_before", "_shift", "_hot")
+        placed.join(F.broadcast(shift), "_part")
+        .withColumn(name, (F.col("_at") + F.col("_shift") + 1).cast("bigint"))
+        .drop("_part", "_at", "_shift")
     )
 
 
@@ -171,8 +199,8 @@ def interval_join(
         )
 
     left = stays.join(hot, key, "left").withColumn("_month", months(month(lo), month(hi))).drop("_hot")
-    # the list of hot keys is bounded, and so is this table with one row per hot key
-    spread = facts.join(hot, key, "left").join(F.broadcast(horizon), key, "left")
+    # one row per hot key; the planner broadcasts it where it is small
+    spread = facts.join(hot, key, "left").join(horizon, key, "left")
     spread = spread.filter(F.col("_hot").isNull() | (F.col(start) <= F.col("_horizon")))
     last = F.greatest(month(start), F.trunc(F.least(F.coalesce(F.col(stop), F.col("_horizon")), F.col("_horizon")), "month"))
     right = (
@@ -209,18 +237,18 @@ def overlap_counts(
     """
     names = list(facts)
     wanted = stays.filter(F.col(lo) <= F.col(hi)).select(stay_id, key, lo, hi)
-    hot = hot_keys(wanted, [key], min_rows).select(key)
+    hot = hot_keys(wanted, [key], min_rows)
     tagged = None
     for n, table in facts.items():
         one = table.select(key, start, stop, F.lit(n).alias("_kind"))
         tagged = one if tagged is None else tagged.unionByName(one)
     met = (F.col(start) <= F.col(hi)) & (F.col(stop).isNull() | (F.col(stop) >= F.col(lo)))
-    joined = wanted.join(F.broadcast(hot), key, "left_anti").join(tagged, key).filter(met).groupBy(stay_id).agg(
+    joined = wanted.join(hot, key, "left_anti").join(tagged, key).filter(met).groupBy(stay_id).agg(
         *[F.count_if(F.col("_kind") == n).alias(n) for n in names]
     )
     swept = _sweep_counts(
-        wanted.join(F.broadcast(hot), key, "left_semi"),
-        {n: t.join(F.broadcast(hot), key, "left_semi") for n, t in facts.items()}, key, stay_id, lo, hi, start, stop,
+        wanted.join(hot, key, "left_semi"),
+        {n: t.join(hot, key, "left_semi") for n, t in facts.items()}, key, stay_id, lo, hi, start, stop,
     )
     return joined.unionByName(swept)
 
@@ -321,7 +349,7 @@ def salted_join(
 ) -> DataFrame:
     """Inner join in which the rows of hot keys of `big` are dealt over `salts` tasks.
 
-    `hot` is a list of bounded size, such as `hot_keys` gives or a filter on known counts; `small` has few rows
+    `hot` is a list such as `hot_keys` gives or a filter on known counts; `small` has few rows
     per key and is repeated `salts` times for hot keys only.
     """
     dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0))
@@ -333,7 +361,4 @@ def salted_join(
 
 def heaviest(counts: DataFrame, key: str, count: str, min_rows: int = HOT_ROWS) -> DataFrame:
     """`hot_keys` from a table that already holds the counts."""
-    return F.broadcast(
-        counts.filter(F.col(count) >= min_rows).orderBy(F.desc(count), key).limit(MAX_HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
-    )
+    return _listed(counts.filter(F.col(count) >= min_rows), [key])

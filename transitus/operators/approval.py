@@ -75,12 +75,13 @@ def fold(events: DataFrame, machine: Machine, key: str, min_rows: int = FOLD_ROW
     """(key, status, n_events, n_illegal, one struct<at, actor, role> per mark) from ordered events.
 
     A step maps states to states, and such maps can be chained in any grouping. A key with very many events is
-    therefore cut into days: each day is first folded from every possible state, the days are chained to find
-    the state each day starts in, and each day is folded once more from there. Other keys are one piece.
-    `events` has key, at, id, action, actor, role.
+    therefore cut into days, and a day with very many into runs of at most `min_rows` events: each piece is first
+    folded from every possible state, the pieces are chained to find the state each starts in, and each is folded
+    once more from there. Other keys are one piece. `events` has key, at, id, action, actor, role; (at, id) must be
+    unique within a key.
     """
     pieces = (
-        with_blocks(events, [key], F.to_date("at"), min_rows)
+        with_blocks(events, [key], F.to_date("at"), ["at", "id"], min_rows)
         .groupBy(key, "_block")
         .agg(F.array_sort(F.collect_list(F.struct("at", "id", "action", "actor", "role"))).alias("_events"))
     )
@@ -96,7 +97,7 @@ def fold(events: DataFrame, machine: Machine, key: str, min_rows: int = FOLD_ROW
         .agg(F.array_sort(F.collect_list("_link")).alias("_chain"))
         .select(key, F.inline(F.aggregate(
             "_chain",
-            F.struct(F.lit(machine.initial).alias("s"), F.array().cast("array<struct<_block:date,_start:string>>").alias("out")),
+            F.struct(F.lit(machine.initial).alias("s"), F.array().cast("array<struct<_block:struct<_cut:date,_run:bigint>,_start:string>>").alias("out")),
             lambda a, x: F.struct(
                 F.element_at(x["ends"], F.array_position(states, a["s"]).cast("int")).alias("s"),
                 F.concat(a["out"], F.array(F.struct(x["_block"].alias("_block"), a["s"].alias("_start")))).alias("out"),
@@ -128,7 +129,7 @@ def fold(events: DataFrame, machine: Machine, key: str, min_rows: int = FOLD_ROW
         key, "_block", F.size("_events").alias("_n"), F.aggregate("_events", zero, merge).alias("_a")
     )
     return folded.groupBy(key).agg(
-        F.max_by("_a.s", F.coalesce("_block", F.lit("0001-01-01").cast("date"))).alias("status"),
+        F.max_by("_a.s", F.struct("_block")).alias("status"),
         F.sum("_n").cast("bigint").alias("n_events"),
         F.sum("_a.bad").cast("bigint").alias("n_illegal"),
         *[F.max(f"_a.{n}").alias(n) for n in machine.marks],
