@@ -122,3 +122,44 @@ def test_fold_of_one_long_day(spark):
         bad += (state, row.action) not in legal
         state = approval.REVIEW.moves.get((state, row.action), state)
     assert (got.status, got.n_events, got.n_illegal) == (state, n, bad)
+
+
+def costs(old, new):
+    """(edits, replacements) of the best alignment from the full table of costs."""
+    row = [(j, 0) for j in range(len(new) + 1)]
+    for i, a in enumerate(old, 1):
+        above, row = row, [(i, 0)]
+        for j, b in enumerate(new, 1):
+            same = a == b
+            row.append(min(
+                (above[j - 1][0] + (not same), above[j - 1][1] + (not same)), (above[j][0] + 1, above[j][1]), (row[-1][0] + 1, row[-1][1])
+            ))
+    return row[-1]
+
+
+@pytest.mark.parametrize("band", [1, 2, 64])
+def test_alignment_equals_brute_force(band):
+    rng = random.Random(band)
+    for _ in range(400):
+        old = [rng.choice("abcd") for _ in range(rng.randint(0, 14))]
+        new = [rng.choice("abcd") for _ in range(rng.randint(0, 14))] if rng.random() < 0.5 else [w for w in old if rng.random() < 0.8]
+        inserted, deleted, replaced, kept = approval.align_words(old, new, band)
+        assert (inserted + deleted + replaced, replaced) == costs(old, new), (old, new)
+        assert deleted + replaced + kept == len(old) and inserted + replaced + kept == len(new)
+
+
+def test_alignment_of_long_texts():
+    """Two texts of 200,000 words with a few edits at both ends: one band of diagonals, not a table."""
+    old = [str(i) for i in range(200_000)]
+    new = ["x", *old[:100], *old[101:199_990], "y", *old[199_991:]]
+    assert approval.align_words(old, new) == (1, 1, 1, 199_998)
+
+
+def test_edit_alignment(spark):
+    rows = [(1, 1, "a", "one two three", "one three two"), (1, 2, "a", None, "new words"), (1, 3, "a", "gone", ""), (1, 4, "a", None, None),
+            (1, 5, "a", "The cat sat", "the dog sat down"), (1, 5, "a", "The cat sat", "the dog sat down")]
+    edits = spark.createDataFrame(rows, "transition_id int, edit_id int, section string, original_text string, edited_text string")
+    got = sorted((r.edit_id, r.inserted, r.deleted, r.replaced, r.kept, r.changed_pct) for r in approval.edit_alignment(edits).collect())
+    assert got == [(1, 1, 1, 0, 2, 100.0 * 2 / 3), (2, 2, 0, 0, 0, 100.0), (3, 0, 1, 0, 0, 100.0), (4, 0, 0, 0, 0, None),
+                   (5, 1, 0, 1, 2, 50.0), (5, 1, 0, 1, 2, 50.0)]
+    assert approval.edit_alignment(edits.limit(0)).count() == 0

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -295,6 +297,79 @@ def edit_diff(edits: DataFrame) -> DataFrame:
     return counted.withColumn("edit_type", kind)
 
 
+# One insertion or deletion in an alignment's cost; a replacement costs 1 more, so that fewer of them break ties.
+EDIT = 1 << 31
+FAR = 1 << 61
+
+
+def align_words(before: Sequence[str], after: Sequence[str], band: int = 64) -> tuple[int, int, int, int]:
+    """(inserted, deleted, replaced, kept) words of an ordered alignment of least edits, and of least replacements among those.
+
+    Equal ends are set aside. The rest is aligned within a band of diagonals, which is doubled until the edits found
+    fit into it: then no alignment outside can be better. Memory is one row of the band, time is words times edits.
+    """
+    n, m, lead = len(before), len(after), 0
+    while lead < min(n, m) and before[lead] == after[lead]:
+        lead += 1
+    tail = 0
+    while tail < min(n, m) - lead and before[n - 1 - tail] == after[m - 1 - tail]:
+        tail += 1
+    before, after = before[lead:n - tail], after[lead:m - tail]
+    n, m = len(before), len(after)
+    if not n or not m:
+        return m, n, 0, lead + tail
+    codes: dict[str, int] = {}
+    old = np.array([codes.setdefault(w, len(codes)) for w in before])
+    new = np.array([codes.setdefault(w, len(codes)) for w in after])
+    reach = max(band, abs(n - m))
+    while True:
+        reach = min(reach, max(n, m))
+        cost = _banded(old, new, reach)
+        edits, replaced = divmod(cost, EDIT)
+        if edits <= reach:
+            break
+        reach *= 2
+    inserted = (edits - replaced + m - n) // 2
+    deleted = edits - replaced - inserted
+    return inserted, deleted, replaced, lead + tail + n - deleted - replaced
+
+
+def _banded(old: np.ndarray, new: np.ndarray, reach: int) -> int:
+    """Least cost over alignments whose places differ by at most `reach`; cell k of row i is column i - reach + k."""
+    n, m, width = len(old), len(new), 2 * reach + 1
+    padded = np.concatenate([np.full(reach + 1, -1), new, np.full(n + reach + 1, -1)])
+    along = np.arange(width, dtype=np.int64) * EDIT
+    row = np.where(along >= reach * EDIT, along - reach * EDIT, FAR)
+    for i in range(1, n + 1):
+        across = row + np.where(padded[i:i + width] == old[i - 1], 0, EDIT + 1)
+        across[:-1] = np.minimum(across[:-1], row[1:] + EDIT)
+        row = np.minimum.accumulate(across - along) + along
+    return int(row[m - n + reach])
+
+
+def edit_alignment(edits: DataFrame) -> DataFrame:
+    """Words inserted, deleted, replaced and kept in order by each edit, and the edits as a share of the longer text.
+
+    Words are those of `edit_diff`, with their order and repetitions. A null text has no words; of two texts without
+    words the share is null. Every edit is aligned whole, one at a time, on Arrow batches.
+    """
+    none = F.array().cast("array<string>")
+    kind = "inserted long, deleted long, replaced long, kept long"
+
+    @F.pandas_udf(kind)
+    def aligned(before: pd.Series, after: pd.Series) -> pd.DataFrame:
+        rows = [align_words(list(a), list(b)) for a, b in zip(before, after, strict=True)]
+        return pd.DataFrame(rows, columns=["inserted", "deleted", "replaced", "kept"])
+
+    counted = edits.select(
+        "transition_id", "edit_id", "section",
+        aligned(F.coalesce(words("original_text"), none), F.coalesce(words("edited_text"), none)).alias("_n"),
+    ).select("transition_id", "edit_id", "section", "_n.*")
+    changed = F.col("inserted") + F.col("deleted") + F.col("replaced")
+    longer = F.col("kept") + F.col("replaced") + F.greatest("inserted", "deleted")
+    return counted.withColumns({"distance": changed, "changed_pct": pct(changed, longer)})
+
+
 def spot_check(state: DataFrame, month: str, one_in: int = 10) -> DataFrame:
     """Approved documents drawn for the month; the same month draws the same documents again."""
     draw = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("transition_id").cast("string"), F.lit(month)), 256), 1, 8), 16, 10)

@@ -2,40 +2,95 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 from datetime import date
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitus.functions.columns import n_rows, ratio
 from transitus.functions.skew import exact_quantiles
+from transitus.session import stage
 
 FEATURES = ["n_conditions", "n_medications", "length_of_stay", "prior_readmissions"]
+STEPS = 8
+RIDGE = 0.01
 
 
-def readmission_model(stays: DataFrame, before: date, features: list[str] = FEATURES) -> PipelineModel:
-    """Logistic regression on the stays admitted before a day; gaps in the features get the median."""
-    numbers = [f"_{f}" for f in features]
-    train = stays.filter(F.col("admission_date") < F.lit(before)).select(
-        F.col("readmitted").cast("double").alias("label"), *[F.col(f).cast("double").alias(f"_{f}") for f in features]
-    )
-    return Pipeline(stages=[
-        Imputer(inputCols=numbers, outputCols=numbers, strategy="median"),
-        VectorAssembler(inputCols=numbers, outputCol="features"),
-        LogisticRegression(maxIter=25, regParam=0.01),
-    ]).fit(train)
+@dataclass(frozen=True)
+class Logit:
+    """Weights (intercept first) for standardised features, with what replaces a gap."""
+
+    features: tuple[str, ...]
+    medians: tuple[float, ...]
+    means: tuple[float, ...]
+    scales: tuple[float, ...]
+    weights: tuple[float, ...]
+
+    def inputs(self) -> list[Column]:
+        rows = zip(self.features, self.medians, self.means, self.scales, strict=True)
+        return [(F.coalesce(F.col(f).cast("double"), F.lit(gap)) - F.lit(mean)) / F.lit(scale) for f, gap, mean, scale in rows]
+
+    def probability(self, inputs: Sequence[Column]) -> Column:
+        total = F.lit(self.weights[0])
+        for weight, value in zip(self.weights[1:], inputs, strict=True):
+            total = total + F.lit(weight) * value
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+
 
+def readmission_model(stays: DataFrame, before: date, features: list[str] = FEATURES) -> Logit:
+    """Logistic regression on the stays admitted before a day; gaps in the features get the median.
 
-def score_readmission(model: PipelineModel, stays: DataFrame, since: date, features: list[str] = FEATURES) -> DataFrame:
+    Reweighted least squares: each of `STEPS` steps is one aggregate over the stays (gradient and curvature, summed
+    per partition first) and a system of as many equations as there are features, plus one. `RIDGE` on the standardised weights keeps
+    the system solvable where a feature is constant or tells the classes apart. `stays` is read `STEPS` + 1 times: give
+    a written table. Without a stay all weights are 0. Medians come from counts of equal values: features are counts
+    and days, few of them different.
+    """
+    train = stays.filter(F.col("admission_date") < F.lit(before)).select(
+        F.col("readmitted").cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]
+    ).filter(F.col("_y").isNotNull())
+    told = train.agg(F.count(F.lit(1)).alias("n"), *[c for i, f in enumerate(features) for c in (
+        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{f}`)").cast("double").alias(f"m{i}"),
+        F.count(f).alias(f"c{i}"), F.sum(f).alias(f"s{i}"), F.sum(F.col(f) * F.col(f)).alias(f"q{i}"),
+    )]).first()
+    size = len(features)
+    if not told.n:
+        return Logit(tuple(features), (0.0,) * size, (0.0,) * size, (1.0,) * size, (0.0,) * (size + 1))
+    medians, means, scales = [], [], []
+    for i in range(size):
+        gap, blank = told[f"m{i}"] or 0.0, told.n - told[f"c{i}"]
+        mean = ((told[f"s{i}"] or 0.0) + gap * blank) / told.n
+        spread = ((told[f"q{i}"] or 0.0) + gap * gap * blank) / told.n - mean * mean
+        medians.append(gap)
+        means.append(mean)
+        scales.append(math.sqrt(spread) if spread > 0 else 1.0)
+    model = Logit(tuple(features), tuple(medians), tuple(means), tuple(scales), (0.0,) * (size + 1))
+    data = train.select("_y", F.lit(1.0).alias("_x0"), *[c.alias(f"_x{i + 1}") for i, c in enumerate(model.inputs())])
+    ridge = np.diag([0.0] + [RIDGE * told.n] * size)
+    pairs = [(i, j) for i in range(size + 1) for j in range(i, size + 1)]
+    for _ in range(STEPS):
+        guess = data.withColumn("_p", model.probability([F.col(f"_x{i + 1}") for i in range(size)]))
+        sums = guess.agg(
+            *[F.sum((F.col("_y") - F.col("_p")) * F.col(f"_x{i}")).alias(f"g{i}") for i in range(size + 1)],
+            *[F.sum(F.col("_p") * (1 - F.col("_p")) * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"h{i}_{j}") for i, j in pairs],
+        ).first()
+        weights, curve = np.array(model.weights), np.zeros((size + 1, size + 1))
+        for i, j in pairs:
+            curve[i, j] = curve[j, i] = sums[f"h{i}_{j}"]
+        slope = np.array([sums[f"g{i}"] for i in range(size + 1)]) - ridge @ weights
+        weights = weights + np.linalg.solve(curve + ridge, slope)
+        model = replace(model, weights=tuple(weights.tolist()))
+    return model
+
+
+def score_readmission(model: Logit, stays: DataFrame, since: date) -> DataFrame:
     """Probability of readmission for the stays admitted from a day on."""
-    rows = stays.filter(F.col("admission_date") >= F.lit(since)).withColumns(
-        {f"_{f}": F.col(f).cast("double") for f in features}
-    )
-    return model.transform(rows).select("transition_id", "readmitted", vector_to_array("probability")[1].alias("probability"))
+    rows = stays.filter(F.col("admission_date") >= F.lit(since))
+    return rows.select("transition_id", "readmitted", model.probability(model.inputs()).alias("probability"))
 
 
 def forecast_los_cost(stays: DataFrame, by: list[str]) -> DataFrame:
@@ -104,6 +159,57 @@ def rare_med_pairs(held: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     )
 
 
+def unexpected_med_sets(held: DataFrame, classes: DataFrame, key: str, min_count: int = 5, min_z: float = 3.0) -> DataFrame:
+    """Pairs and triples of drug classes that holders have together far more or less often than expected.
+
+    A pair is expected as often as its classes would meet if they were independent, a triple as often as its three
+    pairs and classes foretell (p_ab * p_ac * p_bc / (p_a * p_b * p_c)), so that a triple is not listed for what a pair
+    in it explains. `z` is the distance in standard deviations of a count with that share; at least `min_z` on either
+    side is listed. Sets grow by one class at a time behind their last one, and only pairs held `min_count` times grow.
+    Holders with the same classes are merged first. Null classes and unknown codes count for nothing.
+    """
+    sets = (
+        held.select(key, "code").join(classes, "code").filter(F.col("drug_class").isNotNull()).select(key, "drug_class").distinct()
+        .groupBy(key).agg(F.array_sort(F.collect_list("drug_class")).alias("_set"))
+        .groupBy("_set").agg(n_rows().alias("_n"))
+    )
+    sets = stage(sets, "drug-sets")
+    holders = sets.agg(F.sum("_n")).scalar().cast("double")
+
+    def grown(states: DataFrame, names: list[str], new: str) -> DataFrame:
+        """Each state with each later class of its set; `_rest` holds what comes after the last one."""
+        return states.select(*names, "_n", "_rest", F.posexplode("_rest").alias("_i", new)).select(
+            *names, new, "_n", F.slice("_rest", F.col("_i") + 2, F.size("_rest")).alias("_rest")
+        )
+
+    def counted(states: DataFrame, names: list[str]) -> DataFrame:
+        return states.groupBy(*names).agg(F.sum("_n").cast("bigint").alias("together")).filter(F.col("together") >= min_count)
+
+    def share(counts: DataFrame, names: list[str], name: str) -> DataFrame:
+        return counts.select(*[F.col(old).alias(new) for old, new in zip(counts.columns, names)], (F.col("together") / holders).alias(name))
+
+    ones = grown(sets.withColumnRenamed("_set", "_rest"), [], "class_a")
+    single = counted(ones, ["class_a"])
+    twos = grown(ones, ["class_a"], "class_b")
+    pairs = stage(counted(twos, ["class_a", "class_b"]), "drug-pairs")
+    threes = grown(twos.join(pairs.drop("together"), ["class_a", "class_b"], "left_semi"), ["class_a", "class_b"], "class_c")
+    triples = counted(threes, ["class_a", "class_b", "class_c"])
+    for c in "abc":
+        triples = triples.join(share(single, [f"class_{c}"], f"_{c}"), f"class_{c}")
+    for x, y in ("ab", "ac", "bc"):
+        triples = triples.join(share(pairs, [f"class_{x}", f"class_{y}"], f"_{x}{y}"), [f"class_{x}", f"class_{y}"])
+    for c in "ab":
+        pairs = pairs.join(share(single, [f"class_{c}"], f"_{c}"), f"class_{c}")
+    p2 = F.col("_a") * F.col("_b")
+    p3 = F.least(F.lit(1.0), F.col("_ab") * F.col("_ac") * F.col("_bc") / (p2 * F.col("_c")))
+    met = pairs.select("class_a", "class_b", F.lit(None).cast("string").alias("class_c"), "together", p2.alias("_p")).unionByName(
+        triples.select("class_a", "class_b", "class_c", "together", p3.alias("_p"))
+    )
+    expected = F.col("_p") * holders
+    z = (F.col("together") - expected) / F.nullif(F.sqrt(expected * (1 - F.col("_p"))), F.lit(0.0))
+    return met.select("class_a", "class_b", "class_c", "together", expected.alias("expected"), z.alias("z")).filter(F.abs("z") >= min_z)
+
+
 def survey_readiness(deficiencies: DataFrame, weights: dict[str, int], start: int = 100) -> DataFrame:
     """Score per facility and day on which it changes: `start` less the weights of the open deficiencies.
 

@@ -11,7 +11,50 @@ from transitus.session import shared_folder, stage
 from transitus.sources.binding import add_days
 
 
-@query("readmission_model")
+def logit_sql(features: list[str], rows: str) -> str:
+    """The same steps as `models.readmission_model`: each one an aggregate, an elimination by columns, and new weights.
+
+    `rows` names a table with transition_id, admission_date, readmitted and the features.
+    """
+    n = len(features) + 1
+    upper = [(i, j) for i in range(n) for j in range(i, n)]
+    x = [f"x{i}" for i in range(n)]
+    parts = [
+        f"fit0 AS (SELECT * FROM {rows} WHERE admission_date < DATE '2000-01-01')",
+        "fit_med AS (SELECT " + ", ".join(f"coalesce(quantile_disc({f}, 0.5), 0)::DOUBLE AS m{i}" for i, f in enumerate(features, 1)) + " FROM fit0)",
+        "fit_mean AS (SELECT count(*)::DOUBLE AS n, " + ", ".join(f"avg(coalesce({f}, m{i})::DOUBLE) AS a{i}, avg(coalesce({f}, m{i})::DOUBLE ** 2) AS q{i}"
+                                                            for i, f in enumerate(features, 1)) + " FROM fit0, fit_med)",
+        "inputs AS MATERIALIZED (SELECT transition_id, readmitted, readmitted::INT::DOUBLE AS y, admission_date < DATE '2000-01-01' AS learn, 1::DOUBLE AS x0, "
+        + ", ".join(f"(coalesce({f}, m{i})::DOUBLE - a{i}) / (CASE WHEN q{i} > a{i} * a{i} THEN sqrt(q{i} - a{i} * a{i}) ELSE 1 END) AS x{i}"
+                    for i, f in enumerate(features, 1)) + f" FROM {rows}, fit_med, fit_mean)",
+        "w0 AS (SELECT " + ", ".join(f"0::DOUBLE AS w{i}" for i in range(n)) + ")",
+    ]
+    dot = " + ".join(f"w{i} * {x[i]}" for i in range(n))
+    ridge = {i: f"{models.RIDGE}::DOUBLE * n" if i else "0::DOUBLE" for i in range(n)}
+    for step in range(models.STEPS):
+        parts.append(f"p{step} AS (SELECT *, 1::DOUBLE / (1::DOUBLE + exp(-({dot}))) AS p FROM inputs, w{step}, fit_mean WHERE learn)")
+        parts.append(f"e{step}_0 AS MATERIALIZED (SELECT " + ", ".join(
+            [f"sum(p * (1::DOUBLE - p) * x{i} * x{j})" + (f" + any_value({ridge[i]})" if i == j else "") + f" AS h{i}_{j}" for i, j in upper]
+            + [f"sum((y - p) * x{i}) - any_value({ridge[i]} * w{i}) AS g{i}" for i in range(n)]) + f" FROM p{step})")
+        for k in range(n - 1):
+            parts.append(f"e{step}_{k + 1} AS MATERIALIZED (SELECT " + ", ".join(
+                [f"h{i}_{j}" + (f" - h{k}_{i} * h{k}_{j} / h{k}_{k} AS h{i}_{j}" if i > k else "") for i, j in upper]
+                + [f"g{i}" + (f" - h{k}_{i} * g{k} / h{k}_{k} AS g{i}" if i > k else "") for i in range(n)]) + f" FROM e{step}_{k})")
+        back, last = f"e{step}_{n - 1}", n - 1
+        for i in range(last, -1, -1):
+            known = "".join(f" - h{i}_{j} * d{j}" for j in range(i + 1, n))
+            parts.append(f"b{step}_{i} AS MATERIALIZED (SELECT *, (g{i}{known}) / h{i}_{i} AS d{i} FROM {back})")
+            back = f"b{step}_{i}"
+        parts.append(f"w{step + 1} AS MATERIALIZED (SELECT " + ", ".join(f"w{i} + d{i} AS w{i}" for i in range(n)) + f" FROM w{step}, {back})")
+    return "WITH " + ",\n".join(parts) + f"""
+    SELECT transition_id, readmitted, round(1::DOUBLE / (1::DOUBLE + exp(-({dot}))), 6) AS probability FROM inputs, w{models.STEPS} WHERE NOT learn"""
+
+
+FEATURE_ROWS = """(SELECT transition_id, admission_date, readmitted, length_of_stay, n_conditions, n_medications, coalesce(sum(readmitted::INT) OVER (
+        PARTITION BY patient_id ORDER BY admission_date, encounter_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior_readmissions FROM prof)"""
+
+
+@query("readmission_model", "prof", logit_sql(models.FEATURES, FEATURE_ROWS))
 def readmission_model(t):
     """Trained on the stays before 2000, scored on those from 2000 on."""
     before = cohort.prior_readmissions(t.transitions).select("transition_id", "prior_readmissions")
@@ -61,6 +104,24 @@ def rare_med_pairs(t):
     return models.rare_med_pairs(t.medications, t.drug_classes, "patient_id")
 
 
+@query("unexpected_med_sets", "med cat", """
+    WITH b AS (SELECT DISTINCT patient_id, drug_class FROM med JOIN cat USING (code)), n AS (SELECT count(DISTINCT patient_id)::DOUBLE AS n FROM b),
+    s AS (SELECT drug_class AS a, count(*)::DOUBLE / any_value(n) AS p FROM b, n GROUP BY 1),
+    t2 AS (SELECT x.drug_class AS a, y.drug_class AS b, count(*)::BIGINT AS o FROM b x JOIN b y ON x.patient_id = y.patient_id AND x.drug_class < y.drug_class GROUP BY ALL),
+    t3 AS (SELECT x.drug_class AS a, y.drug_class AS b, z.drug_class AS c, count(*)::BIGINT AS o FROM b x JOIN b y ON x.patient_id = y.patient_id AND x.drug_class < y.drug_class
+           JOIN b z ON x.patient_id = z.patient_id AND y.drug_class < z.drug_class GROUP BY ALL),
+    e AS (SELECT t2.a, t2.b, NULL::VARCHAR AS c, o, s1.p * s2.p AS p FROM t2 JOIN s s1 ON s1.a = t2.a JOIN s s2 ON s2.a = t2.b
+          UNION ALL SELECT t.a, t.b, t.c, t.o, least(1::DOUBLE, ab.o / n * (ac.o / n) * (bc.o / n) / (s1.p * s2.p * s3.p)) FROM n, t3 t
+          JOIN s s1 ON s1.a = t.a JOIN s s2 ON s2.a = t.b JOIN s s3 ON s3.a = t.c
+          JOIN t2 ab ON ab.a = t.a AND ab.b = t.b JOIN t2 ac ON ac.a = t.a AND ac.b = t.c JOIN t2 bc ON bc.a = t.b AND bc.b = t.c),
+    f AS (SELECT a AS class_a, b AS class_b, c AS class_c, o AS together, round(p * n, 6) AS expected, round((o - p * n) / nullif(sqrt(p * n * (1 - p)), 0), 6) AS z FROM e, n WHERE o >= 5)
+    SELECT * FROM f WHERE abs(z) >= 2""")
+def unexpected_med_sets(t):
+    """Classes are independent in the driver tables; at two deviations some sets are listed all the same."""
+    found = models.unexpected_med_sets(t.medications, t.drug_classes, "patient_id", 5, 2.0)
+    return found.withColumns({c: F.round(c, 6) for c in ("expected", "z")})
+
+
 # Deficiencies: order lines, the supplier as facility, corrected after as many days as the quantity unless flag N.
 @query("survey_readiness", "", """
     WITH d AS (SELECT l_suppkey AS organization_id, CASE l_returnflag WHEN 'R' THEN 5 WHEN 'A' THEN 2 ELSE 1 END AS w, l_shipdate::DATE AS a,

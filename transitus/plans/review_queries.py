@@ -139,6 +139,12 @@ def edit_diff(t):
     return approval.edit_diff(t.edits)
 
 
+@query("edit_alignment")
+def edit_alignment(t):
+    """An alignment is a loop over two texts; SQL has none for words. Held against a full table of costs in the tests."""
+    return approval.edit_alignment(t.edits)
+
+
 @query("spot_check", "evt", f"""{REC}
     SELECT transition_id, status FROM state WHERE status IN ('APPROVED', 'SENT')
        AND ('0x' || substr(sha256(transition_id || '|2024-01'), 1, 8))::BIGINT % 10 = 0""")
