@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from transitus.functions.columns import lookup, n_rows
 from transitus.operators import denial, reimbursement as rb
 from transitus.plans.registry import query
-from transitus.sources.binding import FOCUS
+from transitus.sources.binding import FOCUS, add_days
 
 STATUS = """CASE WHEN outstanding > 0 AND date_diff('day', service_at, billed_at) > 60 THEN 'LIKELY_DENIED'
                  WHEN outstanding > 0 THEN 'PENDING' ELSE 'PAID' END"""
@@ -315,15 +315,17 @@ def scenario(t):
 
 REC = f"""{GAPS}, rec AS (SELECT patient_id AS recommendation_id, count(DISTINCT code)::BIGINT AS n_codes, sum(daily_value) AS g, min(evidence) AS evidence,
       string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM ng GROUP BY 1),
-  ev AS (SELECT transition_id AS recommendation_id, CASE action WHEN 'APPROVED' THEN 'ACCEPTED' WHEN 'REJECTED' THEN 'DISMISSED' ELSE action END AS action, actor, action_at, log_id FROM evt),
+  ev AS (SELECT transition_id AS recommendation_id, CASE action WHEN 'APPROVED' THEN 'ACCEPTED' WHEN 'REJECTED' THEN 'DISMISSED' ELSE action END AS action, actor, action_at + (transition_id % 3)::INT * INTERVAL 31 DAY AS action_at, log_id FROM evt),
   fst AS (SELECT recommendation_id, arg_min(action, (action_at, log_id)) AS status, arg_min(actor, (action_at, log_id)) AS reviewed_by, min(action_at) AS reviewed_at
           FROM ev WHERE action IN ('ACCEPTED', 'DISMISSED') GROUP BY 1)"""
 
 
 def recommendation_events(t):
+    """The review log covers one month; a recommendation is reviewed in that one or in one of the next two."""
+    later = (F.col("transition_id") % 3 * 31).cast("int")
     renamed = lookup(F.col("action"), {"APPROVED": "ACCEPTED", "REJECTED": "DISMISSED"})
     return t.review_events.select(
-        F.col("transition_id").alias("recommendation_id"), F.col("action_at").alias("at"), F.col("log_id").alias("id"),
+        F.col("transition_id").alias("recommendation_id"), add_days("action_at", later).alias("at"), F.col("log_id").alias("id"),
         F.coalesce(renamed, F.col("action")).alias("action"), "actor", F.col("actor_role").alias("role"),
     )
 

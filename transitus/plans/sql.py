@@ -119,9 +119,11 @@ CTES: dict[str, tuple[list[str], str]] = {
           ON f.patient_id = t.patient_id AND f.start_at <= t.discharge_date
          AND (f.stop_at IS NULL OR f.stop_at >= t.admission_date)"""),
     "evt": ([], f"""
-        SELECT event_id AS log_id, user_id AS transition_id,
-               CASE event_type WHEN 'signup' THEN 'ASSIGNED' WHEN 'view' THEN 'VIEWED' WHEN 'click' THEN 'EDITED'
-                    WHEN 'purchase' THEN 'APPROVED' WHEN 'error' THEN 'REJECTED' END AS action,
+        SELECT event_id AS log_id, user_id * 8 + event_id % 8 AS transition_id,
+               CASE event_type WHEN 'signup' THEN CASE WHEN (event_id // 8) % 3 = 0 THEN 'GENERATED' ELSE 'ASSIGNED' END
+                    WHEN 'view' THEN 'VIEWED' WHEN 'click' THEN 'EDITED'
+                    WHEN 'purchase' THEN CASE WHEN (event_id // 8) % 3 = 0 THEN 'SENT' ELSE 'APPROVED' END
+                    WHEN 'error' THEN 'REJECTED' END AS action,
                'clinician-' || (event_id % 7) AS actor, {_pick(ROLES, "event_id % 6")} AS actor_role,
                {_pick(SECTIONS, "event_id % 5")} AS section, ts AS action_at, props AS details
         FROM events"""),

@@ -5,12 +5,11 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from transitus.functions.columns import lookup
 from transitus.plans import money_queries, narrative_queries
 from transitus.plans.registry import query
 from transitus.plans.review_queries import SHIFT, sts, ts
 from transitus.session import shared_folder
-from transitus.sources.binding import ACTION_OF_EVENT, add_days
+from transitus.sources.binding import action_of, add_days, document_of
 from transitus.streaming import jobs, progress
 
 
@@ -26,8 +25,8 @@ def result(t, df, name):
 
 def event_stream(t):
     return streamed(t, "events").select(
-        F.col("event_id").alias("log_id"), F.col("user_id").alias("transition_id"),
-        lookup(F.col("event_type"), ACTION_OF_EVENT).alias("action"), F.col("ts").alias("action_at"),
+        F.col("event_id").alias("log_id"), document_of("user_id", "event_id").alias("transition_id"),
+        action_of("event_type", "event_id").alias("action"), F.col("ts").alias("action_at"),
     )
 
 
