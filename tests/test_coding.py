@@ -97,3 +97,11 @@ def test_rollup(spark, level, patients, gap):
     facilities = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "organization_id int, chain string")
     rows = rb.revenue_impact(gaps, facilities).filter(F.col("level") == level).orderBy("chain", "organization_id").collect()
     assert (rows[0].patients, rows[0].daily_gap) == (patients, gap)
+
+
+def test_rate_spread(spark):
+    """A group of one, ties, null rates and a null group."""
+    rows = [("a", float(i)) for i in range(1, 11)] + [("b", 7.0)] + [("c", 2.0)] * 5 + [("c", None), (None, 3.0), ("d", None)]
+    out = rb.rate_spread(spark.createDataFrame(rows, "payer string, actual_rate double"), ["payer"], width=3.0)
+    got = {r.payer: (r.rates, r.lowest, r.p10, r.p25, r.p50, r.p75, r.p90, r.highest) for r in out.collect()}
+    assert got == {"a": (10, 1.0, 1.0, 3.0, 5.0, 8.0, 9.0, 10.0), "b": (1, *[7.0] * 7), "c": (5, *[2.0] * 7)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from transitus.functions.columns import count_if, days, n_rows, pct, ratio, rules, total
 from transitus.functions.phrases import phrase_hits
+from transitus.functions.skew import exact_quantiles
 from transitus.functions.text import sentences, words
 from transitus.operators.approval import Machine, fold
 
@@ -286,6 +287,21 @@ def coding_profile(assessed: DataFrame, gaps: DataFrame, services: DataFrame, be
     )
 
 
+SPREAD = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+
+
+def rate_spread(rates: DataFrame, by: list[str], value: str = "actual_rate", width: float = 10.0) -> DataFrame:
+    """Per group: how many rates, the lowest and highest, and exact (lower) quantiles. Null rates and groups are left out.
+
+    Equal rates are merged and only the bins of `width` that hold a quantile are ordered, so that a group with most of
+    the rows is not sorted in one task.
+    """
+    ends = rates.filter(F.col(value).isNotNull()).groupBy(*by).agg(
+        n_rows().alias("rates"), F.min(value).alias("lowest"), F.max(value).alias("highest")
+    )
+    return ends.join(exact_quantiles(rates, by, value, SPREAD, width), by)
+
+
 def late_flags(assessments: DataFrame, gaps: DataFrame, within_hours: int = 24) -> DataFrame:
     """Under-coding flags per assessment with whether they came in time; batch twin of the streaming job."""
     flagged = assessments.join(gaps.filter("undercoded").select("patient_id", "daily_gap"), "patient_id")

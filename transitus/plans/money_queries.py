@@ -357,3 +357,16 @@ def recovery_trend(t):
            round(min(a), 2) AS lowest_rate, round(max(a), 2) AS highest_rate, round(sum(a::DECIMAL(24,6))::DOUBLE / count(a)::DOUBLE - 785::DOUBLE, 2) AS rate_gap FROM r""")
 def coding_profile(t):
     return rb.coding_profile(t.assessed_codes, gaps(t), services(t), 785.0)
+
+
+@query("rate_spread", "pat enc", """
+    WITH r AS (SELECT patient_id, sum(total_cost)::DOUBLE / nullif(sum(date_diff('day', start_at, stop_at)), 0)::DOUBLE / 100 AS a FROM enc WHERE stop_at IS NOT NULL GROUP BY 1),
+    o AS (SELECT payer, a, row_number() OVER (PARTITION BY payer ORDER BY a) AS i, count(*) OVER (PARTITION BY payer) AS n FROM r JOIN pat USING (patient_id) WHERE a IS NOT NULL)
+    SELECT payer, count(*)::BIGINT AS rates, round(min(a), 4) AS lowest, round(max(a), 4) AS highest, round(min(CASE WHEN i * 10 >= n THEN a END), 4) AS p10,
+           round(min(CASE WHEN i * 4 >= n THEN a END), 4) AS p25, round(min(CASE WHEN i * 2 >= n THEN a END), 4) AS p50,
+           round(min(CASE WHEN i * 4 >= n * 3 THEN a END), 4) AS p75, round(min(CASE WHEN i * 10 >= n * 9 THEN a END), 4) AS p90 FROM o GROUP BY payer""")
+def rate_spread(t):
+    """Daily rates of patients by payer, scaled as in `gaps`."""
+    paid = rb.actual_daily_rate(t.encounters).withColumn("actual_rate", F.col("actual_rate") / 100)
+    out = rb.rate_spread(paid.join(t.patients.select("patient_id", "payer"), "patient_id"), ["payer"])
+    return out.withColumns({c: F.round(c, 4) for c in ("lowest", "highest", *rb.SPREAD)})
