@@ -185,3 +185,14 @@ def test_missed_batches_are_an_error():
     assert [[r[2] for r in lot] for lot in progress.batches(Query([[4, 5], [], [5, 6, 6]]), "q")] == [[4, 5], [6]]
     with pytest.raises(RuntimeError, match="batches 6 to 7"):
         list(progress.batches(Query([[4, 5], [8]]), "q"))
+
+
+def test_tables_that_are_folders(spark, tmp_path):
+    """A table may be one file or a folder of files: the stream reads either."""
+    from transitus.plans import QUERIES
+
+    rows = [(1, "one two", "en"), (2, "three", "en"), (3, "one two", "de")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["stream_generate_new"](spark, str(tmp_path))
+    assert sorted(r["output"] for r in got.collect()) == ["1 words", "2 words"]

@@ -14,7 +14,8 @@ from transitus.streaming import jobs, progress
 
 
 def streamed(t, name):
-    return jobs.read_stream(t.spark, t.folder, t.table(name).schema, only=f"{name}.parquet")
+    """A table as a stream, be it one file or a folder of files: a pattern matches either."""
+    return jobs.read_stream(t.spark, f"{t.folder}/{name}.parque[t]", t.table(name).schema)
 
 
 def result(t, df, name):
