@@ -67,3 +67,24 @@ def test_terms_are_compared_by_words(spark):
     docs = spark.createDataFrame([(1, "Takes beta-blocker; and ASPIRIN."), (2, None)], "transition_id int, text string")
     got = guardrails.mentioned_terms(docs, ["Beta-Blocker", "aspirin", "blocker aspirin"], "text").collect()
     assert sorted(tuple(r) for r in got) == [(1, "aspirin"), (1, "beta-blocker")]
+
+
+@pytest.mark.parametrize("piece", [1024, 3])
+def test_a_dictionary_beyond_the_automata_stays_distributed(spark, monkeypatch, piece):
+    """Not collected part by part: places of all lengths come by a join, across the borders of pieces too."""
+    def collected(*_):
+        raise AssertionError("the dictionary was collected")
+
+    monkeypatch.setattr(phrases, "PART_WORDS", 2)
+    monkeypatch.setattr(phrases, "SLICE", piece)
+    monkeypatch.setattr(phrases, "parts", collected)
+    draw = random.Random(11)
+    texts = [[draw.choice("abcdx") for _ in range(draw.randint(0, 40))] for _ in range(30)] + [None, []]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, tokens array<string>")
+    table = spark.createDataFrame([(p, k) for k, p in enumerate(PHRASES)] + [("a", 100), (None, 7), ("", 8)], "phrase string, code int")
+    got = phrases.phrase_hits(docs, ["id"], "tokens", table, "phrase")
+    assert got.columns == ["phrase", "id", "code"]
+    code = {p: [k] for k, p in enumerate(PHRASES)}
+    code["a"].append(100)
+    want = sorted((p, i, c) for i, told in enumerate(texts) for p in plain_hits(told or [], PHRASES) for c in code[p])
+    assert sorted(tuple(r) for r in got.collect()) == want

@@ -1,8 +1,9 @@
 """Phrases of a dictionary table found in texts by an automaton: a trie over words with failure links.
 
-The dictionary is a table of any size. It is dealt into parts of bounded size; each part becomes an automaton, and a
-pass over the texts carries at most `PARTS_AT_ONCE` of them. A dictionary of some hundred thousand words, all codes of
-a clinical code system say, takes one pass.
+The dictionary is a table of any size. It is dealt into parts of bounded size; each part becomes an automaton, and one
+pass over the texts carries up to `PARTS_AT_ONCE` of them. A dictionary of some hundred thousand words, all codes of
+a clinical code system say, is found so. A larger one stays distributed: the texts' runs of words, of each length that
+the dictionary has, are joined with it, so that neither the driver's work nor the passes over the texts grow with it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitus.functions.text import words
+from transitus.session import stage
 
 # A part has about so many words and characters at most: some 50 MB as an automaton.
 PART_WORDS, PART_CHARS, PARTS_AT_ONCE = 200_000, 4_000_000, 4
@@ -82,12 +84,18 @@ class PhraseAutomaton:
                 found = self.shorter[found]
 
 
-def parts(dictionary: DataFrame, phrase: str) -> Iterator[list[str]]:
-    """Distinct phrases in lots of bounded size; the driver holds one lot at a time."""
+def lots_of(dictionary: DataFrame, phrase: str) -> int:
+    """Into how many parts of bounded size the distinct phrases go."""
     wanted = dictionary.select(F.col(phrase).alias("_p")).filter(F.col("_p") != "").distinct()
     size = F.size(F.split("_p", " "))
     sums = wanted.agg(F.coalesce(F.sum(size), F.lit(0)).alias("words"), F.coalesce(F.sum(F.length("_p")), F.lit(0)).alias("chars")).first()
-    lots = max(-(-sums["words"] // PART_WORDS), -(-sums["chars"] // PART_CHARS))
+    return max(-(-sums["words"] // PART_WORDS), -(-sums["chars"] // PART_CHARS))
+
+
+def parts(dictionary: DataFrame, phrase: str, lots: int | None = None) -> Iterator[list[str]]:
+    """Distinct phrases in lots of bounded size; the driver holds one lot at a time."""
+    lots = lots_of(dictionary, phrase) if lots is None else lots
+    wanted = dictionary.select(F.col(phrase).alias("_p")).filter(F.col("_p") != "").distinct()
     # lots by a hash are not quite even: half a lot more is still no error
     for lot in range(lots):
         rows = wanted.filter(F.pmod(F.xxhash64("_p"), F.lit(lots)) == lot).collect()
@@ -114,34 +122,47 @@ def phrase_hits(texts: DataFrame, keys: list[str], tokens: str, table: DataFrame
 
     Phrases are words parted by one space; tokens have no spaces. `longest` leaves out phrases of more words. A null
     or empty array has no phrases, a null or empty phrase no places; a phrase that the table holds several times gives
-    each of its rows. All texts are read once for each `PARTS_AT_ONCE` parts of the dictionary.
+    each of its rows. Texts are read once for a dictionary of up to `PARTS_AT_ONCE` parts, and once for a larger one,
+    whose places are then found by a join.
     """
     spark = texts.sparkSession
     if longest is not None:
         table = table.filter(F.size(F.split(phrase, " ")) <= longest)
-    found, lot = None, []
-
-    def search(lots: list[list[str]]) -> DataFrame:
-        automata = [PhraseAutomaton(phrases) for phrases in lots]
-        reach = SLICE + max((a.longest for a in automata), default=1) - 1
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)), F.lit(SLICE))
-        pieces = texts.filter(F.size(tokens) > 0).select(
-            *keys, F.explode(F.transform(starts, lambda at: F.array_join(F.slice(F.col(tokens), at, F.lit(reach)), " "))).alias("_told")
-        )
-        return pieces.select(*keys, F.explode(_finder(spark, automata)(F.col("_told"))).alias(phrase))
-
-    def more(found: DataFrame | None) -> DataFrame:
-        return search(lot) if found is None else found.unionByName(search(lot))
-
-    for phrases in parts(table, phrase):
-        lot.append(phrases)
-        if len(lot) == PARTS_AT_ONCE:
-            found, lot = more(found), []
-    if lot or found is None:
-        found = more(found)
+    # read for its size, its lots and the join
+    table = stage(table, "phrases")
+    lots = lots_of(table, phrase)
+    if lots > PARTS_AT_ONCE:
+        return _runs_of_words(texts, keys, tokens, table, phrase).join(table, phrase)
+    automata = [PhraseAutomaton(phrases) for phrases in parts(table, phrase, lots)]
+    pieces = _pieces(texts, keys, tokens, max((a.longest for a in automata), default=1)).select(
+        *keys, F.array_join("_piece", " ").alias("_told")
+    )
+    found = pieces.select(*keys, F.explode(_finder(spark, automata)(F.col("_told"))).alias(phrase))
     return found.join(table, phrase)
 
 
+def _pieces(texts: DataFrame, keys: list[str], tokens: str, longest: int) -> DataFrame:
+    """(keys, _piece): the words of a text in pieces that overlap by a phrase of `longest` words."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)), F.lit(SLICE))
+    reach = F.lit(SLICE + longest - 1)
+    return texts.filter(F.size(tokens) > 0).select(
+        *keys, F.explode(F.transform(starts, lambda at: F.slice(F.col(tokens), at, reach))).alias("_piece")
+    )
+
+
+def _runs_of_words(texts: DataFrame, keys: list[str], tokens: str, table: DataFrame, phrase: str) -> DataFrame:
+    """(phrase, keys): one row for each place of a text and each number of words that a phrase of `table` has."""
+    sizes = sorted(
+        r[0] for r in table.filter(F.col(phrase) != "").select(F.size(F.split(phrase, " "))).distinct().collect()
+    )
+    size = F.explode(F.array(*[F.lit(n) for n in sizes])).alias("_size")
+    # places that start in a piece's first words; those beyond belong to the next piece
+    last = F.least(F.size("_piece") - F.col("_size") + 1, F.lit(SLICE))
+    run = F.transform(F.sequence(F.lit(1), last), lambda at: F.array_join(F.slice("_piece", at, F.col("_size")), " "))
+    pieces = _pieces(texts, keys, tokens, sizes[-1]).select(*keys, "_piece", size).filter(F.size("_piece") >= F.col("_size"))
+    return pieces.select(F.explode(run).alias(phrase), *keys)
+
+
 def in_words(phrase: Column) -> Column:
     """A phrase as words parted by one space, in the form in which texts are cut."""
     return F.array_join(words(phrase), " ")
