@@ -196,3 +196,37 @@ def test_tables_that_are_folders(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["stream_generate_new"](spark, str(tmp_path))
     assert sorted(r["output"] for r in got.collect()) == ["1 words", "2 words"]
+
+
+def test_clocks_ask_the_state_store_little():
+    """New events of a document cost one read, one write and one timer, however many states and alerts there are."""
+    calls = []
+
+    class Value:
+        row = None
+
+        def get(self):
+            calls.append("get")
+            return self.row
+
+        def update(self, row):
+            calls.append("update")
+            Value.row = row
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def __getattr__(self, name):
+            return lambda at: calls.append((name, at))
+
+    hour = jobs.HOUR_US
+    clocks = jobs.Clocks()
+    clocks.init(Handle())
+    events = [(0, 1, "ASSIGNED", 4), (5 * hour, 2, "APPROVED", 4)]
+    told = list(clocks._settle((7,), events, 0))
+    assert [(r.kind, r.change) for r in told] == [("ESCALATE", "ALERT")]
+    assert calls == ["get", ("registerTimer", 77 * hour // 1000), "update"]
+    calls.clear()
+    told = list(clocks._settle((7,), [], 77 * hour, 77 * hour // 1000))
+    assert [(r.kind, r.change) for r in told] == [("EXPIRE", "ALERT")] and calls == ["get", "update"]

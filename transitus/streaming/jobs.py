@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -91,6 +91,13 @@ def play(clocks: dict[str, tuple[int, int] | None], events: list[tuple]) -> tupl
     return clocks, alerts
 
 
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+
+
+def instant(at_us: int) -> datetime:
+    return EPOCH + timedelta(microseconds=at_us)
+
+
 class Clocks(StatefulProcessor):
     """Per document two clocks, kept as start and due in microseconds; an `ALERT` is sent when one runs out.
 
@@ -103,65 +110,59 @@ class Clocks(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kinds = list(CLOCK_EVENTS)
-        self.state = handle.getValueState("clocks", ", ".join(f"{k}_start bigint, {k}_due bigint" for k in self.kinds))
-        self.waiting = handle.getListState("waiting", "at_us bigint, log_id bigint, action string, hours bigint")
-        self.told = handle.getListState("told", "kind string, start bigint, due bigint")
+        # one value: each further state or timer costs a call to the state store for every document
+        self.state = handle.getValueState(
+            "review",
+            ", ".join(f"{k}_start bigint, {k}_due bigint" for k in self.kinds)
+            + ", timer_ms bigint, waiting array<struct<at_us: bigint, log_id: bigint, action: string, hours: bigint>>"
+            + ", told array<struct<kind: string, start: bigint, due: bigint>>",
+        )
 
-    def _load(self) -> dict[str, tuple[int, int] | None]:
+    def _load(self) -> tuple[dict[str, tuple[int, int] | None], int | None, list[tuple], list[tuple]]:
         row = self.state.get()
         if row is None:
-            return dict.fromkeys(self.kinds)
-        return {k: None if row[2 * i] is None else (row[2 * i], row[2 * i + 1]) for i, k in enumerate(self.kinds)}
-
-    @staticmethod
-    def _keep(state, rows: list[tuple]) -> None:
-        if rows:
-            state.put(rows)
-        else:
-            state.clear()
+            return dict.fromkeys(self.kinds), None, [], []
+        clocks = {k: None if row[2 * i] is None else (row[2 * i], row[2 * i + 1]) for i, k in enumerate(self.kinds)}
+        timer, waiting, told = row[2 * len(self.kinds):]
+        return clocks, timer, [tuple(e) for e in waiting], [tuple(t) for t in told]
 
-    def _settle(self, key: tuple, fresh: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+    def _settle(self, key: tuple, fresh: list[tuple], now: int, fired: int | None = None) -> Iterator[Row]:
         """Move the clocks to `now`, play what lies beyond and send the alerts that were not sent before."""
-        events = sorted([tuple(e) for e in self.waiting.get()] + fresh)
+        clocks, timer, waiting, told = self._load()
+        events = sorted(waiting + fresh)
         later = [e for e in events if e[0] > now]
-        clocks, alerts = play(self._load(), [e for e in events if e[0] <= now])
+        clocks, alerts = play(clocks, [e for e in events if e[0] <= now])
         for kind, running in clocks.items():
             if running and running[1] <= now:
                 alerts.append((kind, *running))
                 clocks[kind] = None
         ahead, shown = play(clocks, later)
-        told = [tuple(t) for t in self.told.get()]
         standing = set(alerts + shown)
         gone = [t for t in told if t not in standing]
         told = [t for t in told if t in standing]
         alerts = [a for a in alerts + shown if a not in told]
-        self.state.update(tuple(x for k in self.kinds for x in (clocks[k] or (None, None))))
-        self._keep(self.waiting, later)
-        self._keep(self.told, [t for t in told + alerts if t[2] > now])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         due = [running[1] for running in ahead.values() if running]
-        if due:
-            # a timer counts in milliseconds and must not fire early
-            self.handle.registerTimer(-(-min(due) // 1000))
-        changes = [(*t, "WITHDRAWN") for t in gone] + [(*a, "ALERT") for a in alerts]
-        if changes:
-            yield pd.DataFrame({
-                "transition_id": [key[0]] * len(changes), "kind": [c[0] for c in changes],
-                "started_at": pd.to_datetime([c[1] for c in changes], unit="us"),
-                "due_at": pd.to_datetime([c[2] for c in changes], unit="us"), "change": [c[3] for c in changes],
-            })
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = []
-        for frame in rows:
-            columns = (frame[c].tolist() for c in ("at_us", "log_id", "action", "sla_hours"))
-            fresh += [(int(at), int(i), action, int(hours)) for at, i, action, hours in zip(*columns, strict=True)]
+        # a timer counts in milliseconds and must not fire early
+        wanted = -(-min(due) // 1000) if due else None
+        if wanted != timer or fired == timer:
+            if timer is not None and fired != timer:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        kept = [t for t in told + alerts if t[2] > now]
+        self.state.update((*(x for k in self.kinds for x in (clocks[k] or (None, None))), wanted, later, kept))
+        for change, rows in (("WITHDRAWN", gone), ("ALERT", alerts)):
+            for kind, start, end in rows:
+                yield Row(transition_id=key[0], kind=kind, started_at=instant(start), due_at=instant(end), change=change)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        fresh = [(r["at_us"], r["log_id"], r["action"], r["sla_hours"]) for r in rows]
         yield from self._settle(key, fresh, timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        yield from self._settle(key, [], now * 1000)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(fired, timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key, [], now * 1000, fired)
 
     def close(self) -> None:
         pass
@@ -190,7 +191,7 @@ def review_clocks(events: DataFrame, tiers: DataFrame, late: str = LATE) -> Data
         .select("transition_id", "action_at", F.coalesce(F.col("log_id").cast("bigint"), F.lit(0)).alias("log_id"), "action", F.unix_micros("action_at").alias("at_us"),
                 sla_hours(F.col("risk_tier")).alias("sla_hours"))
     )
-    return rows.groupBy("transition_id").transformWithStateInPandas(
+    return rows.groupBy("transition_id").transformWithState(
         statefulProcessor=Clocks(), outputStructType=ALERT, outputMode="Append", timeMode="EventTime"
     )
 
