@@ -153,3 +153,25 @@ def test_timeline_and_history(encounters):
     seq = cohort.encounter_sequence(encounters, cohort.cohort_ids(encounters, "snf"), SETTINGS)
     prior = cohort.prior_readmissions(cohort.care_transitions(seq, "snf", READMIT))
     assert {r.encounter_id: (r.prior_stays, r.prior_readmissions) for r in prior.collect()}[13] == (1, 1)
+
+
+def test_profile_counts_read_the_lines_once(spark):
+    """Conditions, medications and allergies come from one pass; without hot patients nothing is swept."""
+    from transitus.plans.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = t.profile_counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and plan.count("l_linestatus") and sum("l_shipdate" in line and "Relation" in line for line in plan.splitlines()) == 1
+    apart = cohort.profile_counts(t.transitions, t.conditions, t.medications, t.allergies)
+    columns = ["transition_id", "n_conditions", "n_medications", "n_allergies"]
+    assert sorted(t.profile_counts.select(columns).collect()) == sorted(apart.select(columns).collect())
+    crowded = cohort.profile_counts(t.transitions, t.conditions, t.medications, t.allergies, 2, t.clinical)
+    assert sorted(crowded.select(columns).collect()) == sorted(apart.select(columns).collect())
+
+
+def test_recent_observations_read_the_lines_once(spark):
+    from transitus.plans.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = cohort.recent_observations(t.transitions, t.observations)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan

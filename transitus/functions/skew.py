@@ -186,6 +186,9 @@ def interval_join(
     """
     stays = stays.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi)))
     hot = hot_keys(stays.filter(F.col(key).isNotNull()), [key], min_rows)
+    met = (F.col(start) <= F.col(hi)) & (F.col(stop).isNull() | (F.col(stop) >= F.col(lo)))
+    if hot.isEmpty():
+        return stays.join(facts.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & met).drop("_key")
     horizon = stays.join(hot, key).groupBy(key).agg(F.max(hi).alias("_horizon"))
 
     def month(c: str) -> Column:
@@ -213,15 +216,14 @@ def interval_join(
         right,
         (F.col(key) == F.col("_key"))
         & F.col("_month").eqNullSafe(F.col("_fmonth"))
-        & (F.col(start) <= F.col(hi))
-        & (F.col(stop).isNull() | (F.col(stop) >= F.col(lo)))
+        & met
         & (F.col("_month").isNull() | (F.col("_month") == F.greatest(month(lo), month(start)))),
     ).drop("_key", "_month", "_fmonth")
 
 
 def overlap_counts(
     stays: DataFrame,
-    facts: dict[str, DataFrame],
+    facts: dict[str, DataFrame] | tuple[DataFrame, dict[str, Column]],
     key: str,
     stay_id: str,
     lo: str,
@@ -230,27 +232,35 @@ def overlap_counts(
     stop: str,
     min_rows: int = HOT_STAYS,
 ) -> DataFrame:
-    """Per stay, how many facts of its key meet [lo, hi], one column for each named fact table.
+    """Per stay, how many facts of its key meet [lo, hi], one column for each named sort of fact.
 
-    Stays of ordinary keys are joined and counted; stays of hot keys are counted without pairs by
-    `_sweep_counts`. Stays without a usable interval or any fact are left out. `stay_id` must be unique.
+    `facts` is a table for each sort, or one table, read once, with the condition that makes a row one of a sort; a
+    row may be of several. Stays of ordinary keys are joined and counted; stays of hot keys, if there are any, are
+    counted without pairs by `_sweep_counts`. Stays without a usable interval or any fact are left out. `stay_id`
+    must be unique.
     """
-    names = list(facts)
     wanted = stays.filter(F.col(lo) <= F.col(hi)).select(stay_id, key, lo, hi)
     hot = hot_keys(wanted, [key], min_rows)
-    tagged = None
-    for n, table in facts.items():
-        one = table.select(key, start, stop, F.lit(n).alias("_kind"))
-        tagged = one if tagged is None else tagged.unionByName(one)
+    if isinstance(facts, dict):
+        names, tagged = list(facts), None
+        for n, table in facts.items():
+            one = table.select(key, start, stop, *[F.lit(n == m).alias(f"_is_{m}") for m in names])
+            tagged = one if tagged is None else tagged.unionByName(one)
+    else:
+        names = list(facts[1])
+        tagged = facts[0].select(key, start, stop, *[F.coalesce(c, F.lit(False)).alias(f"_is_{n}") for n, c in facts[1].items()])
+        tagged = tagged.filter(F.greatest(*[f"_is_{n}" for n in names], F.lit(False)))
     met = (F.col(start) <= F.col(hi)) & (F.col(stop).isNull() | (F.col(stop) >= F.col(lo)))
-    joined = wanted.join(hot, key, "left_anti").join(tagged, key).filter(met).groupBy(stay_id).agg(
-        *[F.count_if(F.col("_kind") == n).alias(n) for n in names]
-    )
-    swept = _sweep_counts(
-        wanted.join(hot, key, "left_semi"),
-        {n: t.join(hot, key, "left_semi") for n, t in facts.items()}, key, stay_id, lo, hi, start, stop,
+    swept = not hot.isEmpty()
+    joined = (wanted.join(hot, key, "left_anti") if swept else wanted).join(tagged, key).filter(met).groupBy(stay_id).agg(
+        *[F.count_if(f"_is_{n}").alias(n) for n in names]
     )
-    return joined.unionByName(swept)
+    if not swept:
+        return joined
+    crowded = stage(tagged.join(hot, key, "left_semi"), "hot-facts")
+    return joined.unionByName(_sweep_counts(
+        wanted.join(hot, key, "left_semi"), {n: crowded.filter(f"_is_{n}") for n in names}, key, stay_id, lo, hi, start, stop,
+    ))
 
 
 def _sweep_counts(

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitus.functions.columns import age_years, days, mean, n_rows, total
 from transitus.functions.skew import HOT_ROWS, HOT_STAYS, dense_ids, interval_join, neighbours, overlap_counts, running_sums
+from transitus.session import stage
 
 
 def patient_cohort(
@@ -142,25 +144,44 @@ def active_facts(transitions: DataFrame, facts: DataFrame, min_rows: int = HOT_S
     ).drop("admission_date", "discharge_date")
 
 
-def active_counts(transitions: DataFrame, facts: dict[str, DataFrame], min_rows: int = HOT_STAYS) -> DataFrame:
-    """Transitions with one count column per fact table: facts held during the stay, 0 if none."""
+def active_counts(
+    transitions: DataFrame, facts: dict[str, DataFrame] | tuple[DataFrame, dict[str, Column]], min_rows: int = HOT_STAYS
+) -> DataFrame:
+    """Transitions with one count column per sort of fact (as in `overlap_counts`): facts held during the stay, 0 if none."""
     counts = overlap_counts(
         transitions, facts, "patient_id", "transition_id", "admission_date", "discharge_date", "start_at", "stop_at",
         min_rows,
     )
+    names = facts if isinstance(facts, dict) else facts[1]
     return transitions.join(counts, "transition_id", "left").withColumns(
-        {n: F.coalesce(n, F.lit(0).cast("bigint")) for n in facts}
+        {n: F.coalesce(n, F.lit(0).cast("bigint")) for n in names}
     )
 
 
+class Clinical(NamedTuple):
+    """Conditions, medications and allergies as rows of one table, with what makes a row one of each; a row may be several.
+
+    The table has the columns of all three.
+    """
+
+    table: DataFrame
+    conditions: Column
+    medications: Column
+    allergies: Column
+
+
 def profile_counts(
     transitions: DataFrame, conditions: DataFrame, medications: DataFrame, allergies: DataFrame,
-    min_rows: int = HOT_STAYS,
+    min_rows: int = HOT_STAYS, together: Clinical | None = None,
 ) -> DataFrame:
-    """Transitions with the number of active conditions, medications and allergies, in one pass."""
-    return active_counts(
-        transitions, {"n_conditions": conditions, "n_medications": medications, "n_allergies": allergies}, min_rows
-    )
+    """Transitions with the number of active conditions, medications and allergies, in one pass.
+
+    `together`, if given, stands for the three tables and spares making each of them from a table they share.
+    """
+    names = ("n_conditions", "n_medications", "n_allergies")
+    if together is not None:
+        return active_counts(transitions, (together.table, dict(zip(names, together[1:], strict=True))), min_rows)
+    return active_counts(transitions, dict(zip(names, (conditions, medications, allergies), strict=True)), min_rows)
 
 
 CONDITION_FIELDS = {"description": "condition", "code": "code"}
@@ -170,20 +191,22 @@ ALLERGY_FIELDS = {"description": "allergy", "code": "code", "category": "categor
 
 def transition_profiles(
     transitions: DataFrame, conditions: DataFrame, medications: DataFrame, allergies: DataFrame,
-    part_size: int = 5_000, limit: int | None = None, min_rows: int = HOT_STAYS,
+    part_size: int = 5_000, limit: int | None = None, min_rows: int = HOT_STAYS, together: Clinical | None = None,
 ) -> DataFrame:
     """Clinical state per transition as arrays of structs; arrays are empty, never null.
 
     A transition has one row (part 0) unless it holds more than `part_size` facts of one sort: then its facts
     are dealt over several parts by their hash, so no row grows without bound and none is left out. Equal facts
     are merged with their number in `copies`. The counts are those of the whole transition on every part.
-    `limit` keeps the first transitions by id, for trial runs.
+    `limit` keeps the first transitions by id, for trial runs. `together` is that of `profile_counts`.
     """
     if limit is not None:
         transitions = transitions.orderBy("transition_id").limit(limit)
     largest = F.greatest("n_conditions", "n_medications", "n_allergies")
-    stays = profile_counts(transitions, conditions, medications, allergies, min_rows).withColumn(
-        "_parts", F.greatest(F.ceil(largest / F.lit(part_size)), F.lit(1)).cast("int")
+    counted = profile_counts(transitions, conditions, medications, allergies, min_rows, together)
+    # read for the join with facts and again for the result
+    stays = stage(
+        counted.withColumn("_parts", F.greatest(F.ceil(largest / F.lit(part_size)), F.lit(1)).cast("int")), "counted"
     )
     kinds = {
         "active_conditions": (conditions, CONDITION_FIELDS),
@@ -191,13 +214,22 @@ def transition_profiles(
         "allergies": (allergies, ALLERGY_FIELDS),
     }
     fields = list(dict.fromkeys(c for _, names in kinds.values() for c in names))
-    facts = None
-    for kind, (table, names) in kinds.items():
-        one = table.select(
-            "patient_id", "start_at", "stop_at", F.lit(kind).alias("_kind"),
-            *[(F.col(c) if c in names else F.lit(None).cast("string")).alias(c) for c in fields],
+    if together is not None:
+        tags = [F.when(one, F.lit(kind)) for kind, one in zip(kinds, together[1:], strict=True)]
+        marked = together.table.select(
+            "patient_id", "start_at", "stop_at", *fields, F.explode(F.array_compact(F.array(*tags))).alias("_kind")
         )
-        facts = one if facts is None else facts.unionByName(one)
+        facts = marked.withColumns({
+            c: F.when(F.col("_kind").isin(*[kind for kind, (_, names) in kinds.items() if c in names]), F.col(c)) for c in fields
+        })
+    else:
+        facts = None
+        for kind, (table, names) in kinds.items():
+            one = table.select(
+                "patient_id", "start_at", "stop_at", F.lit(kind).alias("_kind"),
+                *[(F.col(c) if c in names else F.lit(None).cast("string")).alias(c) for c in fields],
+            )
+            facts = one if facts is None else facts.unionByName(one)
     keys = ["patient_id", "start_at", "stop_at", "_kind", *fields]
     held = interval_join(
         stays.select("transition_id", "patient_id", "admission_date", "discharge_date", "_parts"),
@@ -209,15 +241,20 @@ def transition_profiles(
     for kind, (_, names) in kinds.items():
         item = F.struct(*[F.col(c).alias(alias) for c, alias in names.items()], started, "copies")
         arrays[kind] = F.array_sort(F.collect_list(F.when(F.col("_kind") == kind, item)))
+    # with one part each, rows stay dealt by transition for those who put the parts together again
+    whole = stays.filter("_parts > 1").isEmpty()
+    page = ["transition_id"] if whole else ["transition_id", "part"]
     pages = (
         held.withColumn("part", F.pmod(F.xxhash64(*keys[1:]), F.col("_parts")).cast("int"))
-        .groupBy("transition_id", "part")
+        .groupBy(*page)
         .agg(*[a.alias(kind) for kind, a in arrays.items()])
     )
+    part = F.lit(0) if whole else F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     return (
-        stays.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-        .join(pages, ["transition_id", "part"], "left")
-        .withColumns({k: F.coalesce(k, F.array().cast(pages.schema[k].dataType)) for k in kinds})
+        stays.withColumn("part", part).drop("_parts")
+        .join(pages, page, "left")
+        .select("transition_id", "part", *[c for c in stays.columns if c not in ("transition_id", "_parts")],
+                *[F.coalesce(k, F.array().cast(pages.schema[k].dataType)).alias(k) for k in kinds])
     )
 
 
@@ -228,6 +265,8 @@ def recent_observations(transitions: DataFrame, observations: DataFrame) -> Data
     reading before it, from its own month or carried over from an earlier one. No (stay, reading) pairs are formed.
     """
     keys = ["patient_id", "vital"]
+    # read for the line, its months and the vitals of a patient
+    observations = stage(observations.select(*keys, "observed_at", "observation_id", "value"), "observations")
     reading = F.struct("observed_at", "observation_id", F.col("value").cast("bigint").alias("value"))
     readings = observations.filter(F.col("observed_at").isNotNull()).select(
         *keys, F.col("observed_at").alias("_at"), F.lit(None).cast("string").alias("transition_id"), reading.alias("_reading")

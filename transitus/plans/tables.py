@@ -41,7 +41,9 @@ class Tables(Binding):
 
     @cached_property
     def profile_counts(self) -> DataFrame:
-        return cohort.profile_counts(self.transitions, self.conditions, self.medications, self.allergies)
+        return cohort.profile_counts(
+            self.transitions, self.conditions, self.medications, self.allergies, together=self.clinical
+        )
 
     @cached_property
     def held_medications(self) -> DataFrame:
@@ -53,7 +55,9 @@ class Tables(Binding):
 
     @cached_property
     def prompt_variables(self) -> DataFrame:
-        profiles = cohort.transition_profiles(self.transitions, self.conditions, self.medications, self.allergies)
+        profiles = cohort.transition_profiles(
+            self.transitions, self.conditions, self.medications, self.allergies, together=self.clinical
+        )
         return narrative.prompt_variables(narrative.risk_tier(profiles), self.cohort)
 
     @cached_property
