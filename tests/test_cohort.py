@@ -175,3 +175,25 @@ def test_recent_observations_read_the_lines_once(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     plan = cohort.recent_observations(t.transitions, t.observations)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_shipdate" not in plan
+
+
+@pytest.mark.parametrize("size", [3, 5_000])
+def test_profiles_from_one_table(spark, size):
+    """Facts of all sorts in one table whose details are joined to what stays meet: the same profiles, in parts or whole."""
+    from transitus.plans.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    own = t.transitions, t.conditions, t.medications, t.allergies
+    apart = cohort.transition_profiles(*own, part_size=size)
+    joined = cohort.transition_profiles(*own, part_size=size, together=t.clinical)
+    assert joined.columns == apart.columns and "l_shipdate" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    held = ["transition_id", "part", "n_conditions", "active_conditions", "active_medications", "allergies"]
+    key = lambda r: (r["transition_id"], r["part"])
+    a, b = (sorted(df.select(held).collect(), key=key) for df in (apart, joined))
+    assert (max(r["part"] for r in a) > 0) == (size == 3)
+    if size == 5_000:
+        assert a == b
+    else:
+        assert [r[:3] for r in a] == [r[:3] for r in b]
+    whole = lambda df: sorted(map(str, narrative.whole_profiles(df).select("transition_id", *held[2:]).collect()))
+    assert whole(apart) == whole(joined)

@@ -161,14 +161,23 @@ def active_counts(
 class Clinical(NamedTuple):
     """Conditions, medications and allergies as rows of one table, with what makes a row one of each; a row may be several.
 
-    The table has the columns of all three.
+    The table has the columns of all three but those that `details` gives by the column `detail`; a row counts as
+    often as it has details, and not without any.
     """
 
     table: DataFrame
+    details: DataFrame
     conditions: Column
     medications: Column
     allergies: Column
 
+    @property
+    def sorts(self) -> tuple[Column, ...]:
+        return self.conditions, self.medications, self.allergies
+
+    def whole(self) -> DataFrame:
+        return self.table.join(self.details, "detail")
+
 
 def profile_counts(
     transitions: DataFrame, conditions: DataFrame, medications: DataFrame, allergies: DataFrame,
@@ -180,7 +189,7 @@ def profile_counts(
     """
     names = ("n_conditions", "n_medications", "n_allergies")
     if together is not None:
-        return active_counts(transitions, (together.table, dict(zip(names, together[1:], strict=True))), min_rows)
+        return active_counts(transitions, (together.whole(), dict(zip(names, together.sorts, strict=True))), min_rows)
     return active_counts(transitions, dict(zip(names, (conditions, medications, allergies), strict=True)), min_rows)
 
 
@@ -203,26 +212,18 @@ def transition_profiles(
     if limit is not None:
         transitions = transitions.orderBy("transition_id").limit(limit)
     largest = F.greatest("n_conditions", "n_medications", "n_allergies")
-    counted = profile_counts(transitions, conditions, medications, allergies, min_rows, together)
-    # read for the join with facts and again for the result
-    stays = stage(
-        counted.withColumn("_parts", F.greatest(F.ceil(largest / F.lit(part_size)), F.lit(1)).cast("int")), "counted"
-    )
     kinds = {
         "active_conditions": (conditions, CONDITION_FIELDS),
         "active_medications": (medications, MEDICATION_FIELDS),
         "allergies": (allergies, ALLERGY_FIELDS),
     }
     fields = list(dict.fromkeys(c for _, names in kinds.values() for c in names))
-    if together is not None:
-        tags = [F.when(one, F.lit(kind)) for kind, one in zip(kinds, together[1:], strict=True)]
-        marked = together.table.select(
-            "patient_id", "start_at", "stop_at", *fields, F.explode(F.array_compact(F.array(*tags))).alias("_kind")
-        )
-        facts = marked.withColumns({
-            c: F.when(F.col("_kind").isin(*[kind for kind, (_, names) in kinds.items() if c in names]), F.col(c)) for c in fields
-        })
-    else:
+    keys = ["patient_id", "start_at", "stop_at", "_kind", *fields]
+    parts = F.greatest(F.ceil(largest / F.lit(part_size)), F.lit(1)).cast("int")
+    if together is None:
+        counted = profile_counts(transitions, conditions, medications, allergies, min_rows)
+        # read for the join with facts and again for the result
+        stays = stage(counted.withColumn("_parts", parts), "counted")
         facts = None
         for kind, (table, names) in kinds.items():
             one = table.select(
@@ -230,19 +231,36 @@ def transition_profiles(
                 *[(F.col(c) if c in names else F.lit(None).cast("string")).alias(c) for c in fields],
             )
             facts = one if facts is None else facts.unionByName(one)
-    keys = ["patient_id", "start_at", "stop_at", "_kind", *fields]
-    held = interval_join(
-        stays.select("transition_id", "patient_id", "admission_date", "discharge_date", "_parts"),
-        facts.groupBy(*keys).agg(n_rows().alias("copies")),
-        "patient_id", "admission_date", "discharge_date", "start_at", "stop_at", min_rows,
-    )
+        held = interval_join(
+            stays.select("transition_id", "patient_id", "admission_date", "discharge_date", "_parts"),
+            facts.groupBy(*keys).agg(n_rows().alias("copies")),
+            "patient_id", "admission_date", "discharge_date", "start_at", "stop_at", min_rows,
+        )
+        whole = stays.filter("_parts > 1").isEmpty()
+    else:
+        numbered = stage(transitions.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        found = _found_facts(numbered, together, kinds, fields, min_rows)
+        names = dict(zip(kinds, ("n_conditions", "n_medications", "n_allergies"), strict=True))
+        counts = found.groupBy("transition_id").agg(*[F.count_if(F.col("_kind") == k).alias(n) for k, n in names.items()])
+        stays = stage(
+            numbered.drop("_row").join(counts, "transition_id", "left")
+            .withColumns({n: F.coalesce(n, F.lit(0).cast("bigint")) for n in names.values()}).withColumn("_parts", parts),
+            "counted",
+        )
+        large = stays.filter("_parts > 1").select("transition_id", "_parts").distinct()
+        whole = large.isEmpty()
+        if whole:
+            # few facts for each transition: dealt by it once, they are merged and gathered where they are
+            found = found.repartition("transition_id").withColumn("_parts", F.lit(1))
+        else:
+            found = found.join(large, "transition_id", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        held = found.groupBy("transition_id", "_row", "_parts", *keys).agg(n_rows().alias("copies"))
     started = F.date_format("start_at", "yyyy-MM-dd").alias("started")
     arrays = {}
     for kind, (_, names) in kinds.items():
         item = F.struct(*[F.col(c).alias(alias) for c, alias in names.items()], started, "copies")
         arrays[kind] = F.array_sort(F.collect_list(F.when(F.col("_kind") == kind, item)))
     # with one part each, rows stay dealt by transition for those who put the parts together again
-    whole = stays.filter("_parts > 1").isEmpty()
     page = ["transition_id"] if whole else ["transition_id", "part"]
     pages = (
         held.withColumn("part", F.pmod(F.xxhash64(*keys[1:]), F.col("_parts")).cast("int"))
@@ -258,6 +276,22 @@ def transition_profiles(
     )
 
 
+def _found_facts(numbered: DataFrame, together: Clinical, kinds: dict, fields: list[str], min_rows: int) -> DataFrame:
+    """A written row for each fact that a stay meets and each sort of it. Details are joined to what was met only."""
+    met = interval_join(
+        numbered.select("_row", "transition_id", "patient_id", "admission_date", "discharge_date"), together.table,
+        "patient_id", "admission_date", "discharge_date", "start_at", "stop_at", min_rows,
+    )
+    tags = [F.when(one, F.lit(kind)) for kind, one in zip(kinds, together.sorts, strict=True)]
+    marked = met.join(together.details, "detail").select(
+        "_row", "transition_id", "patient_id", "start_at", "stop_at", *fields,
+        F.explode(F.array_compact(F.array(*tags))).alias("_kind"),
+    )
+    return stage(marked.withColumns({
+        c: F.when(F.col("_kind").isin(*[kind for kind, (_, names) in kinds.items() if c in names]), F.col(c)) for c in fields
+    }), "found")
+
+
 def recent_observations(transitions: DataFrame, observations: DataFrame) -> DataFrame:
     """Last value of each vital up to discharge, per transition, and how many readings there were by then.
 

@@ -121,9 +121,9 @@ def whole_profiles(profiles: DataFrame) -> DataFrame:
 def prompt_variables(profiles: DataFrame, cohort: DataFrame) -> DataFrame:
     """One row per transition with one text column per template variable, null where nothing is known in any part."""
     people = cohort.select("patient_id", "patient_name", "age", "gender")
-    return whole_profiles(profiles).join(people, "patient_id").select(
-        "transition_id", "patient_id", "patient_name", F.col("age").cast("string").alias("age"), "gender",
-        "from_setting", "current_setting",
+    # texts travel to the patients, not arrays
+    told = whole_profiles(profiles).select(
+        "transition_id", "patient_id", "from_setting", "current_setting",
         F.date_format("admission_date", "yyyy-MM-dd").alias("admission_date"),
         F.date_format("discharge_date", "yyyy-MM-dd").alias("discharge_date"),
         F.col("readmitted").cast("string").alias("readmitted"),
@@ -134,6 +134,9 @@ def prompt_variables(profiles: DataFrame, cohort: DataFrame) -> DataFrame:
         listing("allergies", "allergy").alias("allergies"),
         *[c for c in ("risk_tier",) if c in profiles.columns],
     )
+    first = ["patient_name", F.col("age").cast("string").alias("age"), "gender"]
+    rest = [c for c in told.columns if c not in ("transition_id", "patient_id")]
+    return told.join(people, "patient_id").select("transition_id", "patient_id", *first, *rest)
 
 
 def fill(template: str, fallbacks: dict[str, str], constants: dict[str, str] | None = None) -> Column:

@@ -83,7 +83,7 @@ def transition_profiles(t):
     def held(name):
         return F.aggregate(name, F.lit(0).cast("bigint"), lambda n, x: n + x["copies"])
 
-    return cohort.transition_profiles(t.transitions, t.conditions, t.medications, t.allergies).select(
+    return cohort.transition_profiles(t.transitions, t.conditions, t.medications, t.allergies, together=t.clinical).select(
         "transition_id", "part", held("active_conditions").alias("conditions"),
         held("active_medications").alias("medications"), held("allergies").alias("allergies"),
         F.array_min(F.transform("active_conditions", lambda x: x["code"])).alias("first_code"),
