@@ -230,3 +230,18 @@ def test_clocks_ask_the_state_store_little():
     calls.clear()
     told = list(clocks._settle((7,), [], 77 * hour, 77 * hour // 1000))
     assert [(r.kind, r.change) for r in told] == [("EXPIRE", "ALERT")] and calls == ["get", "update"]
+
+
+def test_clocks_with_events_of_no_document(spark, tmp_path):
+    """Events without a document cost others no alert."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    tiers = Binding(spark, FOLDER).narratives
+    log = Binding(spark, FOLDER).review_events.select(
+        "log_id", F.when(F.col("log_id") % 11 != 0, F.col("transition_id")).alias("transition_id"), "action",
+        F.col("action_at").cast("timestamp").alias("action_at"),
+    )
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    got = jobs.standing_alerts(run(spark, jobs.review_clocks(jobs.read_stream(spark, str(tmp_path / "in"), batch.schema), tiers), tmp_path))
+    want = jobs.review_clocks_batch(batch, tiers, mark(batch)).filter("transition_id IS NOT NULL").collect()
+    assert want and sorted(got.filter(F.col("transition_id").isNotNull() & (F.col("due_at") <= mark(batch))).collect()) == sorted(want)
