@@ -66,6 +66,19 @@ def test_negation_ends_with_its_clause(spark):
     }
 
 
+def test_notes_are_read_once_for_phrases_and_measures(spark):
+    """One pass gives the terms of both, each once, and a phrase that looks like a measure's mark finds nothing."""
+    notes = spark.createDataFrame([(1, MIXED), (1, NOTE), (1, NOTE), (None, NOTE), (2, None), (3, " . =0 = 0 .")], "patient_id int, text string")
+    synonyms = spark.createDataFrame([(p, p) for p in ("ckd stage 3", "gout", "asthma", "=0", "back pain")] + [(None, "x")], "phrase string, code string")
+    apart = rb.extract_terms(notes, synonyms, 3, ["patient_id"]).unionByName(rb.measured_terms(notes, ["patient_id"])).distinct()
+    both = rb.note_terms(notes, synonyms, 3, ["patient_id"])
+    key = lambda r: (r[0] or 0, *r[1:])
+    assert sorted(map(key, both.collect())) == sorted(map(key, apart.collect()))
+    assert both.filter("phrase = 'obesity'").count() == 3
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(regexp_replace") == 1 and plan.count("regexp_replace(sentence") == 1
+
+
 def test_rates(spark):
     classes = spark.createDataFrame([(1, "B", "C", "A"), (2, "A", "A", "D")], "patient_id int, nursing_class string, nta_class string, therapy_class string")
     rates = [("NURSING", "A", 100.0), ("NURSING", "B", 150.0), ("NTA", "A", 10.0), ("NTA", "C", 60.25)]

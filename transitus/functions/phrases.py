@@ -11,7 +11,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +68,8 @@ class PhraseAutomaton:
     def hits(self, told: list[str], before: int) -> Iterator[str]:
         """The phrases that start at one of the first `before` words, one for each place."""
         node, steps, fail, ends, codes = 0, self.steps, self.fail, self.ends, self.codes
+        if codes.keys().isdisjoint(told):
+            return
         for at, word in enumerate(told):
             code = codes.get(word)
             if code is None:
@@ -108,22 +110,26 @@ def _finder(spark, automata: list[PhraseAutomaton]):
     held = spark.sparkContext.broadcast(cloudpickle.dumps(automata))
     opened: list[PhraseAutomaton] = []
 
-    @F.pandas_udf("array<string>")
-    def find(told: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def find(told: pa.Array) -> pa.Array:
         if not opened:
             opened.extend(pickle.loads(held.value))
-        return pd.Series([[hit for a in opened for hit in a.hits(t.split(" "), SLICE)] for t in told], dtype=object)
+        texts = [t.split(" ") if t else [] for t in told.to_pylist()]
+        return pa.array([[hit for a in opened for hit in a.hits(t, SLICE)] for t in texts], pa.list_(pa.string()))
 
     return find
 
 
-def phrase_hits(texts: DataFrame, keys: list[str], tokens: str, table: DataFrame, phrase: str, longest: int | None = None) -> DataFrame:
+def phrase_hits(
+    texts: DataFrame, keys: list[str], tokens: str, table: DataFrame, phrase: str, longest: int | None = None, also: str | None = None
+) -> DataFrame:
     """Rows of `table` whose phrase occurs in the token array of a text, one per place: phrase, `keys`, other columns.
 
     Phrases are words parted by one space; tokens have no spaces. `longest` leaves out phrases of more words. A null
     or empty array has no phrases, a null or empty phrase no places; a phrase that the table holds several times gives
-    each of its rows. Texts are read once for a dictionary of up to `PARTS_AT_ONCE` parts, and once for a larger one,
-    whose places are then found by a join.
+    each of its rows. `also` names an array of further phrases that hold for a text, each a place more; it is not null.
+    Texts are read once for a dictionary of up to `PARTS_AT_ONCE` parts, and once for a larger one, whose places are
+    then found by a join (and once more for `also`).
     """
     spark = texts.sparkSession
     if longest is not None:
@@ -132,22 +138,28 @@ def phrase_hits(texts: DataFrame, keys: list[str], tokens: str, table: DataFrame
     table = stage(table, "phrases")
     lots = lots_of(table, phrase)
     if lots > PARTS_AT_ONCE:
-        return _runs_of_words(texts, keys, tokens, table, phrase).join(table, phrase)
+        found = _runs_of_words(texts, keys, tokens, table, phrase)
+        if also is not None:
+            found = found.unionByName(texts.select(F.explode(also).alias(phrase), *keys))
+        return found.join(table, phrase)
     automata = [PhraseAutomaton(phrases) for phrases in parts(table, phrase, lots)]
-    pieces = _pieces(texts, keys, tokens, max((a.longest for a in automata), default=1)).select(
-        *keys, F.array_join("_piece", " ").alias("_told")
-    )
-    found = pieces.select(*keys, F.explode(_finder(spark, automata)(F.col("_told"))).alias(phrase))
-    return found.join(table, phrase)
-
-
-def _pieces(texts: DataFrame, keys: list[str], tokens: str, longest: int) -> DataFrame:
-    """(keys, _piece): the words of a text in pieces that overlap by a phrase of `longest` words."""
+    reach = max((a.longest for a in automata), default=1)
+    if also is None:
+        pieces = texts.select(*keys, F.explode_outer(_pieces(tokens, reach)).alias("_piece"))
+    else:
+        pieces = texts.select(*keys, also, F.posexplode_outer(_pieces(tokens, reach)).alias("_at", "_piece"))
+    places = _finder(spark, automata)(F.array_join("_piece", " "))
+    if also is not None:
+        places = F.concat(places, F.when(F.coalesce("_at", F.lit(0)) == 0, F.col(also)).otherwise(F.array().cast("array<string>")))
+    return pieces.select(*keys, F.explode(places).alias(phrase)).join(table, phrase)
+
+
+def _pieces(tokens: str, longest: int) -> Column:
+    """The words of a text in pieces that overlap by a phrase of `longest` words; most texts are one piece."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)), F.lit(SLICE))
     reach = F.lit(SLICE + longest - 1)
-    return texts.filter(F.size(tokens) > 0).select(
-        *keys, F.explode(F.transform(starts, lambda at: F.slice(F.col(tokens), at, reach))).alias("_piece")
-    )
+    cut = F.transform(starts, lambda at: F.slice(F.col(tokens), at, reach))
+    return F.when(F.size(tokens) <= SLICE, F.array(F.col(tokens))).otherwise(cut)
 
 
 def _runs_of_words(texts: DataFrame, keys: list[str], tokens: str, table: DataFrame, phrase: str) -> DataFrame:
@@ -159,7 +171,8 @@ def _runs_of_words(texts: DataFrame, keys: list[str], tokens: str, table: DataFr
     # places that start in a piece's first words; those beyond belong to the next piece
     last = F.least(F.size("_piece") - F.col("_size") + 1, F.lit(SLICE))
     run = F.transform(F.sequence(F.lit(1), last), lambda at: F.array_join(F.slice("_piece", at, F.col("_size")), " "))
-    pieces = _pieces(texts, keys, tokens, sizes[-1]).select(*keys, "_piece", size).filter(F.size("_piece") >= F.col("_size"))
+    pieces = texts.select(*keys, F.explode_outer(_pieces(tokens, sizes[-1])).alias("_piece")).select(*keys, "_piece", size)
+    pieces = pieces.filter(F.size("_piece") >= F.col("_size"))
     return pieces.select(F.explode(run).alias(phrase), *keys)
 
 

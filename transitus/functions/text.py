@@ -11,7 +11,7 @@ SENTENCE_END = r"[.!?\n]+"
 
 def words(text: Column | str) -> Column:
     """Lower-case words: maximal runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), WORD_GAP), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), WORD_GAP), "")
 
 
 def word_count(text: Column | str) -> Column:

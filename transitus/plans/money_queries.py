@@ -251,8 +251,7 @@ TERM = f"""{SYN}, sent AS (SELECT DISTINCT patient_id, trim(translate(unnest(reg
 
 
 def terms(t):
-    found = rb.extract_terms(t.notes, synonyms(t), 2, ["patient_id"])
-    return found.unionByName(rb.measured_terms(t.notes, ["patient_id"])).distinct()
+    return rb.note_terms(t.notes, synonyms(t), 2, ["patient_id"])
 
 
 @query("extract_terms", "note cat", f"WITH {TERM} SELECT * FROM term")
