@@ -20,6 +20,17 @@ def test_summary_prefers_rare_words(spark):
     assert {r.doc: r.sentence for r in text.summarize_history(docs, 1, "doc", min_rows=1).collect()} == plain
 
 
+def test_summary_is_the_same_whatever_weights_are_held(spark):
+    """Null and repeated keys, empty texts, sentences without words; tokens of the held words are not sent to other tasks."""
+    rows = DOCS + [(1, "red gear. red! zinc"), (5, None), (6, "... !"), (None, "red anvil"), (7, "- . tin tin. red")]
+    docs = spark.createDataFrame(rows, "doc int, text string")
+    every = [sorted(map(tuple, text.summarize_history(docs, 2, "doc", min_rows=m, held=h).collect())) for h, m in ((200, 1_000), (0, 10), (2, 10))]
+    assert every[0] == every[1] == every[2] and {r[0] for r in every[0]} == {1, 2, 3, 4, 7}
+    assert [r[4] for r in every[0] if r[0] == 7] == ["tin tin", "red"]
+    plan = text.summarize_history(docs, 2, "doc")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
 def test_search_is_exact_whatever_is_common(spark):
     """Which words count as common decides the way, never the result."""
     docs = spark.createDataFrame([(k, "the " * (1 + k % 7) + f"w{k % 5} w{k % 11} of") for k in range(60)], "doc int, text string")
