@@ -48,7 +48,7 @@ def summarize_history(docs: DataFrame, k: int, key: str, text: str = "text", min
         .withColumn("score", F.col("_s").cast("double") / F.col("_len").cast("double"))
         .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     )
-    # at most k of a key; each text is cut once more, its other sentences are not sent
+    # at most k of a key; the whole text is sent to them, once, and cut there
     chosen = ranked.groupBy(key).agg(F.collect_list(F.struct("rank", "position", "score")).alias("_chosen"))
     parts = docs.select(key, text).join(chosen, key).select(key, F.split(text, SENTENCE_END).alias("_parts"), F.explode_outer("_chosen").alias("_at"))
     out = parts.select(key, "_at.rank", "_at.position", "_at.score", F.trim(F.get("_parts", F.col("_at.position"))).alias("sentence"))
