@@ -11,6 +11,9 @@ from transitus.functions.columns import count_if, days, mean, n_rows, pct, rules
 from transitus.operators.narrative import fill
 
 DENIED_AFTER_DAYS = 60
+# Tasks that claim lines are dealt over where an encounter has about as many groups as lines. Up to 200
+# (spark.shuffle.sort.bypassMergeThreshold) rows go to files as they come; beyond, the dealing task would sort them in memory.
+TASKS = 192
 
 
 def payment_status(outstanding: Column, waited: Column, after_days: int = DENIED_AFTER_DAYS) -> Column:
@@ -42,16 +45,22 @@ def denial_rate_by_payer(lines: DataFrame) -> DataFrame:
     )
 
 
-def denial_risk(claims: DataFrame, encounters: DataFrame, by: list[str], after_days: int = DENIED_AFTER_DAYS) -> DataFrame:
+def denial_risk(
+    claims: DataFrame, encounters: DataFrame, by: list[str], after_days: int = DENIED_AFTER_DAYS, tasks: int = TASKS
+) -> DataFrame:
     """Per group of `by`: encounters, charges, unpaid amount, share of encounters and of lines denied.
 
     Lines are summed per encounter before the join with encounters, so an encounter with very many lines is
-    one row there.
+    one row there. Where `by` names columns of the lines, summing merges few of them; the lines are then dealt over
+    `tasks` tasks of their own first, so that no task holds the sums beside the sorted sides of both joins.
     """
     own = [c for c in by if c in claims.columns]
     denied = payment_status(F.col("outstanding"), days("billed_at", "service_at"), after_days) == "LIKELY_DENIED"
-    per_encounter = claims.groupBy("encounter_id", *own).agg(
-        n_rows().alias("_lines"), F.count_if(denied).alias("_denied"),
+    lines = claims.select("encounter_id", *own, denied.alias("_is_denied"), "charge", "outstanding")
+    if own:
+        lines = lines.repartition(tasks, "encounter_id", *own)
+    per_encounter = lines.groupBy("encounter_id", *own).agg(
+        n_rows().alias("_lines"), F.count_if("_is_denied").alias("_denied"),
         F.sum("charge").alias("_charge"), F.sum("outstanding").alias("_unpaid"),
     )
     joined = per_encounter.join(encounters.select("encounter_id", *[c for c in by if c not in own]), "encounter_id")
