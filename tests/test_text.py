@@ -44,6 +44,7 @@ def test_search_is_exact_whatever_is_common(spark):
 def plain_bm25(docs, queries, k):
     import math
     import re
+    import re
     from collections import Counter
     from decimal import ROUND_HALF_UP, Decimal
 
@@ -91,3 +92,38 @@ def test_index_is_extended_and_searched(spark, tmp_path):
     for share in (0.05, 1.0):
         got = sorted((r["q"], r["rank"], r["doc"], r["score"]) for r in index.search(asked, 4, "q", common_share=share).collect())
         assert got == plain_bm25(docs, queries, 4)
+
+
+def test_words_are_counted_within_their_row(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from transitus.functions.text import with_word_counts
+
+    rows = [(1, "the the of The x1 of the"), (2, "one"), (3, ""), (4, None), (5, " .. "), (6, "b a, b; a b"), (6, "b c")]
+    out = with_word_counts(spark.createDataFrame(rows, "doc int, text string"), F.col("text")).drop("text")
+    want = []
+    for doc, text in rows:
+        found = Counter(re.findall(r"[^\W_]+", (text or "").lower()))
+        want += [(doc, sum(found.values()), w, n) for w, n in found.items()]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    texts = spark.createDataFrame(rows, "doc int, text string")
+    assert "Exchange" not in with_word_counts(texts, F.col("text"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_counts_repeated_keys_and_left_out_words(spark, tmp_path):
+    from transitus.operators import search_index
+
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, "c"), (3, None), (None, "a")], "doc int, text string")
+    only = spark.createDataFrame([("a",), ("a",), ("c",)], "word string")
+    for name, words_kept, postings in (
+        ("all", None, [("a", 1, 2, 5), ("b", 1, 2, 5), ("c", 1, 1, 5), ("c", 2, 1, 1)]),
+        ("some", only, [("a", 1, 2, 5), ("c", 1, 1, 5), ("c", 2, 1, 1)]),
+    ):
+        index = search_index.SearchIndex(spark, str(tmp_path / name), "doc", "int")
+        index.add(docs, only=words_kept)
+        assert sorted(tuple(r) for r in index.postings().select("word", "doc", "_tf", "_dl").collect()) == postings
+        assert [(r.n_docs, r.n_words) for r in index.segments().collect()] == [(3, 6)]
+        assert {r.word: r._df for r in index.frequency().collect()} == {w: sum(p[0] == w for p in postings) for w, *_ in postings}
+        assert sorted(r.doc for r in index.documents().collect()) == [1, 2, 3]

@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from transitus.functions.columns import n_rows
 from transitus.functions.skew import HOT_ROWS, heaviest, salted_join
-from transitus.functions.text import words
+from transitus.functions.text import with_word_counts, words
 from transitus.session import stage
 
-WEIGHT = "decimal(20,6)"
+# A weight is below 2.2 * ln(documents + 1); up to 18 digits a decimal is one long in shuffles and files.
+WEIGHT = "decimal(18,6)"
 K1, B = 1.2, 0.75
 # Folders that postings are dealt over by word: a search reads those of its words.
 BUCKETS = 64
@@ -77,37 +78,43 @@ class SearchIndex:
 
         `only` (word) restricts the postings to some words, for an index that answers known queries. Rows without a
         key are left out, null texts have no words, and a key that `docs` repeats is one document with all its words.
+        Words are counted within their row and shuffled once; `docs` is read for its keys and for its texts.
         """
-        fresh = docs.filter(F.col(self.key).isNotNull()).join(self.documents().select(self.key), self.key, "left_anti")
-        parsed = stage(fresh.select(self.key, words(F.coalesce(F.col(text), F.lit(""))).alias("_words")), "index-words")
-        sizes = parsed.groupBy(self.key).agg(F.sum(F.size("_words")).cast("int").alias("_dl"), n_rows().alias("_rows"))
-        if sizes.filter("_rows > 1").isEmpty():
-            told = parsed.withColumn("_dl", F.size("_words"))
-        else:
-            told = parsed.join(sizes, self.key)
-        one = told.select(self.key, "_dl", F.explode("_words").alias("word"))
+        fresh = docs.filter(F.col(self.key).isNotNull())
+        if not self.segments().isEmpty():
+            fresh = fresh.join(self.documents().select(self.key), self.key, "left_anti")
+        fresh = fresh.select(self.key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+        one = with_word_counts(fresh, F.col("_text")).select(self.key, "word", "_tf", "_dl")
         if only is not None:
             one = one.join(only.select("word").distinct(), "word", "left_semi")
+        sizes = fresh.groupBy(self.key).agg(n_rows().alias("_rows"))
+        if not sizes.filter("_rows > 1").isEmpty():
+            whole = fresh.groupBy(self.key).agg(F.sum(F.size(words("_text"))).cast("int").alias("_dl"))
+            one = one.groupBy(self.key, "word").agg(F.sum("_tf").alias("_tf")).join(whole, self.key)
         segment = uuid.uuid4().hex
         block = F.least("_tf", F.lit(MANY)) * 1_000 + F.floor(F.log2(F.greatest("_dl", F.lit(1))) * FINE)
-        postings = (
-            one.groupBy("word", self.key, "_dl").agg(n_rows().alias("_tf")).withColumn("block", block.cast("int"))
-            .withColumn("bucket", self._bucket())
-        )
+        # what follows from the other columns is added behind the shuffle
+        dealt = one.select("word", self.key, "_dl", "_tf").repartition(self._bucket(), F.pmod(F.xxhash64(self.key), F.lit(16)))
+        postings = dealt.withColumn("block", block.cast("int")).withColumn("bucket", self._bucket())
 
         def write(df: DataFrame, table: str, *by: str) -> None:
             df.withColumn("segment", F.lit(segment)).write.mode("append").partitionBy("segment", *by).parquet(f"{self.path}/{table}")
 
-        write(postings.repartition("bucket", F.pmod(F.xxhash64(self.key), F.lit(16))).sortWithinPartitions("bucket", "word"), "postings", "bucket")
+        write(postings.sortWithinPartitions("bucket", "word"), "postings", "bucket")
         held = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("segment") == segment)
-        write(held.groupBy("word").agg(n_rows().alias("_df")), "words")
+        # a few groups hold most blocks: summed per block, then per word
         write(
-            held.groupBy("bucket", "word", "block").agg(F.max("_tf").alias("_most"), F.min("_dl").alias("_least")).repartition("bucket"),
+            held.groupBy("bucket", "word", "block")
+            .agg(F.max("_tf").alias("_most"), F.min("_dl").alias("_least"), n_rows().alias("_n")).repartition("bucket"),
             "blocks", "bucket",
         )
+        blocks = self.spark.read.parquet(f"{self.path}/blocks").filter(F.col("segment") == segment)
+        write(blocks.groupBy("word").agg(F.sum("_n").alias("_df")), "words")
         write(sizes.select(self.key), "documents")
-        counts = sizes.agg(n_rows().alias("n_docs"), F.coalesce(F.sum("_dl"), F.lit(0)).cast("bigint").alias("n_words"))
-        write(counts, "segments")
+        # all words stand in the postings unless `only` left some out
+        lengths = held.select(F.col("_tf").alias("w")) if only is None else fresh.select(F.size(words("_text")).cast("bigint").alias("w"))
+        counted = sizes.select(F.lit(1).alias("d"), F.lit(0).cast("bigint").alias("w")).unionByName(lengths.select(F.lit(0).alias("d"), "w"))
+        write(counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for c, n in (("d", "n_docs"), ("w", "n_words"))]), "segments")
         return segment
 
     def search(self, queries: DataFrame, k: int, query_key: str, text: str = "text", common_share: float = 0.1, min_rows: int = HOT_ROWS) -> DataFrame:
@@ -157,10 +164,9 @@ class SearchIndex:
 
         def with_common(found: DataFrame) -> DataFrame:
             """Whole scores of (_q, document, score by the rarer words); rows grow with what was found."""
-            added = (
-                found.select("_q", key).join(terms.filter("_common").select("_q", "word"), "_q").join(weighed, [key, "word"])
-                .select("_q", key, F.col("_w").alias("_s"))
-            )
+            # written, so that few of them are known to be few and are sent to the postings
+            pairs = stage(found.select("_q", key).join(terms.filter("_common").select("_q", "word"), "_q"), "asked-pairs")
+            added = pairs.join(weighed, [key, "word"]).select("_q", key, F.col("_w").alias("_s"))
             return found.unionByName(added).groupBy("_q", key).agg(F.sum("_s").alias("_s"))
 
         leading = stage(
@@ -178,7 +184,8 @@ class SearchIndex:
             F.col("_bar").isNull() | (F.col("_all") - F.col("_top") + F.col("_own") >= F.col("_bar"))
         ).select("_q", "word", "block")
         place = F.struct("word", "block").alias("_place")
-        hot_places = tops.join(hot, "word").select(place, "_hot")
+        # written for the same reason: without hot words no posting is sent to a list of none
+        hot_places = stage(tops.join(hot, "word").select(place, "_hot"), "asked-hot-places")
         opened = scored(salted_join(weighed.select(place, key, "_w"), useful.select("_q", place), "_place", hot_places, [key]))
         near = rare.join(limits.filter(~open_), "_q").filter(F.col("_s") + F.col("_rest") >= F.col("_bar")).select("_q", key, "_s")
         closed = with_common(near)
