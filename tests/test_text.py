@@ -44,7 +44,6 @@ def test_search_is_exact_whatever_is_common(spark):
 def plain_bm25(docs, queries, k):
     import math
     import re
-    import re
     from collections import Counter
     from decimal import ROUND_HALF_UP, Decimal
 
@@ -95,6 +94,7 @@ def test_index_is_extended_and_searched(spark, tmp_path):
 
 
 def test_words_are_counted_within_their_row(spark):
+    import re
     from collections import Counter
 
     from pyspark.sql import functions as F
