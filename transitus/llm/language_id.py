@@ -118,7 +118,8 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> LanguageModel:
 
     counts = {lang: np.zeros(BUCKETS) for lang in sorted(sizes)}
     counted = labelled.filter(picked).select("lang", "text").mapInPandas(count, "lang string, bucket int, n double")
-    for row in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # languages x buckets
+    # languages x buckets, not by toLocalIterator: shuffle files may be cleaned up before it has read them
+    for row in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         counts[row["lang"]][row["bucket"]] = row["n"]
     return LanguageModel(list(counts), np.array(list(counts.values())))
 
